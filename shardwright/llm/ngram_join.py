@@ -217,10 +217,12 @@ def _verify(k: int, similarity: float):
 def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its group of linked texts), copy_id (least doc_id of its
     exact class), n_copies (rows of its class), n_links (other documents of Jaccard similarity or more, copies
-    included), n_text_links (other texts of that similarity). Expected recall per pair at the threshold: `recall`."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    included), n_text_links (other texts of that similarity). Expected recall per pair at the threshold: `recall`. Ids
+    may be of any type that has an order."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     bands = bands_for(similarity, recall)
-    sig = written(docs.mapInArrow(_signatures(shingle, ROWS, bands), "doc_id long, node binary, bands array<long>"), "signatures")
+    sig = written(docs.mapInArrow(_signatures(shingle, ROWS, bands), f"doc_id {kind}, node binary, bands array<long>"), "signatures")
     classes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     rows = classes.select("node", F.explode("bands").alias("key"))

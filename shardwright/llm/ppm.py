@@ -7,9 +7,9 @@ one has not seen (symbol exclusion); below order 0 all bytes not yet seen are eq
 
 The trie is a table, one row per path of ORDER + 1 bytes, counted over all training documents. Everything that a path's
 probability needs (totals, distinct symbols, exclusion sums, escapes) comes from joins and windows over at most 256
-rows. No model is broadcast: documents are dealt to blocks of about BLOCK_BYTES, each block asks for the distinct paths
-and tokens it holds, and gets their values back, so that memory depends on the block, not on the corpus. Token identity
-is a 64-bit hash.
+rows. No model is broadcast: documents stand in blocks of about BLOCK_BYTES, each block asks for the distinct paths and
+tokens it holds, and gets their values back, so that memory depends on the block, not on the corpus. Token identity is a
+64-bit hash.
 
 Defined cases: null text counts as empty, and scores its end symbol only; a null id is in the fold of the empty text;
 repeated rows are rows of their own; without any training document counts are 0 and the model is uniform; an empty
@@ -19,6 +19,8 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from shardwright.llm import kernel as K
 from shardwright.llm.shared import fold, written
 
 ORDER = 5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
+PART_BYTES = 1 << 18
 END = 255  # no byte of UTF-8
 _END_TOKEN = np.array([-7046029254386353131], np.int64)
 _FOUND = "kind byte, key long, block long, n long"
@@ -72,9 +75,9 @@ def stream(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tokens, row, path[ok], owner[ok]
 
 
-def _parts(text: pa.ChunkedArray):
+def _parts(text: pa.Array | pa.ChunkedArray):
     data, offs = K.utf8(text)
-    for lo, hi in K.runs(offs):
+    for lo, hi in K.runs(offs, PART_BYTES):
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 
@@ -95,20 +98,39 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _asked(t: pa.Table) -> pa.Table:
-    """Of one block: its distinct tokens (kind 0) and paths (kind 1), with their training counts."""
-    held = t["held_out"].to_numpy()
-    tokens, paths = [(_END_TOKEN, np.array([int((~held).sum())]))], []
-    for lo, hi, part, offs in _parts(t["text"]):
-        train = ~held[lo:hi]
-        tok, row, path, owner = stream(part, offs)
-        tokens += _counted(tok, train[row])
-        paths += _counted(path, train[owner])
-        if len(tokens) > 64:
-            tokens, paths = [_merged(tokens)], [_merged(paths)]
-    found = [_merged(tokens), _merged(paths)]
-    kind = np.repeat(np.array([0, 1], np.int8), [len(x[0]) for x in found])
-    return pa.table({"kind": kind, "key": np.concatenate([x[0] for x in found]), "block": np.full(len(kind), t["block"][0].as_py(), np.int64), "n": np.concatenate([x[1] for x in found])})
+class _Asked:
+    """The distinct tokens (kind 0) and paths (kind 1) of one block so far, with their training counts."""
+
+    def __init__(self):
+        self.found: list[list[tuple[np.ndarray, np.ndarray]]] = [[(_END_TOKEN, np.zeros(1, np.int64))], []]
+
+    def add(self, text: pa.Array, held: np.ndarray) -> None:
+        self.found[0].append((_END_TOKEN, np.array([int((~held).sum())])))
+        for lo, hi, part, offs in _parts(text):
+            train = ~held[lo:hi]
+            tok, row, path, owner = stream(part, offs)
+            self.found[0] += _counted(tok, train[row])
+            self.found[1] += _counted(path, train[owner])
+            if len(self.found[1]) > 24:
+                self.found = [[_merged(x)] for x in self.found]
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        found = [_merged(x) if x else (np.zeros(0, np.int64),) * 2 for x in self.found]
+        kind = np.repeat(np.array([0, 1], np.int8), [len(x[0]) for x in found])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.full(len(kind), block, np.int64)), pa.array(np.concatenate([x[1] for x in found]))], ["kind", "key", "block", "n"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, _Asked] = {}
+    for batch in batches:
+        block = batch.column(2).to_numpy()
+        held = batch.column(1).to_numpy(zero_copy_only=False)
+        for k in np.unique(block).tolist():
+            at = np.flatnonzero(block == k)
+            text = batch.column(0) if len(at) == len(block) else batch.column(0).take(pa.array(at))
+            blocks.setdefault(k, _Asked()).add(text, held[at])
+    for k in list(blocks):
+        yield blocks.pop(k).batch(k)
 
 
 def _scored(total: int, distinct: int):
@@ -122,6 +144,8 @@ def _scored(total: int, distinct: int):
         word, path = K.Lookup(key[:cut]), K.Lookup(key[cut:])
         count, log_c, log_p = value[:cut], np.log10(value[:cut] + 0.1), value[cut:]
         end = word(_END_TOKEN)
+        if len(docs) and end[0] < 0:
+            raise ValueError("a block has no answers: its documents changed between two reads")
         n, known, base, score = [], [], [], []
         for lo, hi, part, offs in _parts(docs["text"]):
             tok, row, paths, owner = stream(part, offs)
@@ -129,7 +153,10 @@ def _scored(total: int, distinct: int):
             n.append(np.bincount(row, minlength=hi - lo) + 1)
             known.append(np.bincount(row, count[at] > 0, hi - lo).astype(np.int64) + int(count[end][0] > 0))
             base.append(np.bincount(row, log_c[at], hi - lo) + log_c[end][0] - n[-1] * less)
-            score.append(np.bincount(owner, log_p[path(paths)], hi - lo))
+            place = path(paths)
+            if (at < 0).any() or (place < 0).any():
+                raise ValueError("a block lacks answers: its documents changed between two reads")
+            score.append(np.bincount(owner, log_p[place], hi - lo))
         n, known, base, score = (np.concatenate(x) for x in (n, known, base, score))
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total, np.int64), "base_score": base, "score": score})
 
@@ -163,11 +190,16 @@ def path_probabilities(paths: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def ppm_scores(docs: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    docs is read twice, and must come in the same partitions both times, as the scan of a table does: a block is a
+    partition of it, or one of several equal parts of a large one. A block that changed ends the query with an error."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), folds) == held_fold).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 1
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // block_bytes)).cast("long")))
-    asked = written(docs.select("text", "held_out", "block").groupBy("block").applyInArrow(_asked, _FOUND), "asked")
+    # text takes about twice its compressed size
+    parts = max(1, round(2 * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) / block_bytes))
+    docs = docs.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts).cast("long")))
+    asked = written(docs.select("text", "held_out", "block").mapInArrow(_asked, _FOUND), "asked")
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     paths = path_probabilities(counts.where("kind = 1").select("key", "n"))
@@ -175,3 +207,9 @@ def ppm_scores(docs: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
     answers = asked.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _bytes(size: str) -> int:
+    """A Spark byte setting as a number."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.removesuffix("b")[:1]]

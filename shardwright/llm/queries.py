@@ -5,23 +5,142 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shardwright.llm import chat_format, lang_id, mixing, secrets, url_filter
+from shardwright.llm.decontaminate import contaminated
+from shardwright.llm.fingerprint import fingerprints
+from shardwright.llm.license_scan import license_scan
 from shardwright.llm.ngram_join import ngram_join
 from shardwright.llm.ppm import ppm_scores
-from shardwright.llm.shared import table
+from shardwright.llm.shared import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = lang_id.fit(docs.where(~held))
+    return lang_id.predict(docs, model, "doc_id", held.alias("held_out"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    text = "</s>[INST] ok [/INST]"
+    record = spark.createDataFrame([(-7, f'{{"messages": [{{"role": "user", "content": "{text}"}}, {{"role": "assistant", "content": "{text}"}}]}}')], "conv_id long, payload string")
+    turns = chat_format.turns_of_rows(rows, ["conv_id", "turn", "role", "text"]).unionByName(chat_format.turns_of_payloads(record))
+    out = chat_format.formatted(turns).withColumn("t", chat_format.read_back(F.col("formatted"), F.col("mask")))
+    every = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("t", lambda x: x["masked"]), "")
+    return out.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(every, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.fair_queue(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = secrets.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda x: x["rank"] < len(secrets.BASE))
+    count = lambda f: F.size(F.filter("findings", f)).cast("long")
+    return df.select(
+        "doc_id",
+        *(count(lambda x, k=k: x["rank"] == k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("findings")).alias("spans"),
+        count(lambda x: x["live"]).alias("n_live"),
+        count(lambda x: ~x["live"]).alias("n_example"),
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_lm_scores, op10_ngram_join)}
+    every = (op1_language_id, op2_chat_format, op3_decontamination, op4_license_scan, op5_lm_scores, op6_source_mix, op7_fingerprints, op8_secret_scan, op9_url_filter, op10_ngram_join)
+    return {f.__name__: f for f in every}
+
+
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, length(regexp_replace(replace(replace(role, '&', '&a'), chr(10), '&n'), '<\|(\\*)(im_start|im_end)\|>', '<|\\\1\2|>', 'g'))
+    + length(regexp_replace(text, '<\|(\\*)(im_start|im_end)\|>', '<|\\\1\2|>', 'g')) + 24 AS chars FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+s0 AS (SELECT no_source, source_key, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+s1 AS (SELECT *, row_number() OVER (ORDER BY no_source, source_key) AS rank FROM s0),
+s2 AS (SELECT *, [5.0::DOUBLE, 2, 1][((rank - 1) % 3 + 1)::BIGINT] AS weight, (3 * source_size)::DOUBLE AS most FROM s1),
+s3 AS (SELECT *, row_number() OVER o AS place,
+    (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM s2 WINDOW o AS (ORDER BY most / weight, rank), b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT no_source, source_key, source_size,
+    CASE WHEN most <= weight * level THEN most ELSE weight * (min_by(level, place) FILTER (WHERE most > weight * level) OVER ()) END AS target FROM s3),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY no_source, source_key ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM d JOIN s USING (no_source, source_key))
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, round(target)::BIGINT - begin)) + greatest(0, least(size, round(target)::BIGINT - begin - source_size))
+  + greatest(0, least(size, round(target)::BIGINT - begin - 2 * source_size)))::BIGINT AS taken FROM q
+"""
+
+_URL_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url, html FROM pages),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, url, html FROM p),
+l AS (SELECT host, path, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^\s"''>]+)', 1)) AS link FROM u),
+e0 AS (SELECT host || path AS a, translate(regexp_extract(substr(link, strpos(link, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(substr(link, strpos(link, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS b FROM l WHERE strpos(link, '://') > 0),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM u) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+m AS (SELECT r.a, max((f.verdict = 'allow')::INT) AS allow FROM reach r JOIN f ON f.host || f.path = r.b GROUP BY r.a)
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE m.allow WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict
+FROM u LEFT JOIN f USING (host, path) LEFT JOIN m ON m.a = host || path
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": _CHAT_SQL, "op6_source_mix": _MIX_SQL, "op9_url_filter": _URL_SQL}
