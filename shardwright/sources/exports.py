@@ -15,7 +15,7 @@ TRAPS = "id string, project string, type string, workspace string, prompt string
 
 def transcript_lines(spark: SparkSession, root: str, match: str | None = None, head: int = 200_000) -> DataFrame:
     """(path, line_no, value) of the .jsonl files under root; with a match, of those that mention it near their start."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     files = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"), "value")
     if match:
         files = files.where(mentions(F.col("value"), match, head))
