@@ -66,9 +66,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = secrets.scanned(table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda x: x["rank"] < len(secrets.BASE))
     count = lambda f: F.size(F.filter("findings", f)).cast("long")
+    of_kind = lambda k: lambda x: x["rank"] == k
     return df.select(
         "doc_id",
-        *(count(lambda x, k=k: x["rank"] == k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)),
+        *(count(of_kind(k)).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("findings")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
