@@ -143,7 +143,9 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The models from each language's top-order n-grams (rows of code points) and their counts."""
     langs = sorted(counts)
     n_lang = len(langs)
-    every = np.concatenate([counts[x][0] for x in langs]) if langs else np.zeros((0, ORDER), np.uint32)
+    if not langs:
+        return Model([], [], [], [], [], np.zeros(0, np.float32))
+    every = np.concatenate([counts[x][0] for x in langs])
     letters = len(np.unique(every)) + 1
     floor = np.log(np.full(n_lang, 1.0 / letters))
     keys, logp, contexts, backoff, lower_p, lower_k = [], [], [], [], None, None
@@ -176,8 +178,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         contexts.append(ctx_u)
         backoff.append(bow.astype(np.float32))
         lower_p, lower_k = p, u
-    if langs:  # an unknown symbol: the unigrams' share for new ones
-        floor = floor + backoff[0][0]
+    floor = floor + backoff[0][0]  # an unknown symbol: the unigrams' share for new ones
     return Model(langs, keys, logp, contexts, backoff, floor.astype(np.float32))
 
 
