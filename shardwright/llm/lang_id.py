@@ -201,9 +201,10 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = DOCS_PER_LANGU
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not sizes:
         return kneser_ney({})
-    rates = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sorted(sizes.items())], "lang string, rate double")
+    # a row for each language is on the driver by now: no join, which would gather a language's texts
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 30).cast("long"))
-    sample = docs.join(rates, "lang").where(draw < F.col("rate") * (1 << 30)).select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(5)) == 0).alias("apart"))
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))))
+    sample = docs.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(5)) == 0).alias("apart"))
     sample = written(sample, "language-sample")
     found = sample.where("not apart").select("lang", "text").mapInArrow(_gram_counts, "lang string, a long, b long, n long")
     found = found.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
