@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.shared import WHITE, n_words
+from shardwright.llm.shared import WHITE, n_words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -52,13 +52,13 @@ def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     df = docs.withColumns({"size": n_words(F.col(text)), "no_source": F.col(source).isNull(), "source_key": F.coalesce(source, F.lit("")), "draw": h, "bucket": F.left(h, F.lit(3))})
     keys = ["no_source", "source_key"]
-    sums = df.groupBy(*keys, "bucket").agg(F.sum("size").alias("n"))
+    sums = written(df.groupBy(*keys, "bucket").agg(F.sum("size").alias("n")), "bucket-sizes")
     in_order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("earlier", F.coalesce(F.sum("n").over(in_order), F.lit(0))).select(*keys, "bucket", "earlier")
-    targets = source_targets(df.select(*keys, "size"), weight, repeats).drop("weight")
+    earlier = sums.withColumn("earlier", F.coalesce(F.sum("n").over(in_order), F.lit(0))).select(*keys, "bucket", "earlier")
+    targets = source_targets(sums.select(*keys, F.col("n").alias("size")), weight, repeats).drop("weight")
     within = Window.partitionBy(*keys, "bucket").orderBy("draw", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    df = df.join(sums.join(targets, keys), [*keys, "bucket"])
+    df = df.join(earlier.join(targets, keys), [*keys, "bucket"])
     df = df.withColumn("begin", F.col("earlier") + F.col("inside"))
     taken = sum((round_taken(i) for i in range(repeats)), F.lit(0).cast("long"))
     return df.withColumn("taken", taken).drop(*keys, "bucket", "earlier", "inside", "draw")
