@@ -15,11 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts without a letter or like no learned language go. The models learn from
     the same three quarters of the labelled documents as in op1."""
     model = lang_id.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    return lang_id.predict(docs, model, *docs.columns).where("not rejected").select(*_own(docs))
-
-
-def _own(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+    own = [f"`{c}`" for c in docs.columns]
+    return lang_id.predict(docs, model, *own, prefix="_judged_").where("not _judged_rejected").select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

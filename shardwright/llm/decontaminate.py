@@ -182,5 +182,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
-    bad = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_mark") == F.xxhash64(docs["doc_id"], docs["text"])), "left_anti")
+    bad = contaminated(docs, benchmark, coverage).select(F.struct("doc_id", "mark").alias("found")).distinct()
+    mine = F.struct(docs["doc_id"], F.xxhash64(docs["doc_id"], docs["text"]).alias("mark"))
+    return docs.join(bad, mine == bad["found"], "left_anti")

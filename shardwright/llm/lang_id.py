@@ -255,10 +255,11 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """The kept columns with lang_pred, score, entropy (nats per symbol) and rejected."""
-    docs = docs.select(*keep, F.col("text").alias("_text"))
-    kept = docs.drop("_text").schema
+def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = "") -> DataFrame:
+    """The kept columns with lang_pred, score, entropy (nats per symbol) and rejected, their names after the prefix."""
+    docs = docs.select(*keep, F.col("text").alias("_text_to_judge"))
+    kept = docs.drop("_text_to_judge").schema
+    names = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +269,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
             for lo, hi in K.runs(offs, K.SLICE):
                 part = batch.slice(lo, hi - lo)
                 lang, score, entropy, no = model.judge(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy.astype(np.float64)), pa.array(no)], [*part.schema.names[:-1], "lang_pred", "score", "entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy.astype(np.float64)), pa.array(no)], [*part.schema.names[:-1], *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, entropy double, rejected boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {kind}" for c, kind in zip(names, ("string", "double", "double", "boolean")))])
     return docs.mapInArrow(run, schema)

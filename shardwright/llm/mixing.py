@@ -70,18 +70,21 @@ def round_taken(i: int | Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
 
 
-def mixed(docs: DataFrame, text: str = "text", **kw) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weight: Column | None = None, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the columns of docs, round, taken and finish
-    (virtual time), sorted by finish over all partitions. Of the document under way at the cut the first words stay."""
+    (virtual time; a column of docs that has one of these names stays and hides it), sorted by finish over all
+    partitions. Of the document under way at the cut the first words stay."""
     own = docs.columns
-    df = fair_queue(docs, text, **kw)
-    rounds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(kw.get("repeats", MAX_REPEATS) - 1)), lambda i: round_taken(i) > 0))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
+    df = fair_queue(df, weight=weight, repeats=repeats, seed=seed)
+    rounds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda i: round_taken(i) > 0))
     df = df.where("taken > 0").withColumn("round", rounds)
     df = df.withColumn("taken", round_taken(F.col("round")))
     df = df.withColumn("finish", (F.col("begin") + F.col("round") * F.col("source_size") + F.col("size")) / F.col("target"))
-    lead = F.when(F.col(text).rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
-    rest = F.element_at(F.split(text, WHITE, (F.col("taken") + 1 + lead).cast("int")), -1)
-    cut = F.regexp_replace(F.expr(f"left(`{text}`, length(`{text}`) - length(rest))"), "[\\x20\\x09-\\x0D]+\\z", "")
-    df = df.withColumn("rest", F.when(F.col("taken") < F.col("size"), rest)).withColumn(text, F.when(F.col("rest").isNull(), F.col(text)).otherwise(cut))
-    df = df.withColumn("size", F.col("taken"))
-    return df.select(*own, "round", "taken", "finish").repartitionByRange("finish").sortWithinPartitions("finish")
+    lead = F.when(F.col("text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
+    df = df.withColumn("rest", F.when(F.col("taken") < F.col("size"), F.element_at(F.split("text", WHITE, (F.col("taken") + 1 + lead).cast("int")), -1)))
+    cut = F.regexp_replace(F.expr("left(text, length(text) - length(rest))"), "[\\x20\\x09-\\x0D]+\\z", "")
+    df = df.withColumn("text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(cut))
+    df = df.repartitionByRange("finish").sortWithinPartitions("finish")
+    columns = [F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in own]
+    return df.select(*columns, *(c for c in ("round", "taken", "finish") if c not in own))

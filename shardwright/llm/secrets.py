@@ -113,7 +113,7 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, **kw) -> DataFrame:
     own = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
     every = F.concat(*(spans_of(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
-    found = written(docs.select(F.struct(*own).alias("doc"), _without_covered(F.array_sort(every), _SPAN).alias("spans"), F.coalesce(F.col(kw.get("owner", "source")).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(kw.get("repository", "doc_id")).cast("string"), F.lit("")).alias("repository")).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), _without_covered(F.array_sort(every), _SPAN).alias("spans"), F.coalesce(F.col(kw.get("owner", "source")).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(kw.get("repository", "doc_id")).cast("string"), F.lit("")).alias("repository")).withColumn("row", F.monotonically_increasing_id()), "secrets")
     live = ownership(found).where(F.col("n_owners") <= max_owners).select("hash")
     spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).withColumn("hash", F.sha2("x.value", 256)).join(live, "hash")
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("live"))

@@ -177,7 +177,7 @@ def test_mix_rows(spark):
     docs = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, size int")
     mix = mixing.mixed(docs)
     out = mix.collect()
-    assert mix.columns == ["doc_id", "text", "source", "size", "round", "taken", "finish"]
+    assert mix.columns == ["doc_id", "text", "source", "size", "round", "taken", "finish"] and {r.size for r in out} == {1}
     assert all(len(words(r.text)) == r.taken for r in out)
     queue = mixing.fair_queue(docs).agg(F.sum("taken")).first()[0]
     assert sum(r.taken for r in out) == queue
@@ -213,3 +213,16 @@ def test_pipeline_stages(spark, sf_dir):
     mix = seen["source_mix"][1]
     assert mix.count() > 0 and mix.columns[: len(columns)] == columns
     assert [r.finish for r in mix.collect()] == sorted(r.finish for r in mix.collect())
+
+
+def test_pipeline_with_clashing_columns(spark, sf_dir, tmp_path):
+    names = ["lang_pred", "score", "rejected", "node", "class_id", "mark", "_id", "spans", "row", "taken", "size", "target", "begin"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({n: F.lit(n) for n in names})
+    none = docs.limit(2).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    docs.limit(60).unionByName(none).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "round", "finish"]
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(names)}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
