@@ -5,6 +5,8 @@ length (but for 8 bytes a word where a caller needs all of a document's words)."
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,12 +129,19 @@ def unique_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def release() -> None:
+    """Gives memory that is free by now back to the system: workers live on while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Lookup:
     """Places of keys in a sorted array of distinct 64-bit integers: a hashed index first, binary search for the rest."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        bits = max(8, int(max(len(keys), 1) - 1).bit_length() + 3)
+        bits = max(8, int(max(len(keys), 1) - 1).bit_length() + 2)
         self.shift = np.uint64(64 - bits)
         self.index = np.zeros(1 << bits, np.int32)
         self.index[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
