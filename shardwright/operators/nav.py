@@ -99,8 +99,9 @@ def orphans(current: DataFrame, platforms: DataFrame, enabled: tuple[str, ...],
 
 
 def platform_pages(body: DataFrame, platforms: DataFrame) -> DataFrame:
-    """One body (a single row) for every platform (platform, path, heading): a broadcast of that row."""
-    return platforms.join(F.broadcast(body.limit(1))).select("platform", "path", F.concat("heading", F.lit("\n"), "body").alias("body"))
+    """One body (a single row) for every platform (platform, path, heading): an equi-join on a constant."""
+    one = body.limit(1).select("body", F.lit(1).alias("k"))
+    return platforms.withColumn("k", F.lit(1)).join(one, "k").select("platform", "path", F.concat("heading", F.lit("\n"), "body").alias("body"))
 
 
 def memory_dir(root: Column) -> Column:

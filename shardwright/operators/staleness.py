@@ -56,9 +56,9 @@ def code_index(paths: DataFrame, cfg: StaleConfig = StaleConfig()) -> DataFrame:
 def missing_anchors(cited: DataFrame, index: DataFrame) -> DataFrame:
     """Citations that no indexed path ends with (not even within a segment). The join is on the base name. With an empty
     index nothing is checked and nothing is missing."""
-    some = index.limit(1).select(F.lit(1).alias("some"))
+    some = index.limit(1).select(F.lit(1).alias("k"))
     gone = cited.join(index, (cited["base"] == index["base"]) & index["path"].endswith(cited["cited"]), "left_anti")
-    return gone.join(some).select("rel", "cited")
+    return gone.select("rel", "cited", F.lit(1).alias("k")).join(some, "k", "left_semi").select("rel", "cited")
 
 
 def ages(day: Column, cfg: StaleConfig) -> Column:

@@ -29,6 +29,24 @@ def collection_page(records: DataFrame, title: str, path: str, today: str, cfg:
     return body.select(F.lit(path).alias("path"), F.concat(F.lit(header("moc", title, today, cfg) + "\n"), "b", F.lit("\n")).alias("body"))
 
 
+def index_page(counts: dict[str, int], references: list[str], today: str, architecture: bool = False, cfg: CorpusConfig = CorpusConfig()) -> str:
+    """The page of all collections with their counts and the total, the architecture page included."""
+    out = [header("index", f"{cfg.project} knowledge", today, cfg), "| Page | Records |", "|---|--:|"]
+    out += [f"| [[{c}]] | {counts.get(c, 0)} |" for c in cfg.collections] + (["| [[architecture]] | 1 |"] if architecture else [])
+    out += ["", "## Reference", *([f"- `reference/{r}`" for r in sorted(references)] or ["- _(none yet)_"])]
+    return "\n".join([*out, "", f"*{sum(counts.get(c, 0) for c in cfg.collections) + architecture} records in all.*", ""])
+
+
+def live_page(records: DataFrame, title: str, path: str, notes: list[str] = [], cfg: CorpusConfig = CorpusConfig()) -> DataFrame:  # noqa: B006
+    """One row (path, body): saved notes, open findings and open work. It is what a session always loads."""
+    rows = nav.live_rows(records).groupBy("section").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x"))
+    labels = records.sparkSession.createDataFrame([(1, "live-security", "Open findings"), (2, "open-work", "Open work")], "place int, section string, label string")
+    part = F.concat(F.lit("## "), "label", F.lit(" ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")\n"), F.coalesce(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("- _none open_")))
+    both = labels.join(rows, "section", "left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("b"))
+    top = f"# {title}\n\n<!-- {cfg.marker}: edit records, then run it again -->\n\n## Saved notes\n" + ("\n".join(f"- [{n}]({n}.md)" for n in sorted(notes)) or "- _(none yet)_") + "\n\n"
+    return both.select(F.lit(path).alias("path"), F.concat(F.lit(top), "b", F.lit("\n")).alias("body"))
+
+
 def eval_report(headline: dict, by_type: list, verdicts: list) -> str:
     """Rows of the evaluation statistics as a markdown report."""
     pct = lambda x: "n/a" if x is None else f"{x:.0f}%"

@@ -10,7 +10,7 @@ from shardwright.config import CorpusConfig, LintConfig, StaleConfig
 from shardwright.functions import frontmatter as fm
 from shardwright.functions import text as tx
 from shardwright.operators import gate, lint, links, nav, staleness
-from shardwright.render import collection_page
+from shardwright.render import collection_page, eval_report, index_page, live_page
 from shardwright.sources.vault import MissingVault, base_names, collection, lint_scope, read_vault
 
 
@@ -216,3 +216,15 @@ def test_gate_run(spark, files):
     assert [r.stage for r in gate.run_gate(files.where("rel = 'decisions/bad.md'"), paths, block=False)] == ["fix", "lint", "links"]
     assert gate.push_range("0" * 40, None, []) is None and gate.push_range("a", "b", []) == "b..a"
     assert gate.push_range("a", "0" * 40, ["c", "d"]) == "d^..a" and gate.push_range("a", None, ["c"], root=True) == "a"
+
+
+def test_pages(spark, records):
+    text = index_page({"gotchas": 5, "tasks": 2}, ["b", "a"], "2024-02-01", architecture=True)
+    assert "| [[gotchas]] | 5 |" in text and "*8 records in all.*" in text and text.index("reference/a") < text.index("reference/b")
+    page = live_page(records, "P", "MEMORY.md", ["note"])
+    body = page.first().body
+    assert "## Open findings (1)\n- [[open]] — short" in body and "- [note](note.md)" in body
+    platforms = spark.createDataFrame([("codex", "AGENTS.md", "# A"), ("gemini", "GEMINI.md", "# G")], "platform string, path string, heading string")
+    assert {r.path: r.body for r in nav.platform_pages(page, platforms).collect()} == {"AGENTS.md": "# A\n" + body, "GEMINI.md": "# G\n" + body}
+    report = eval_report({"on_rate": 50.0, "off_rate": 0.0}, [{"type": "a", "n": 2, "on_rate": None, "off_rate": 1.0, "delta": None}], [{"verdict": "both", "n": 1}])
+    assert "| a | 2 | n/a | 1% | — |" in report
