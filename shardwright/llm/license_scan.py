@@ -2,13 +2,13 @@
 
 A paragraph is a line. Its features are its distinct words and word pairs; a multinomial logistic regression over the
 families and `none`, fitted here on the notices below, their variants and plain paragraphs, has weights for the features
-that occur in notices, and a temperature from variants it hasn't seen. A paragraph without a CUE word has no evidence
-and is `none` by definition. Predictions are confirmed by comparing templates: the share of the paragraph's word pairs
+that occur in notices, and a temperature from variants it hasn't seen. Lines that the model can only call `none`, whatever
+else they hold, are told by their words (anchors(), derived from the weights) and go no further. Predictions are confirmed by comparing templates: the share of the paragraph's word pairs
 that the family's notices have, or the other way round, must reach SIMILAR. A paragraph that is a licence by the
 classifier, but of low probability or not confirmed, is `unknown`.
 
 Fitting takes place on the driver over the fixed notices (about a thousand variants), no corpus rows. The scan is SQL
-expressions: lines with a cue are few, equal lines are classified once, their features join the model's rows.
+expressions: equal lines are classified once, their features join the model's rows.
 
 Defined cases: null or empty text has no paragraph; repeated rows are rows of their own; a line of any length is one
 paragraph; an empty table gives an empty result; other columns are ignored.
@@ -30,6 +30,7 @@ from shardwright.llm.shared import written
 SURE = 0.6
 SIMILAR = 0.5
 NONE, UNKNOWN = "none", "unknown"
+#: Usual words of notices; the scan doesn't go by them.
 CUE = r"(?i)licen[cs]|copyright|copyleft|\bgpl|\bspdx|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|all rights reserved|creative commons|\bcc[ -]by|\bcc0|unlicense|as is"
 
 # Fixed texts: usual licence notices by family.
@@ -38,6 +39,7 @@ NOTICES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT license. See LICENSE in the project root for license information.",
         "SPDX-License-Identifier: MIT",
+        "Code: MIT license.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -56,15 +58,19 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: GPL-2.0-only",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "Licensed under the GPL v2 or later.",
+        "Distributed under the GPLv3.",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is licensed under the LGPL v2.1.",
+        "Distributed under the LGPLv3.",
     ],
     "AGPL": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "Distributed under the AGPLv3.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "BSD": [
@@ -100,6 +106,7 @@ NOTICES: dict[str, list[str]] = {
     ],
     "Proprietary": [
         "Copyright 2020 Example Corporation. All rights reserved.",
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
@@ -119,6 +126,31 @@ PLAIN = [
     "Our licensed electricians can be reached at any time of the day.",
     "The conditions of the road are met with concern by the residents.",
 ]
+# Fixed texts: ordinary prose, whose small words notices have too (German `mit` above all).
+PROSE = [
+    "They walked along the shore for an hour and watched that the children did not go in.",
+    "It was not the first time that she had been there, or the last, but no one knew of it.",
+    "There is a house in the valley which may be seen from any of the hills.",
+    "That was all. Not so. If only. In any case, no. See you. By the way.",
+    "You can do with it as you like, and all of this is for you.",
+    "The following day the file of soldiers, without a word, was on its way to the work at the bridge.",
+    "Er ging mit seinem Bruder durch die Stadt und kam mit dem Abend nach Hause.",
+    "Mit der Zeit wird alles gut, sagte sie, und mit ihm war nicht zu reden.",
+    "Das ist die Frage, mit der sich der Rat in der Sitzung nicht befassen will.",
+    "Nicht mit mir. Mit Geduld. Komm mit. Mit uns. Von mit. Und mit das. Mit sich die der. Das mit dem.",
+    "Wir sind mit den Kindern in die Berge gefahren, um mit einer Freundin zu wandern.",
+    "Elle est venue avec son frère et les enfants de la maison pour une semaine.",
+    "Le chat qui dort sur la table ne veut pas que les autres en parlent par ici.",
+    "La casa de los abuelos está en el centro del pueblo, con una puerta por la que no se puede pasar.",
+    "Los niños y las niñas que van a la escuela no son de este lugar, a no ser por uno.",
+]
+#: Fixed words without weights of their own: small words of English, German, French and Spanish, `mit` (German) among them.
+SMALL = set(
+    "a about all also an and any are as at be been but by can do for from had has have he her his if in into is it its more no not of on one only or our see she so that the their there these they this to was we were which who will with would you your "
+    "als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch nur oder sich sie sind so um und vom von war wer wie wir wird zu zum zur "
+    "au aux avec ce cette dans de du elle en est et il la le les leur lui mais ne nous ont ou où par pas plus pour que qui sa se ses son sont sur un une vous "
+    "al con como del el ella ellos era esta este fue ha hay las lo los mi no para pero por se sin su sus también y ya".split()
+)
 _SPLIT = r"[^a-z0-9.+]+"
 
 
@@ -151,13 +183,24 @@ def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, dict
     families = [NONE, *NOTICES]
     rows: list[tuple[set[str], int, bool]] = []
     for k, f in enumerate(families):
-        for line in NOTICES.get(f, PLAIN):
+        for line in NOTICES.get(f, PLAIN + PROSE):
             rows += [(features(x), k, i % 4 == 3) for i, x in enumerate([line, *_variants(line, rng, 23)])]
+            w = line.split()
+            rows += [(features(" ".join(w[i : i + 10])), k, i % 4 == 3) for i in range(0, len(w) - 9) if len(w) > 12]  # hard-wrapped
     every = [w for lines in (*NOTICES.values(), PLAIN) for x in lines for w in x.lower().split()]
     for i in range(400):  # word salad of the same words, and of few of them
         rows.append((features(" ".join(rng.choices(every, k=rng.randint(4, 30)))), 0, i % 4 == 3))
+    prose = [w for x in PROSE for w in x.split()]
+    for i in range(400):  # and of prose, as short as one word
+        rows.append((features(" ".join(rng.choices(prose, k=rng.randint(1, 12)))), 0, i % 4 == 3))
+    said = {w for lines in NOTICES.values() for x in lines for w in features(x)}
+    for x in sorted({w for x in PROSE for w in features(x) if " " not in w} & said):  # shared words with little around them
+        for i in range(12):
+            w = rng.choices(prose, k=i % 4)
+            w.insert(rng.randint(0, len(w)), x)
+            rows.append((features(" ".join(w)), 0, i % 4 == 3))
     seen = Counter(x for s, _, held in rows if not held for x in s)
-    names = sorted(x for x, n in seen.items() if n > 2)
+    names = sorted(x for x, n in seen.items() if n > 2 and not SMALL.issuperset(re.split(_SPLIT, x)))
     place = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
     for r, (s, _, _) in enumerate(rows):
@@ -184,9 +227,31 @@ def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, dict
     return families, {n: w[i] for n, i in place.items()}, b, heat, pairs
 
 
+@lru_cache(1)
+def anchors() -> list[str]:
+    """Words of which a line needs one to be other than `none`. All words of the model's features but small ones and
+    those of plain paragraphs, freed one by one as long as no line without the others can outweigh `none`: whatever n features
+    it has, a family's lead is at most its n largest free weights over `none`'s by sqrt(n), which must stay below
+    `none`'s lead in the biases."""
+    _, weights, bias, _, _ = trained()
+    lead, need = {f: w[1:] - w[0] for f, w in weights.items()}, bias[0] - bias[1:]
+    held, free = {x for f in weights for x in f.split(" ")}, set()
+    common = Counter(x.strip(".") for line in PLAIN + PROSE for x in re.split(_SPLIT, line.lower()))
+    for x in dict.fromkeys([*sorted(SMALL), *(x for x, _ in common.most_common())]):
+        own = [w for f, w in lead.items() if free.union((x,)).issuperset(f.split(" "))]
+        top = np.cumsum(np.sort(np.maximum(own, 0), 0)[::-1], 0) / np.sqrt(np.arange(1, len(own) + 1))[:, None] if own else np.zeros((1, 1))
+        if (top.max(0) < need - 1e-6).all():
+            free.add(x)
+    return sorted(held - free)
+
+
+def _words(line: Column) -> Column:
+    return F.transform(F.filter(F.split(F.lower(line), _SPLIT), lambda x: F.btrim(x, F.lit(".")) != ""), lambda x: F.btrim(x, F.lit(".")))
+
+
 def _features(line: Column) -> Column:
     """The same features in SQL."""
-    w = F.transform(F.filter(F.split(F.lower(line), _SPLIT), lambda x: F.btrim(x, F.lit(".")) != ""), lambda x: F.btrim(x, F.lit(".")))
+    w = _words(line)
     both = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"))
     pairs = F.transform(F.filter(both, lambda x: x["b"].isNotNull()), lambda x: F.concat_ws(" ", x["a"], x["b"]))
     return F.array_distinct(F.concat(w, pairs))
@@ -222,8 +287,9 @@ def classified(lines: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, families (distinct, sorted, comma-joined; empty where there is none), n_notices,
     n_unknown, lines (number:family of each, comma-joined)."""
-    cue = F.when(F.col(text).rlike(CUE), F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))), lambda x: x["line"].rlike(CUE)))
-    found = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), cue.alias("hits")), "license-lines")
+    held = anchors()
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))), lambda x: F.exists(_words(x["line"]), lambda w: w.isin(held)))
+    found = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("hits")), "license-lines")
     hits = found.where("size(hits) > 0").select("row", F.explode("hits").alias("x")).select("row", "x.no", "x.line")
     verdicts = classified(hits.select("line").distinct()).where(F.col("family") != NONE)
     per_row = hits.join(verdicts, "line").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "family"))).alias("v"))  # the lines of one text

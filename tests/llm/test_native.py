@@ -187,3 +187,26 @@ def test_license_rows(spark, sf_dir):
     out = license_scan.license_scan(spark.createDataFrame([(i, t, 1) for i, t in odd], "doc_id long, text string, lines int")).collect()
     assert len(out) == 5 and sorted(r.families for r in out if r.doc_id == 3) == ["", "GPL,MIT"]
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_scan_of_lines_without_usual_words(spark):
+    lines = [(f, x) for f, notices in license_scan.NOTICES.items() for x in notices]
+    lines += [("LGPL", "This library is LGPL v2.1"), ("AGPL", "Distributed under AGPLv3"), ("BSD", "Released under BSD 3-Clause"), ("MIT", "Code: MIT"), ("Proprietary", "All rights reserved.")]
+    lines += [(f, f"Note: {x} Thanks") for f, x in lines if len(x.split()) > 8]
+    lines += [("MIT", "documentation files (the \"Software\"), to deal in the Software without restriction,"), ("GPL", "it under the terms of the GNU General Public License as published by")]
+    docs = spark.createDataFrame([(i, f"some words\n{x}\nund mit ihm") for i, (_, x) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.license_scan(docs).collect()}
+    assert [(x, got[i]) for i, (f, x) in enumerate(lines) if got[i] != f] == []
+    plain = spark.createDataFrame([(i, x) for i, x in enumerate(["Er kam mit ihr.", "Mit wem?", "That is so.", "see this file", "one of us or all"])], "doc_id long, text string")
+    assert [r.n_notices for r in license_scan.license_scan(plain).collect()] == [0] * 5
+
+
+def test_license_lines_left_out_are_none(spark, sf_dir):
+    import random
+
+    rng, held = random.Random(5), set(license_scan.anchors())
+    _, weights, *_ = license_scan.trained()
+    free = sorted({x for f in weights for x in f.split(" ")} - held)
+    lines = {" ".join(rng.choices(free, k=rng.randint(1, 12))) for _ in range(2000)} | {f for f in weights if not held & set(f.split(" "))}
+    got = license_scan.classified(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert got.where(F.col("family") != "none").count() == 0
