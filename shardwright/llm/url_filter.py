@@ -2,7 +2,7 @@
 
 A rule is a host and a path: it fits that host and all its subdomains where the URL's path starts with the rule's; the
 longest fitting rule wins, allow before block among equals. URLs that no rule fits get the verdict of their aliases:
-host and path are nodes of a graph whose edges are redirects (meta refresh, or a table of them) and canonical links, its
+URLs with their queries, without fragments, are nodes of a graph whose edges are redirects (meta refresh, or a table of them) and canonical links, its
 connected components come from distributed star rounds, and a component with an allowed member is allowed, one with
 blocked members only is blocked, any other is allowed.
 
@@ -41,6 +41,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """From the `?` to the fragment; empty where there is none."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
+    return F.coalesce(F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
+def _node(url: Column) -> Column:
+    return F.struct(host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
+
+
 def resolved(link: Column, url: Column) -> Column:
     """An absolute URL from a link on a page; what needs dot segments is left as it is."""
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
@@ -83,13 +94,12 @@ def judged(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = Non
     links = links_of(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
-    edges = written(links.select(host_of(F.col("from_url")).alias("ah"), path_of(F.col("from_url")).alias("ap"), host_of(F.col("to_url")).alias("bh"), path_of(F.col("to_url")).alias("bp")).where("ah <> '' and bh <> ''").distinct(), "links")
-    a, b = F.struct(F.col("ah").alias("host"), F.col("ap").alias("path")), F.struct(F.col("bh").alias("host"), F.col("bp").alias("path"))
-    groups = components(edges.select(a.alias("a"), b.alias("b")))
-    mine = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    nodes = groups.select("node.host", "node.path", "root")
+    edges = links.select(_node(F.col("from_url")).alias("a"), _node(F.col("to_url")).alias("b")).where("a.host <> '' and b.host <> ''")
+    groups = components(written(edges.distinct(), "links"))
+    mine = pages.select("page_id", _node(F.col("url")).alias("node")).select("page_id", "node.*")
+    nodes = groups.select("node.*", "root")
     fits = fitting(mine.select("host", "path").unionByName(nodes.select("host", "path")), rules)
     told = nodes.join(fits, ["host", "path"]).groupBy("root").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allow"))
-    passed = nodes.join(told, "root").select("host", "path", F.when(F.col("allow") == 1, "allow").otherwise("block").alias("alias"))
-    known = fits.join(passed, ["host", "path"], "full")
-    return mine.join(known, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
+    passed = nodes.join(told, "root").select("host", "path", "query", F.when(F.col("allow") == 1, "allow").otherwise("block").alias("alias"))
+    judged = mine.join(fits, ["host", "path"], "left").join(passed, ["host", "path", "query"], "left")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))

@@ -145,6 +145,14 @@ def test_url_aliases(spark):
     assert url_filter.judged(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_url_pages_that_differ_in_the_query(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [(1, "http://s.net/view?id=1", link("http://shop.com/de/1")), (2, "http://s.net/view?id=2#x", link("http://shop.com/fr/1")), (3, "http://s.net/view?id=3", ""), (4, "http://s.net/view", ""), (5, "http://t.net/", link("http://S.net/view?id=1#top"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.path, r.rule, r.verdict) for r in url_filter.judged(pages, url_filter.rule_table(spark)).collect()}
+    assert got == {1: ("/view", None, "block"), 2: ("/view", None, "allow"), 3: ("/view", None, "allow"), 4: ("/view", None, "allow"), 5: ("/", None, "block")}
+
+
 def test_license_classifier_on_unseen_variants(spark):
     import random
 
