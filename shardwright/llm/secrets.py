@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership.
 
 Patterns give candidates with their places; each candidate value is hashed, and the corpus is asked by how many distinct
-owners and repositories a value is held. A value of more than MAX_OWNERS owners is a widely copied example, others are
-live-looking credentials of their owner. BASE patterns are findings whatever the corpus says; MORE patterns, and BARE
+owners and repositories a value is held. A value of more than MAX_OWNERS owners, or of more than MAX_REPOSITORIES
+repositories whatever their owners, is a widely copied example; others are live-looking credentials of their owner.
+Repositories that hold it in copies of one text are one. BASE patterns are findings whatever the corpus says; MORE patterns, and BARE
 (long tokens of lower case, upper case and digits), are so only for live-looking values: a documentation key that
 everybody copies is no finding, the same shape held by one owner is.
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from shardwright.llm.shared import written
 
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 10
 # Fixed patterns: kind, pattern, group that holds the value, least length of the value, cheap test.
 BASE = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, r"(?i)password|passwd|secret|token|api_?key"),
@@ -60,19 +62,26 @@ def spans_of(text: Column, rank: int, pattern: str, group: int, least: int, test
 
 
 def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, owner, repository, row (its number, fixed once written), spans of all kinds."""
+    """One row per document: doc_id, owner, repository, row (its number, fixed once written), mark (a hash of
+    its text), spans of all kinds."""
     t = F.coalesce(F.col(text), F.lit(""))
     every = F.concat(*(spans_of(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
-    df = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), _without_covered(F.array_sort(every), _SPAN).alias("spans"))
+    df = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.xxhash64(t).alias("mark"), _without_covered(F.array_sort(every), _SPAN).alias("spans"))
     return written(df.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories) of every candidate value; each distinct pair is summed up before the next step."""
-    rows = found.where("size(spans) > 0").select("owner", "repository", F.explode("spans").alias("x")).select("owner", "repository", F.sha2("x.value", 256).alias("hash"))
-    pairs = rows.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """(hash, n_owners, n_repositories) of every candidate value; each distinct pair is summed up before the next step.
+    A text counts for the least of its repositories."""
+    rows = found.where("size(spans) > 0").select("owner", "repository", "mark", F.explode("spans").alias("x")).select("owner", "repository", "mark", F.sha2("x.value", 256).alias("hash"))
+    owners = rows.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    texts = rows.groupBy("hash", "mark").agg(F.min("repository").alias("repository"))
+    repositories = texts.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
+    return owners.join(repositories, "hash")
+
+
+def _live(max_owners: int, max_repositories: int) -> Column:
+    return (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
 
 
 def _without_covered(spans: Column, kind: str) -> Column:
@@ -89,10 +98,10 @@ def _without_covered(spans: Column, kind: str) -> Column:
     return F.when(F.exists(spans, lambda x: x["rank"] == _BARE), F.aggregate(spans, zero, step, lambda a: a["s"])).otherwise(spans)
 
 
-def scanned(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per document: doc_id, row, findings (start, rank, end, value, live), in order of start and kind."""
     found = candidates(docs, text, owner, repository)
-    verdicts = ownership(found).select("hash", (F.col("n_owners") <= max_owners).alias("live"))
+    verdicts = ownership(found).select("hash", _live(max_owners, max_repositories).alias("live"))
     spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).withColumn("hash", F.sha2("x.value", 256)).join(verdicts, "hash")
     spans = spans.where((F.col("x.rank") < len(BASE)) | F.col("live"))
     one = F.struct("x.start", "x.rank", "x.end", "x.value", "live")
@@ -107,14 +116,14 @@ def listed(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"], x["end"])), ",")
 
 
-def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, **kw) -> DataFrame:
+def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, **kw) -> DataFrame:
     """docs with every live-looking finding in its text replaced by `[kind]`, n_chars following where there is one."""
     text = kw.get("text", "text")
     own = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
     every = F.concat(*(spans_of(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
-    found = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), _without_covered(F.array_sort(every), _SPAN).alias("spans"), F.coalesce(F.col(kw.get("owner", "source")).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(kw.get("repository", "doc_id")).cast("string"), F.lit("")).alias("repository")).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    live = ownership(found).where(F.col("n_owners") <= max_owners).select("hash")
+    found = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), _without_covered(F.array_sort(every), _SPAN).alias("spans"), F.coalesce(F.col(kw.get("owner", "source")).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(kw.get("repository", "doc_id")).cast("string"), F.lit("")).alias("repository"), F.xxhash64(t).alias("mark")).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    live = ownership(found).where(_live(max_owners, max_repositories)).select("hash")
     spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).withColumn("hash", F.sha2("x.value", 256)).join(live, "hash")
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("live"))
     df = found.join(per_row, "row", "left")

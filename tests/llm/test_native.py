@@ -108,6 +108,18 @@ def test_ownership_tells_examples_from_live(spark):
     assert secrets.scanned(docs.limit(0)).count() == 0 and secrets.redacted(docs.limit(0)).count() == 0
 
 
+def test_value_copied_within_one_source(spark):
+    common, copied = "gh" + "p_" + "Qq11" * 9, "gh" + "p_" + "Rr22" * 9
+    rows = [(i, f"page {i} says {common}", "hot") for i in range(40)] + [(100 + i, f"page {i} has token={common}", "hot") for i in range(3)]
+    rows += [(200 + i, f"one text, many copies: {copied}", "hot") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: [(secrets.KINDS[x.rank], x.live) for x in r.findings] for r in secrets.scanned(docs).collect()}
+    assert all(got[i] == [] for i in range(40)) and all(got[100 + i] == [("assign", False)] for i in range(3))
+    assert all(got[200 + i] == [("github", True)] for i in range(40))
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert all(clean[i] == t for i, t, _ in rows if i < 200) and all(clean[200 + i] == "one text, many copies: [github]" for i in range(40))
+
+
 def _host_path(url):
     if url is None or "://" not in url:
         return "", ""
