@@ -3,9 +3,11 @@
 Numbers, names (capitalised words) and units (after a number) become typed placeholders. A template window is WINDOW
 typed tokens in a row, hashed; a window of fewer than LITERALS plain words keeps its words, as placeholders alone say
 nothing. Documents' windows meet the benchmark's in an equi-join on the hash. Windows of one document and item on one
-diagonal are checked for slot consistency: each benchmark value stands for one document value and the other way round,
-which holds for copies and for re-parameterised questions alike. An item is found if consistent windows cover
-COVERAGE of its tokens.
+diagonal are checked for slot consistency: each benchmark value stands for one document value (two may stand for the
+same), which holds for copies and for re-parameterised questions alike. Of a number or unit with several values the one
+of most windows counts, and windows with another one are left out unless all their slots are the item's; a name with
+several values makes another question of the whole passage. An item is found if consistent windows cover COVERAGE of its
+tokens.
 
 Before the shuffle a bitmap of the benchmark's hashes, BITMAP bits at every size, drops document windows that can't
 match; where a huge benchmark fills it, more rows reach the join and the result is the same. Items of the same text are
@@ -107,9 +109,9 @@ def windows(t: np.ndarray, raw: np.ndarray, slot: np.ndarray, row: np.ndarray, k
     return K.mix(h[at]).view(np.int64), at
 
 
-def _lists(raw: np.ndarray, slot: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
-    """For each window the raw hashes of its slots, 0 for plain words."""
-    values = np.where(slot, raw, np.uint64(0)).view(np.int64)[at[:, None] + np.arange(k)]
+def _lists(t: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
+    """For each window the raw hashes of its slots, odd for names and even for others, 0 for plain words."""
+    values = np.where(slot, raw & ~np.uint64(1) | (t == _NAME), np.uint64(0)).view(np.int64)[at[:, None] + np.arange(k)]
     return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(values.ravel()))
 
 
@@ -125,7 +127,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             h, at = h[own], at[own]
             if len(at):
                 r = row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _lists(raw, slot, at, k)], ["h", "item_id", "ipos", "n", "k", "islots"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _lists(t, raw, slot, at, k)], ["h", "item_id", "ipos", "n", "k", "islots"])
 
 
 def _doc_windows(bits, sizes: list[int]):
@@ -145,7 +147,7 @@ def _doc_windows(bits, sizes: list[int]):
                         h, at = h[hit], at[hit]
                         r = row[at]
                         take = pa.array(r + lo)
-                        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _lists(raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
+                        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _lists(t, raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
 
     return run
 
@@ -167,10 +169,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     mine = docs.mapInArrow(_doc_windows(bits, sizes), f"h long, doc_id {id_type}, mark long, dpos long, dslots array<long>")
     pairs = mine.join(items, "h").select("doc_id", "mark", "item_id", "n", "k", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", F.arrays_zip("islots", "dslots").alias("slots"))
     # the windows of an item on one diagonal: as many as the item has, at most
-    one = pairs.groupBy("doc_id", "mark", "item_id", "n", "k", "diagonal").agg(F.collect_set("ipos").alias("at"), F.collect_set("slots").alias("slots"))
-    one = one.withColumn("slots", F.array_distinct(F.filter(F.flatten("slots"), lambda x: x["islots"] != 0)))
-    count = lambda c: F.size(F.array_distinct(F.transform("slots", lambda x: x[c])))
-    one = one.where((count("islots") == F.size("slots")) & (count("dslots") == F.size("slots")))
+    one = pairs.groupBy("doc_id", "mark", "item_id", "n", "k", "diagonal").agg(F.collect_set(F.struct("ipos", "slots")).alias("windows"))
+    one = one.withColumn("every", F.filter(F.flatten("windows.slots"), lambda x: x["islots"] != 0)).withColumn("distinct", F.array_distinct("every"))
+    name = lambda x: F.pmod(x["islots"], F.lit(2)) == 1
+    names = F.filter("distinct", name)
+    one = one.where(F.size(F.array_distinct(F.transform(names, lambda x: x["islots"]))) == F.size(names))
+    # each value's commonest counterpart, the item's own among equals
+    votes = F.transform("distinct", lambda x: F.struct(x.alias("x"), F.struct(F.size(F.filter("every", lambda y: y == x)).alias("n"), (x["islots"] == x["dslots"]).alias("own"), x["dslots"].alias("d")).alias("votes")))
+    one = one.withColumn("votes", votes)
+    best = F.filter("votes", lambda v: ~F.exists("votes", lambda o: (o["x"]["islots"] == v["x"]["islots"]) & (o["votes"] > v["votes"])))
+    one = one.withColumn("best", F.transform(best, lambda v: v["x"]))
+    fits = lambda w: F.forall(w["slots"], lambda x: (x["islots"] == 0) | F.array_contains("best", x)) | F.forall(w["slots"], lambda x: (x["islots"] == 0) | (x["islots"] == x["dslots"]))
+    one = one.withColumn("windows", F.filter("windows", fits)).select("doc_id", "mark", "item_id", "n", "k", F.col("windows.ipos").alias("at"), F.array_distinct(F.filter(F.flatten("windows.slots"), lambda x: x["islots"] != 0)).alias("slots"))
     every = one.groupBy("doc_id", "mark", "item_id", "n").agg(
         F.array_distinct(F.flatten(F.collect_list(F.expr("flatten(transform(at, p -> sequence(p, p + k - 1)))")))).alias("covered"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))

@@ -72,6 +72,24 @@ def test_templates(spark, items, text, want):
     assert [(r.item_id, r.n_changed) for r in got] == ([want] if want else [])
 
 
+TWICE = "A farmer has 40 sheep and buys 12 goats for 9 coins each then sells 40 eggs and keeps the rest for winter"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "want"),
+    [
+        (ITEM, ITEM.replace("5", "7").replace("for 3", "for 7"), [2]),  # two values became the same
+        (TWICE, TWICE.replace("40 eggs", "41 eggs"), [0, 1]),  # one of two equal numbers changed
+        (TWICE, TWICE.replace("40 sheep", "77 sheep").replace("12 goats", "8 goats"), [1, 2]),
+        (TWICE, TWICE.replace("40", "61"), [1]),
+    ],
+)
+def test_slots_in_conflict_cost_their_windows(spark, item, text, want):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame([(1, f"{LONG}. {text}. {LONG}")], "doc_id long, text string"), items).collect()
+    assert len(got) == 1 and got[0].coverage > 0.6 and got[0].n_changed in want
+
+
 def test_contamination_matches_brute_force(spark, sf_dir):
     sf_dir = sf_dir.replace("0.001", "0.01")
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
