@@ -29,6 +29,7 @@ class CorpusConfig:
 
 @dataclass(frozen=True)
 class LintConfig:
+    # The schema of a record, as lint has it by default.
     required: tuple[str, ...] = ("name", "type", "title", "status", "updated", "volatility", "provenance")
     recommended: tuple[str, ...] = ("area", "tags")
     types: tuple[str, ...] = ("gotcha", "decision", "security", "task", "repo", "architecture", "reference")
@@ -55,6 +56,10 @@ class StaleConfig:
     extensions: tuple[str, ...] = ("ts", "tsx", "js", "jsx", "rs", "py", "go", "sh", "toml", "yaml", "yml", "sql", "rb", "java", "kt", "swift", "c", "h", "cpp", "json")
     pruned: tuple[str, ...] = (".git", "node_modules", "dist", "build", "target")
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> StaleConfig:
+        return cls(days=int(env.get("KB_STALE_DAYS", "14")), today=env.get("KB_TODAY") or None)
+
 
 @dataclass(frozen=True)
 class DigestConfig:
@@ -64,6 +69,10 @@ class DigestConfig:
     least: int = 12
     buckets: tuple[tuple[str, str], ...] = field(default=())
 
+    @classmethod
+    def from_options(cls, match: str, cap: int = 4000, buckets: str = "") -> DigestConfig:
+        return cls(match=match, cap=cap, buckets=cls.rules(buckets))
+
     @staticmethod
     def rules(spec: str) -> tuple[tuple[str, str], ...]:
         """name=part,name2=part2: parts without `=` are left out, what a rule looks for is lower-cased."""

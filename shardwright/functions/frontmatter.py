@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.text import newlines, strip
 
+# Fixed patterns: the blocks and key lines of the dialects.
 BLOCK = {"D1": r"(?s)\A---\n(.*?)\n---", "D2": r"(?s)\A---\n(.*?)\n---\n?(.*)\z", "D3": r"(?s)\A---\n(.*?)\n---\n"}
 LINE = {"D1": r"(?U)^(\w+):\s*(.*)$", "D2": r"(?U)^(\w+):\s*(.*)$", "D3": r"(?U)^(\w[\w-]*):[ \t]+(.*?)[ \t]*$"}
-QUOTED = r"""(?s)^(?:"(?:\\.|[^"\\])*\\?"|'(?:[^']|'')*')$"""
+#: Possessive and unrolled: a group that repeats and backtracks takes a stack frame for each character.
+QUOTED = r"""(?s)^(?:"[^"\\]*+(?:\\(?!"\z).[^"\\]*+)*+\\?"|'[^']*+(?:''[^']*+)*+')\z"""
+# Fixed value: characters that a plain YAML scalar can't begin with.
 RESERVED = "!&*?|>%@`,[]{}#\"'"
 
 
@@ -52,7 +55,7 @@ def line_value(text: Column, key: str) -> Column:
 
 
 def is_kebab(c: Column) -> Column:
-    return c.rlike(r"^[a-z0-9]+(-[a-z0-9]+)*\z")
+    return c.rlike(r"^[a-z0-9]++(?:-[a-z0-9]++)*+\z")
 
 
 def is_lint_date(c: Column) -> Column:

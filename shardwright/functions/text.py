@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+#: White space at either end; the look-behind keeps long runs inside a text from being tried at each of their places.
+_EDGE = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z"
 #: Line ends as str.splitlines has them.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 TEXT_BLOCKS = ("text", "input_text", "output_text")
@@ -15,6 +18,22 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+@F.pandas_udf(StringType())
+def _lenient(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as text, those that are no UTF-8 left out. Only rows that have such bytes go through Python."""
+    plain = raw.cast("string")
+    return F.coalesce(F.when(F.is_valid_utf8(plain), plain), _lenient(F.when(~F.is_valid_utf8(plain), raw)))
+
+
+def file_path(url: Column) -> Column:
+    """The path of a file's URL as Spark's metadata gives it: no scheme file:, percent escapes undone."""
+    return F.url_decode(F.replace(F.regexp_replace(url, "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+
+
 def newlines(c: Column) -> Column:
     """Text as read in text mode: every line end is \\n."""
     return F.regexp_replace(c, "\r\n?", "\n")
@@ -36,7 +55,7 @@ def strip_code(c: Column) -> Column:
 def clean_message(c: Column, cap: int = 4000) -> Column:
     """A chat message stripped, emptied if a tool wrote it, white space before line ends dropped, cut at cap."""
     t = strip(F.coalesce(c, F.lit("")))
-    t = F.when(t.startswith("<environment_context>") | t.startswith("<command-") | t.startswith("Caveat:"), "").otherwise(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+\n", "\n"))
+    t = F.when(t.startswith("<environment_context>") | t.startswith("<command-") | t.startswith("Caveat:"), "").otherwise(F.regexp_replace(t, r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\n", "\n"))
     return F.when(F.length(t) > cap, F.concat(F.left(t, F.lit(cap)), F.lit("\n…[truncated "), (F.length(t) - cap).cast("string"), F.lit(" chars]"))).otherwise(t)
 
 
@@ -85,7 +104,7 @@ def normal_path(c: Column) -> Column:
 
 def version_key(tag: Column) -> Column:
     """`v0.10` as [0, 10]; null for what isn't a plain version."""
-    own = F.regexp_extract(tag, r"^v?(\d+(?:\.\d+)*)$", 1)
+    own = F.regexp_extract(tag, r"^v?(\d++(?:\.\d++)*+)$", 1)
     return F.when(own != "", F.transform(F.split(own, r"\."), lambda x: x.cast("bigint")))
 
 

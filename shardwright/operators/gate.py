@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.config import LintConfig
+from shardwright.config import LintConfig, StaleConfig
 from shardwright.functions.frontmatter import repaired
-from shardwright.operators import leaks, links, lint, nav
+from shardwright.operators import leaks, links, lint, nav, staleness
 
-MAINTENANCE = ("fix", "lint", "links", "sync", "staleness", "leaks")
+#: Order of a maintenance run.
+MAINTENANCE = ("sync", "fix", "lint", "links", "staleness")
 
 
 @dataclass
@@ -20,6 +21,7 @@ class GateResult:
     findings: DataFrame | None
     exit_code: int
     blocking: bool
+    files: DataFrame | None = None
 
 
 def repair(files: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def run_gate(files: DataFrame, paths: DataFrame, rendered: DataFrame | None = No
     rendered and current: pages (path, body). What a stage finds is a DataFrame, its exit code one small aggregate."""
     out: list[GateResult] = []
     fixed = repair(files)
-    out.append(GateResult("fix", fixed.where("changed").select("rel"), 0, False))
+    out.append(GateResult("fix", fixed.where("changed").select("rel"), 0, False, fixed))
     if "lint" not in skip:
         found = lint.lint(lint.shards(fixed), cfg)
         code = lint.gate(found, cfg.strict).first()["exit_code"]
@@ -54,6 +56,19 @@ def run_gate(files: DataFrame, paths: DataFrame, rendered: DataFrame | None = No
     return out
 
 
+def maintenance(files: DataFrame, paths: DataFrame, rendered: DataFrame | None = None, current: DataFrame | None = None, code: DataFrame | None = None, cfg: LintConfig = LintConfig(), clock: StaleConfig = StaleConfig()) -> list[GateResult]:
+    """The stages of MAINTENANCE, all of them whatever they find. code: (path) of source files for the citations."""
+    every = {r.stage: r for r in run_gate(files, paths, rendered, current, cfg, block=False)}
+    records = lint.shards(every["fix"].files if every["fix"].files is not None else files)
+    due = staleness.queue(records, clock).select("rel", F.lit("overdue").alias("kind"), F.col("age_days").cast("string").alias("what"))
+    due = due.unionByName(staleness.undated(records).select("rel", F.lit("undated").alias("kind"), F.col("updated").alias("what")))
+    if code is not None:
+        gone = staleness.missing_anchors(staleness.anchors(staleness.volatile(records), clock), staleness.code_index(code, clock))
+        due = due.unionByName(gone.select("rel", F.lit("anchor").alias("kind"), F.col("cited").alias("what")))
+    every["staleness"] = GateResult("staleness", due, 0, False)
+    return [every[s] for s in MAINTENANCE if s in every]
+
+
 def restage(changed: DataFrame, staged: DataFrame) -> DataFrame:
     """Repaired files that were staged."""
     return changed.join(staged.select(F.col("path").alias("rel")), "rel", "left_semi")

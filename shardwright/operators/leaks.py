@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.functions.text import lines, mask, snippet, strip
+from shardwright.functions.text import LINE_END, decoded, lines, mask, snippet, strip
 
 # Labels and patterns, and parts known to be safe.
 RULES: list[tuple[str, str]] = [
@@ -44,24 +44,33 @@ def denylist(entries: list[str]) -> list[tuple[str, str]]:
 
 
 def numbered_lines(df: DataFrame, text: str = "text", guard: str | None = None) -> DataFrame:
-    """A row for each line: line_no from 1, and line. guard: a pattern that texts and lines must have."""
+    """A row for each line: line_no from 1, and line. guard: a pattern that lines must have."""
     keep = [c for c in df.columns if c != text]
-    if guard:
-        df = df.where(F.col(text).rlike(guard))
     df = df.select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
     df = df.where(F.col("line").rlike(guard)) if guard else df
     return df.select(*keep, (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
 
 
 def hits(df: DataFrame, text: str = "text", rules: list[tuple[str, str]] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """df's other columns with line_no, label, snippet: one row for each rule that a line matches."""
+    """df's other columns with line_no, label, snippet: one row for each rule that a line matches.
+
+    The allowed parts are masked before the guard is asked for good: a mask makes word ends, and with them matches that
+    the text as it stands doesn't have."""
     rules = RULES if rules is None else rules
-    guard = "|".join(f"(?:{p})" for _, p in rules)
+    guard = "(?U)" + "|".join(f"(?:{p})" for _, p in rules)
+    allow = tuple(a for a in allow if a and not re.search(LINE_END, a))  # a line holds no line end
     keep = [c for c in df.columns if c != text]
     if not rules:
         return df.select(*keep, F.lit(0).cast("long").alias("line_no"), F.lit("").alias("label"), F.lit("").alias("snippet")).limit(0)
-    df = numbered_lines(df, text, f"(?U){guard}").withColumn("masked", mask(F.col("line"), allow))
-    found = F.array(*(F.struct(F.lit(label).alias("label"), F.when(F.col("masked").rlike(f"(?U){p}"), F.regexp_extract("masked", f"(?U)({p})", 1)).alias("m")) for label, p in rules))
+    held = F.col(text).rlike(guard)
+    for a in allow:
+        held = held | F.contains(F.col(text), F.lit(a))
+    df = df.where(held).withColumn(text, mask(F.col(text), allow)).where(F.col(text).rlike(guard))
+    df = numbered_lines(df, text, guard)
+    # only a listed pattern may match an empty part, so that for the others one extraction says it all
+    part = lambda p: F.regexp_extract("line", f"(?U)({p})", 1)
+    one = lambda label, p: F.when(F.col("line").rlike(f"(?U){p}"), part(p)) if label == "denylist-regex" else F.nullif(part(p), F.lit(""))
+    found = F.array(*(F.struct(F.lit(label).alias("label"), one(label, p).alias("m")) for label, p in rules))
     df = df.select(*keep, "line_no", F.explode(F.filter(found, lambda x: x["m"].isNotNull())).alias("x"))
     return df.select(*keep, "line_no", F.col("x.label").alias("label"), snippet(F.col("x.m")).alias("snippet"))
 
@@ -73,7 +82,7 @@ def is_binary(content: Column) -> Column:
 
 def scannable(files: DataFrame) -> DataFrame:
     """Tracked files (path, content) that a scan reads: path not skipped, content not binary; text decoded."""
-    return files.where(~F.col("path").rlike(SKIP_PATH)).where(~is_binary(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.where(~F.col("path").rlike(SKIP_PATH)).where(~is_binary(F.col("content"))).select("path", decoded(F.col("content")).alias("text"))
 
 
 def added_lines(diff: DataFrame, line: str = "line") -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.text import basename, normal_path, strip, strip_code
 
+# Fixed patterns: what counts as a link.
 WIKI = r"\[\[([^\]\n]+)\]\]"
 MD_LINK = r"(?<!\!)\[[^\]]*\]\(([^)]+)\)"
 URL = r"(https?://[^\s)\]<>\"']+)"
-#: Names of generated pages: they resolve even where the page is absent.
+# Names of generated pages, which resolve even where the page is absent.
 GENERATED = ("INDEX", "gotchas", "decisions", "security", "tasks", "repos", "reference")
 #: Answers to HEAD that say nothing about the page.
 FINE = (403, 405, 429)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.config import CorpusConfig
-from shardwright.operators import nav
+from shardwright.operators import evalstats, nav
 
 
 def header(kind: str, title: str, today: str, cfg: CorpusConfig) -> str:
@@ -54,3 +54,20 @@ def eval_report(headline: dict, by_type: list, verdicts: list) -> str:
     out += [f"| {r['type']} | {r['n']} | {pct(r['on_rate'])} | {pct(r['off_rate'])} | {'—' if r['delta'] is None else format(r['delta'], '+.0f')} |" for r in by_type]
     out += ["", "| verdict | n |", "|---|--:|", *(f"| {r['verdict']} | {r['n']} |" for r in verdicts)]
     return "\n".join(out) + "\n"
+
+
+def full_report(results: DataFrame) -> str:
+    """The whole report of stored results (id, project, type, on, off): rates, means by arm, types, verdicts, and each
+    trap in the order of `ord`. A report is for people to read, so its rows are on the driver."""
+    arms = results.select("ord", "id", "project", F.col("type"), F.col("on.applied").alias("on_applied"), F.col("off.applied").alias("off_applied"))
+    head, means = evalstats.headline(arms).first().asDict(), evalstats.mean_metrics(results).first().asDict()
+    kinds = [r.asDict() for r in evalstats.by_type(arms).collect()]
+    told = [r.asDict() for r in evalstats.verdicts(arms).orderBy("verdict").collect()]
+    out = [eval_report(head, kinds, told), "| mean | on | off |", "|---|--:|--:|"]
+    out += [f"| {k} | {means[f'on_{k}']:.{d}f} | {means[f'off_{k}']:.{d}f} |" for k, d in zip(evalstats.METRICS, (0, 0, 1, 4))]
+    mark = lambda x: "-" if x is None else "yes" if x else "no"
+    out += ["", "| trap | project | type | on | off | verdict |", "|---|---|---|:-:|:-:|---|"]
+    rows = arms.withColumn("verdict", evalstats.verdict(F.col("on_applied"), F.col("off_applied"))).orderBy("ord").collect()
+    out += [f"| `{r.id}` | {r.project} | {r.type or 'single-fact'} | {mark(r.on_applied)} | {mark(r.off_applied)} | {r.verdict} |" for r in rows]
+    bad = sum(r.verdict == "n/a" for r in rows)
+    return "\n".join([*out, *(["", f"_{bad} trap(s) failed to run or to be graded; the rates leave them out._"] if bad else [])]) + "\n"

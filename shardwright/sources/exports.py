@@ -3,12 +3,13 @@ sources; an absent or broken export raises, it never reads as empty (but for sto
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardwright.functions.text import file_path
 from shardwright.operators.digest import mentions
 from shardwright.operators.evalstats import RESULTS
+from shardwright.sources.vault import read_checkout
 
 TRAPS = "id string, project string, type string, workspace string, prompt string, criterion string, shard string"
 
@@ -16,7 +17,7 @@ TRAPS = "id string, project string, type string, workspace string, prompt string
 def transcript_lines(spark: SparkSession, root: str, match: str | None = None, head: int = 200_000) -> DataFrame:
     """(path, line_no, value) of the .jsonl files under root; with a match, of those that mention it near their start."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    files = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"), "value")
+    files = files.select(file_path(F.col("_metadata.file_path")).alias("path"), "value")
     if match:
         files = files.where(mentions(F.col("value"), match, head))
     rows = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
@@ -30,11 +31,11 @@ def traps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """Stored evaluation results; none yet is an empty table."""
-    try:
-        return spark.read.schema(RESULTS).json(path)
-    except AnalysisException:
+    """Stored evaluation results; where there is no such path yet, an empty table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], RESULTS)
+    return spark.read.schema(RESULTS).json(path)
 
 
 def append_results(rows: DataFrame, path: str) -> None:
@@ -42,15 +43,29 @@ def append_results(rows: DataFrame, path: str) -> None:
 
 
 def repo_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path) below a checkout: names only, contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return files.select(F.regexp_replace("path", r"^[a-z]+:/*/", "/").alias("path"))
+    """(path) below a checkout, relative to it, hidden names included: names only, contents aren't read."""
+    return read_checkout(spark, root, contents=False).select("path")
 
 
-def tracked_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) for a leak scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", r"^[a-z]+:/*/", "/").alias("path"), "content")
+def tracked_files(spark: SparkSession, root: str, listing: str | None = None) -> DataFrame:
+    """(path, content) for a leak scan: every file of a working copy, or those that a listing (an export of
+    `git ls-files`) names."""
+    files = read_checkout(spark, root)
+    return files.join(spark.read.text(listing).select(F.col("value").alias("path")).distinct(), "path", "left_semi") if listing else files
+
+
+def patches(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, line) of an export of `git log -p` or of a diff, whose sha is empty. A commit is a record of its own, so
+    that its lines need no running state."""
+    rows = spark.read.option("lineSep", "\ncommit ").text(path)
+    head = r"^(?:commit )?([0-9a-f]{7,64})(?:[ \n]|\z)"
+    rows = rows.select(F.regexp_extract("value", head, 1).alias("sha"), F.split(F.regexp_replace("value", "\n\\z", ""), "\n").alias("lines"))
+    return rows.select("sha", F.explode(F.when(F.col("sha") == "", F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines")))).alias("line"))
+
+
+def changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) for each change of a file, from an export of `git log --pretty=format: --name-only`."""
+    return spark.read.text(path).where("value <> ''").select(F.col("value").alias("path"))
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:

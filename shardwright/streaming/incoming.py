@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardwright.config import LintConfig
+from shardwright.functions.text import file_path
 from shardwright.operators.lint import findings, shards
 
 
 def incoming(spark: SparkSession, path: str) -> DataFrame:
     """(rel, collection, text) of new .md files under path/<collection>/."""
     files = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    parts = F.split("_metadata.file_path", "/")
+    parts = F.split(file_path(F.col("_metadata.file_path")), "/")
     rel = F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
     return files.select(rel.alias("rel"), F.element_at(parts, -2).alias("collection"), F.col("value").alias("text"))
 
