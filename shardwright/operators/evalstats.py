@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.functions.text import strip
+
 METRICS = ("input_tokens", "output_tokens", "num_turns", "cost_usd")
 RESULTS = (
     "id string, project string, type string, prompt string, criterion string, "
@@ -25,8 +27,8 @@ def metrics(v: Column) -> Column:
 def envelope(stdout: Column) -> Column:
     """A run's envelope from its output: the whole of it as JSON, else its last line that is a JSON object, else an
     object that says what went wrong."""
-    t = F.trim(F.coalesce(stdout, F.lit("")))
-    rows = F.filter(F.transform(F.reverse(F.split(t, "\n")), F.trim), lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    t = strip(F.coalesce(stdout, F.lit("")))
+    rows = F.filter(F.transform(F.reverse(F.split(t, "\n")), strip), lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
     return F.coalesce(F.when(t == "", F.parse_json(F.lit('{"_error": "empty stdout"}'))), F.try_parse_json(t), F.try_parse_json(F.try_element_at(rows, F.lit(1))), F.parse_json(F.lit('{"_error": "unparseable json"}')))
 
 

@@ -33,13 +33,17 @@ ALLOW: tuple[str, ...] = (
 SKIP_PATH = r"(?:^|/)(?:\.git/|__pycache__/|\.png$|\.jpg$|\.jpeg$|\.gif$|\.pdf$|\.ico$|\.woff2?$|\.lock$)"
 
 
+def _quoted(s: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", s)
+
+
 def denylist(entries: list[str]) -> list[tuple[str, str]]:
     """Rules from a local list: blank lines and comments go, `re:` marks a pattern, others are literals; case is ignored."""
     out = []
     for raw in entries:
         s = raw.strip()
         if s and not s.startswith("#"):
-            out.append(("denylist-regex", "(?i)" + s[3:]) if s.startswith("re:") else ("denylist-literal", "(?i)" + re.sub(r"([^\w\s])", r"\\\1", s)))
+            out.append(("denylist-regex", "(?i)" + s[3:]) if s.startswith("re:") else ("denylist-literal", "(?i)" + _quoted(s)))
     return out
 
 
@@ -62,10 +66,8 @@ def hits(df: DataFrame, text: str = "text", rules: list[tuple[str, str]] | None
     keep = [c for c in df.columns if c != text]
     if not rules:
         return df.select(*keep, F.lit(0).cast("long").alias("line_no"), F.lit("").alias("label"), F.lit("").alias("snippet")).limit(0)
-    held = F.col(text).rlike(guard)
-    for a in allow:
-        held = held | F.contains(F.col(text), F.lit(a))
-    df = df.where(held).withColumn(text, mask(F.col(text), allow)).where(F.col(text).rlike(guard))
+    some = "|".join([guard, *map(_quoted, allow)])
+    df = df.where(F.col(text).rlike(some)).withColumn(text, mask(F.col(text), allow)).where(F.col(text).rlike(guard))
     df = numbered_lines(df, text, guard)
     # only a listed pattern may match an empty part, so that for the others one extraction says it all
     part = lambda p: F.regexp_extract("line", f"(?U)({p})", 1)

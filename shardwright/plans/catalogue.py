@@ -73,12 +73,6 @@ def q03_leak_by_source(spark, sf_dir):
     return leaks.summary(_doc_hits(spark, sf_dir), "source")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE EXISTS (SELECT 1 FROM nation WHERE contains(lower(line), lower(n_name)))")
-def q04_denylist_hits(spark, sf_dir):
-    rules = leaks.rules_from_lines(t(spark, sf_dir, "nation").select(F.col("n_name").alias("entry")))
-    return leaks.hits(t(spark, sf_dir, "documents").select("doc_id", "text"), rules=rules, allow=()).select("doc_id", "line_no").distinct()
-
-
 # ---- transcripts
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CLEAN = rf"""msgs AS (SELECT conv_id, turn, role, CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || chr(10) || '…[truncated ' || (length(c) - 4000) || ' chars]' ELSE c END AS text
@@ -184,10 +178,11 @@ def q16_links_extract(spark, sf_dir):
     return _hrefs(spark, sf_dir).withColumn("target", links.wiki_target(F.col("href")))
 
 
-@query(f"WITH {_HREFS}, x AS (SELECT *, {_TARGET} AS target FROM hrefs) SELECT page_id AS rel, target, ord FROM x WHERE page_id % 2 = 1 AND target <> '' AND target NOT IN (SELECT target FROM x WHERE page_id % 2 = 0)")
+@query(f"WITH {_HREFS}, x AS (SELECT *, {_TARGET} AS target FROM hrefs), n AS (SELECT target FROM x WHERE regexp_matches(target, '^[a-mA-M]')) SELECT page_id AS rel, target, ord FROM x WHERE target <> '' AND target NOT IN (SELECT target FROM n)")
 def q17_links_broken(spark, sf_dir):
+    """Names of the first half of the alphabet exist."""
     found = q16_links_extract(spark, sf_dir).select(F.col("page_id").alias("rel"), F.lit("wiki").alias("kind"), "target", "ord").where("target <> ''")
-    return links.broken_wiki(found.where("rel % 2 = 1"), found.where("rel % 2 = 0").select("target").distinct())
+    return links.broken_wiki(found, found.where(F.col("target").rlike("^[a-mA-M]")).select("target").distinct())
 
 
 @query(f"WITH {_HREFS}, n AS (SELECT href, count(*) AS n_uses, count(DISTINCT page_id) AS n_pages FROM hrefs GROUP BY href) SELECT page_id, ord, href, n_uses, n_pages FROM hrefs JOIN n USING (href)")
@@ -207,19 +202,14 @@ def q19_stale_queue(spark, sf_dir):
     return df.select(staleness.ages(F.col("d"), _CLOCK).alias("age_days"), "user_id").where("age_days > 2").orderBy(F.desc("age_days"), F.desc("user_id"))
 
 
-@query("SELECT d.doc_id AS rel, coalesce(l.quality::VARCHAR, '') AS updated FROM documents d LEFT JOIN labels l USING (doc_id)")
-def q20_stale_undated(spark, sf_dir):
-    df = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
-    return staleness.undated(df.select(F.col("doc_id").alias("rel"), F.lit("decays-with-code").alias("volatility"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("updated")))
-
-
-@query(f"""WITH {_HREFS}, c AS (SELECT DISTINCT page_id AS rel, href AS cited, regexp_extract(href, '([^/]*)$', 1) AS base FROM hrefs WHERE page_id % 2 = 1),
-i AS (SELECT DISTINCT '/site' || href AS path, regexp_extract(href, '([^/]*)$', 1) AS base FROM hrefs WHERE page_id % 2 = 0)
+@query(f"""WITH {_HREFS}, c AS (SELECT DISTINCT page_id AS rel, href AS cited, regexp_extract(href, '([^/]*)$', 1) AS base FROM hrefs),
+i AS (SELECT '/site' || href AS path, regexp_extract(href, '([^/]*)$', 1) AS base FROM hrefs WHERE regexp_matches(href, '^/[a-mA-M]'))
 SELECT rel, cited FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.base = c.base AND ends_with(i.path, c.cited))""")
 def q21_anchor_missing(spark, sf_dir):
+    """Paths of the first half of the alphabet exist."""
     df = _hrefs(spark, sf_dir).withColumn("base", text.basename(F.col("href")))
-    cited = df.where("page_id % 2 = 1").select(F.col("page_id").alias("rel"), F.col("href").alias("cited"), "base").distinct()
-    index = df.where("page_id % 2 = 0").select(F.concat(F.lit("/site"), "href").alias("path"), "base").distinct()
+    cited = df.select(F.col("page_id").alias("rel"), F.col("href").alias("cited"), "base").distinct()
+    index = df.where(F.col("href").rlike("^/[a-mA-M]")).select("href", "base").distinct().select(F.concat(F.lit("/site"), "href").alias("path"), "base")
     return staleness.missing_anchors(cited, index)
 
 
@@ -319,11 +309,6 @@ def q34_hot_files(spark, sf_dir):
     return history.hot_files(t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path")))
 
 
-@query("SELECT CASE WHEN regexp_matches(text, '(?i)\\b(fix|bug|revert|workaround)') THEN 'gotcha' WHEN regexp_matches(text, '(?i)\\b(decision|choose|switch)|instead of') THEN 'decision' WHEN regexp_matches(text, '(?i)\\b(incident|refactor)') THEN 'candidate' END AS class, count(*) AS n FROM documents GROUP BY 1".replace("\\\\", "\\"))
-def q35_commit_class(spark, sf_dir):
-    return t(spark, sf_dir, "documents").groupBy(history.commit_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1")
 def q36_active_null_safe(spark, sf_dir):
     df = t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels"), "doc_id", "left")

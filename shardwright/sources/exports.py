@@ -73,7 +73,10 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("sha string, message string").option("mode", "FAILFAST").json(path)
 
 
+def tags_of(rows: DataFrame, line: str = "value") -> DataFrame:
+    """Tag names from lines of `<sha> refs/tags/<name>`; a peeled tag is the tag itself."""
+    return rows.select(F.regexp_extract(line, r"refs/tags/(\S+?)(?:\^\{\})?$", 1).alias("tag")).where("tag <> ''").distinct()
+
+
 def tags(spark: SparkSession, path: str) -> DataFrame:
-    """Tag names from lines of `<sha> refs/tags/<name>`."""
-    rows = spark.read.text(path)
-    return rows.select(F.regexp_extract("value", r"refs/tags/(\S+?)(?:\^\{\})?$", 1).alias("tag")).where("tag <> ''").distinct()
+    return tags_of(spark.read.text(path))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from shardwright.plans import catalogue
+from shardwright.plans import catalogue, vault_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
