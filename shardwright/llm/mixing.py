@@ -2,17 +2,19 @@
 
 Documents are shuffled by a hash. A document's virtual finish time is the tokens of its source up to and with it,
 divided by the source's target; a source may be read several times over, up to MAX_REPEATS, and its clock runs on. The
-mix is all documents in order of virtual time, cut where the budget is spent. Targets share the budget by weight, a
-source that would have to be read more than MAX_REPEATS times stops there, and the rest is shared anew (the water level
-in closed form), so targets add up to the budget and the cut is at virtual time 1: the documents then under way, one a
-source, are taken in part.
+queue is range-sorted by finish time over all sources, the words that it sends are summed up along that order, and the
+mix ends where the sum reaches the budget. Targets share the budget by weight, a source that would have to be read more
+than MAX_REPEATS times stops there, and the rest is shared anew (the water level in closed form), so that targets add up
+to the budget and the queue is spent at virtual time 1: of the documents then under way, one a source, it has sent the
+words up to the target.
 
-Running sums over a hot source don't meet in one task: the hash's first digits make 4,096 buckets a source, whose sums
-are one small table; the sum within a bucket is a window over that bucket alone.
+No running sum meets in one task. Over a source it goes by buckets of the hash (BUCKETS, and more as the table grows,
+so that one holds BUCKET_ROWS rows at most on average), along the sorted queue by its range partitions; the sums of
+either are a small table. Rows get their numbers by being written; texts don't take part until the mix is known.
 
 Defined cases: null text has size 0; sources go by code point, null last, a source of its own; documents of one hash go
 by id, then size; repeated rows are rows of their own; if all sizes are 0, targets and takings are 0; an empty table
-gives an empty result.
+gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from shardwright.llm.shared import WHITE, n_words, written
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
+BUCKETS = 4096
+BUCKET_ROWS = 50_000
 
 
 def weights_by_rank(weights: tuple[int, ...] = WEIGHTS) -> Column:
@@ -46,28 +50,49 @@ def source_targets(sizes: DataFrame, weight: Column | None = None, repeats: int
     return src.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level)).select("no_source", "source_key", "source_size", "weight", "target")
 
 
-def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weight: Column | None = None, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target, begin (tokens of the source before the document, in shuffled order) and
-    taken (words the mix takes of it, all rounds together)."""
-    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    df = docs.withColumns({"size": n_words(F.col(text)), "no_source": F.col(source).isNull(), "source_key": F.coalesce(source, F.lit("")), "draw": h, "bucket": F.left(h, F.lit(3))})
+def numbered(docs: DataFrame, text: str, source: str, doc_id: str, *more: Column) -> DataFrame:
+    """(uid, doc_id, source, size) and more, written, which fixes the numbers."""
+    return written(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *more), "mix-rows")
+
+
+def queued(rows: DataFrame, weight: Column | None = None, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """The queue: (uid, doc_id, size, source_size, target, round, finish, taken), a row for each time that a document
+    starts before the end, and one of round 0 for every other. rows: (uid, doc_id, source, size), a written table."""
+    buckets = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    place = F.shiftright(F.conv(F.left("draw", F.lit(8)), 16, 10).cast("long") * buckets, 32)  # rises with the draw
     keys = ["no_source", "source_key"]
+    df = rows.select("uid", "doc_id", "size", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), draw.alias("draw")).withColumn("bucket", place)
     sums = written(df.groupBy(*keys, "bucket").agg(F.sum("size").alias("n")), "bucket-sizes")
     in_order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     earlier = sums.withColumn("earlier", F.coalesce(F.sum("n").over(in_order), F.lit(0))).select(*keys, "bucket", "earlier")
     targets = source_targets(sums.select(*keys, F.col("n").alias("size")), weight, repeats).drop("weight")
-    within = Window.partitionBy(*keys, "bucket").orderBy("draw", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    df = df.join(earlier.join(targets, keys), [*keys, "bucket"])
-    df = df.withColumn("begin", F.col("earlier") + F.col("inside"))
-    taken = sum((round_taken(i) for i in range(repeats)), F.lit(0).cast("long"))
-    return df.withColumn("taken", taken).drop(*keys, "bucket", "earlier", "inside", "draw")
+    df = df.join(earlier.join(targets, keys), [*keys, "bucket"]).withColumn("begin", F.col("earlier") + F.col("inside")).drop("bucket", "earlier", "inside")
+    # virtual times: all sources have words left at time 1, so what starts later can't come before the end
+    end = F.round("target").cast("long")
+    starts = lambda i: F.col("begin") + i * F.col("source_size")
+    df = df.withColumn("round", F.explode(F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda i: (i == 0) | (starts(i) < end))))
+    df = df.withColumn("finish", F.coalesce(F.try_divide(starts(F.col("round")) + F.col("size"), F.col("target")), F.lit(0.0)))
+    df = df.withColumn("sent", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), end - starts(F.col("round")))))
+    order = ["finish", *keys, "round", "draw", "doc_id", "size"]
+    df = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "mix-queue")
+    parts = written(df.groupBy("part").agg(F.sum("sent").alias("n")), "mix-parts")  # a row for each range partition
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("part", "ahead")
+    along = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("before", F.coalesce(F.sum("sent").over(along), F.lit(0))).join(parts, "part")
+    budget = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("sent"), F.lit(budget).cast("long") - F.col("ahead") - F.col("before")))
+    return df.select("uid", "doc_id", "size", "source_size", "target", "round", "finish", taken.alias("taken"))
 
 
-def round_taken(i: int | Column) -> Column:
-    """Words that the mix takes of a document when its source is read for the (i + 1)-th time."""
-    left = F.round("target").cast("long") - F.col("begin") - F.lit(i) * F.col("source_size")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weight: Column | None = None, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (its source's), taken (words that the mix takes of it,
+    all rounds together)."""
+    queue = queued(numbered(docs, text, source, doc_id), weight, repeats, seed)
+    return queue.groupBy("uid", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("uid")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weight: Column | None = None, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
@@ -75,16 +100,13 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     (virtual time; a column of docs that has one of these names stays and hides it), sorted by finish over all
     partitions. Of the document under way at the cut the first words stay."""
     own = docs.columns
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
-    df = fair_queue(df, weight=weight, repeats=repeats, seed=seed)
-    rounds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda i: round_taken(i) > 0))
-    df = df.where("taken > 0").withColumn("round", rounds)
-    df = df.withColumn("taken", round_taken(F.col("round")))
-    df = df.withColumn("finish", (F.col("begin") + F.col("round") * F.col("source_size") + F.col("size")) / F.col("target"))
-    lead = F.when(F.col("text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
-    df = df.withColumn("rest", F.when(F.col("taken") < F.col("size"), F.element_at(F.split("text", WHITE, (F.col("taken") + 1 + lead).cast("int")), -1)))
-    cut = F.regexp_replace(F.expr("left(text, length(text) - length(rest))"), "[\\x20\\x09-\\x0D]+\\z", "")
-    df = df.withColumn("text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(cut))
-    df = df.repartitionByRange("finish").sortWithinPartitions("finish")
-    columns = [F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in own]
+    rows = numbered(docs, text, source, doc_id, F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"))
+    queue = queued(rows.select("uid", "doc_id", "source", "size"), weight, repeats, seed).where("taken > 0").select("uid", "size", "round", "taken", "finish")
+    df = queue.join(rows.select("uid", "doc"), "uid").repartitionByRange("finish").sortWithinPartitions("finish")
+    t = F.col(f"doc.`{text}`")
+    lead = F.when(t.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
+    rest = F.when(F.col("taken") < F.col("size"), F.element_at(F.split(t, WHITE, (F.col("taken") + 1 + lead).cast("int")), -1))
+    cut = lambda x: F.regexp_replace(F.left(t, F.length(t) - F.length(x)), "[\\x20\\x09-\\x0D]+\\z", "")
+    df = df.withColumn("rest", rest).withColumn("cut", F.when(F.col("rest").isNull(), t).otherwise(cut(F.col("rest"))))
+    columns = [F.col("cut").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in own]
     return df.select(*columns, *(c for c in ("round", "taken", "finish") if c not in own))

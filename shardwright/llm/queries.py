@@ -54,8 +54,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.fair_queue(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.fair_queue(table(spark, sf_dir, "documents"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +117,12 @@ s3 AS (SELECT *, row_number() OVER o AS place,
   FROM s2 WINDOW o AS (ORDER BY most / weight, rank), b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s AS (SELECT no_source, source_key, source_size,
     CASE WHEN most <= weight * level THEN most ELSE weight * (min_by(level, place) FILTER (WHERE most > weight * level) OVER ()) END AS target FROM s3),
-q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY no_source, source_key ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-  FROM d JOIN s USING (no_source, source_key))
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, round(target)::BIGINT - begin)) + greatest(0, least(size, round(target)::BIGINT - begin - source_size))
-  + greatest(0, least(size, round(target)::BIGINT - begin - 2 * source_size)))::BIGINT AS taken FROM q
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY no_source, source_key ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
+    row_number() OVER () AS uid, sum(size) OVER () AS budget FROM d JOIN s USING (no_source, source_key)),
+e AS (SELECT *, CASE WHEN target = 0 THEN 0 ELSE (begin + i * source_size + size)::DOUBLE / target END AS finish, greatest(0, least(size, round(target)::BIGINT - begin - i * source_size)) AS sent
+  FROM (SELECT *, unnest([0, 1, 2]) AS i FROM q)),
+c AS (SELECT *, coalesce(sum(sent) OVER (ORDER BY finish, no_source, source_key, i, draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(sent, budget - before)))::BIGINT AS taken FROM c GROUP BY uid, doc_id, size, source_size, target
 """
 
 _URL_SQL = r"""

@@ -86,3 +86,22 @@ def unigram(train):
         return len(own), sum(c[w] > 0 for w in own), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
 
     return n, score
+
+
+def fair_queue(rows, targets, key, repeats=3):
+    """{place: words taken} of rows (doc_id, source, size) by serving one word after another, the source of least
+    virtual time first; key gives the order within a source."""
+    import heapq
+
+    order, budget = defaultdict(list), sum(r[2] for r in rows)
+    for i, r in sorted(enumerate(rows), key=lambda x: key(x[1])):
+        order[r[1]] += [i] * r[2]
+    taken, heap = Counter(), [(1 / t, "" if s is None else s, s, 0) for s, t in targets.items() if t and order[s]]
+    heapq.heapify(heap)
+    while budget and heap:
+        time, name, s, n = heapq.heappop(heap)
+        taken[order[s][n % len(order[s])]] += 1
+        budget -= 1
+        if n + 1 < repeats * len(order[s]):
+            heapq.heappush(heap, ((n + 2) / targets[s], name, s, n + 1))
+    return taken

@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
-from brute import near_groups, words
+from brute import fair_queue, near_groups, words
 from pyspark.sql import functions as F
 
 from shardwright.llm import decontaminate, fingerprint, mixing, queries
@@ -190,6 +190,23 @@ def test_mix_targets_and_bounds(spark, sf_dir):
     assert abs(sum(t for _, t in per) - sum(s for s, _ in per)) < 1e-3
 
 
+def test_mix_matches_a_heap_of_sources(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", None]), rng.choice([0, 1, 3, 40, 200])) for i in range(300)]
+    docs = spark.createDataFrame([(i, "w " * n, s, 1, 2, 3) for i, s, n in rows], "doc_id long, text string, source string, begin int, target int, round int")
+    got = {r.doc_id: r for r in mixing.fair_queue(docs).collect()}
+    targets = {s: got[i].target for i, s, _ in rows}
+    want = fair_queue(rows, targets, lambda r: (hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest(), r[0]))
+    assert sum(r.taken for r in got.values()) == sum(n for *_, n in rows) or abs(sum(r.taken for r in got.values()) - sum(n for *_, n in rows)) <= 2
+    assert max(abs(got[i].taken - want[i]) for i, *_ in rows) <= 1  # a word at the end, as targets are no whole numbers
+    many = mixing.queued(mixing.numbered(docs, "text", "source", "doc_id")).groupBy("doc_id").agg(F.sum("taken").alias("n"))
+    assert {r.doc_id: r.n for r in many.collect()} == {i: r.taken for i, r in got.items()}
+    plan = mixing.numbered(docs, "text", "source", "doc_id")
+    assert [r.finish for r in mixing.queued(plan).where("taken > 0").orderBy("finish").collect()][-1] >= 1
+
+
 def test_mix_rows(spark):
     rows = [(1, "a b c", "s1"), (2, None, None), (3, " x  y\tz w ", None), (4, "one two three four five six", "s2"), (4, "one two three four five six", "s2"), (None, "q", "s3")]
     docs = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, size int")
