@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.shared import written
+from shardwright.llm.shared import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,11 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: every larger neighbour moves to the least of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        old, e = e, both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = written(e, "large")
+        forget(old)
         # small star: a node and its smaller neighbours move to the least of them
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
+        old, e = e, written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
+        forget(old)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -144,5 +144,39 @@ FROM u LEFT JOIN f USING (host, path) LEFT JOIN m ON m.a = host || path
 """
 
 
+
+
+def _secret_sql() -> str:
+    """DuckDB has no look-around: bare tokens are its runs of 24 characters or more that hold all three kinds of
+    characters; and its case folding goes beyond ASCII, so names of either case are spelt out."""
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token"))) + f"|{either('api')}_?{either('key')}"
+    parts = []
+    for i, (kind, pattern, group, least, _) in enumerate(secrets.BASE + secrets.MORE):
+        more = ""
+        if kind == "assign":
+            pattern = pattern.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{names})")
+        if kind == "bare":
+            pattern, more = "[A-Za-z0-9+/_=-]{24,}", " AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')"
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""SELECT rid, {i} AS rank, '{kind}' AS kind, v, stop - length(m) AS start, stop FROM (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY k) AS stop FROM (
+  SELECT rid, unnest(f) AS m, unnest(x) AS v, unnest(string_split_regex(t, '{pattern}')[:len(f)]) AS g, unnest(range(len(f))) AS k FROM (SELECT rid, t, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS x FROM d)))
+  WHERE length(v) >= {least}{more}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+a AS ({' UNION ALL '.join(parts)}),
+b AS (SELECT *, max(CASE WHEN kind <> 'bare' THEN stop END) OVER (PARTITION BY rid ORDER BY start, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cover FROM a),
+c AS (SELECT b.*, owner, t, doc_id FROM b JOIN d USING (rid) WHERE kind <> 'bare' OR cover IS NULL OR start >= cover),
+o AS (SELECT v, count(DISTINCT owner) AS n_owners FROM c GROUP BY v),
+r AS (SELECT v, count(DISTINCT least) AS n_repositories FROM (SELECT v, t, min(coalesce(doc_id::VARCHAR, '')) AS least FROM c GROUP BY v, t) GROUP BY v),
+f AS (SELECT c.*, n_owners <= {secrets.MAX_OWNERS} AND n_repositories <= {secrets.MAX_REPOSITORIES} AS live, concat_ws(':', kind, start, stop) AS shown FROM c JOIN o USING (v) JOIN r USING (v)),
+g AS (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(shown, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example
+  FROM f WHERE rank < 3 OR live GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _CHAT_SQL, "op6_source_mix": _MIX_SQL, "op9_url_filter": _URL_SQL}
+    return {"op2_chat_format": _CHAT_SQL, "op6_source_mix": _MIX_SQL, "op8_secret_scan": _secret_sql(), "op9_url_filter": _URL_SQL}

@@ -8,7 +8,9 @@ Repositories that hold it in copies of one text are one. BASE patterns are findi
 everybody copies is no finding, the same shape held by one owner is.
 
 All of it is SQL expressions; the text is read by one scan, behind a cheap test, and what follows handles candidates
-only. Sums over a hot value are partial aggregates.
+only: places are running sums over the matches of one text, which meet in a task and in no array that grows match by
+match. Sums over a hot value are partial aggregates; its spans meet their verdict in a plain equi-join that adaptive
+execution splits.
 
 Defined cases: null text counts as empty; a null owner or repository counts as one; repeated rows are rows of their own,
 of one repository; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +18,7 @@ of one repository; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm.shared import written
@@ -40,74 +42,65 @@ MORE = [
 ]
 KINDS = [k for k, *_ in BASE + MORE]
 _BARE = len(KINDS) - 1
-_SPAN = "array<struct<start: bigint, rank: int, end: bigint, value: string>>"
+_SPAN = "array<struct<start: bigint, rank: int, end: bigint, value: string, live: boolean>>"
+#: Texts are cut out of pieces of so many code points, so that a place far into a text costs no walk from its start.
+PIECE = 4096
 
 
-def spans_of(text: Column, rank: int, pattern: str, group: int, least: int, test: str) -> Column:
-    """Leftmost non-overlapping matches of one kind as (start, rank, end, value), in code points. Matches and the gaps
-    between them alternate, so places are running sums of their lengths."""
+def matches(text: Column, rank: int, pattern: str, group: int, least: int, test: str) -> Column:
+    """Leftmost non-overlapping matches of one kind, in order, as (rank, gap, length, value): the code points between
+    the match and the one before, and of the match itself."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else found
     gaps = F.split(text, pattern)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("s"))
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    rows = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")), lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), value(x["m"]).alias("value")))
+    return F.when(text.rlike(test), rows).otherwise(F.array().cast("array<struct<rank: int, gap: int, length: int, value: string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["s"], F.array(span))).otherwise(acc["s"]).alias("s"))
 
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"), values.alias("v"))
-    return F.when(text.rlike(test), F.aggregate(rows, zero, step, lambda a: a["s"])).otherwise(F.array().cast(_SPAN))
-
-
-def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, owner, repository, row (its number, fixed once written), mark (a hash of
-    its text), spans of all kinds."""
+def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", *more: Column) -> DataFrame:
+    """One row per document, written: row (its number, fixed by that), owner, repository, mark (a hash of its text), hits
+    (the matches of all kinds), and more."""
     t = F.coalesce(F.col(text), F.lit(""))
-    every = F.concat(*(spans_of(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
-    df = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.xxhash64(t).alias("mark"), _without_covered(F.array_sort(every), _SPAN).alias("spans"))
-    return written(df.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-
-
-def ownership(found: DataFrame) -> DataFrame:
+    every = F.concat(*(matches(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
+    held = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), held(owner).alias("owner"), held(repository).alias("repository"), F.xxhash64(t).alias("mark"), every.alias("hits"), *more), "secret-candidates")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(row, owner, repository, mark, start, rank, end, value, hash) of every candidate, written. Bare ones that begin
+    within another kind's are left out. All windows are over the matches of one text."""
+    df = found.where("size(hits) > 0").select("row", "owner", "repository", "mark", F.posexplode("hits").alias("k", "x")).select("row", "owner", "repository", "mark", "k", "x.*").repartition("row")
+    kind = Window.partitionBy("row", "rank").orderBy("k")
+    df = df.withColumn("end", F.sum((F.col("gap") + F.col("length")).cast("long")).over(kind)).withColumn("start", F.col("end") - F.col("length"))
+    least = F.element_at(F.array(*(F.lit(n) for *_, n, _ in BASE + MORE)), F.col("rank") + 1)
+    df = df.where(F.length("value") >= least)
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("covered", F.max(F.when(F.col("rank") != _BARE, F.col("end"))).over(before))
+    df = df.where((F.col("rank") != _BARE) | F.col("covered").isNull() | (F.col("start") >= F.col("covered")))
+    return written(df.select("row", "owner", "repository", "mark", "start", "rank", "end", "value", F.sha2("value", 256).alias("hash")), "secret-spans")
+
+
+def ownership(rows: DataFrame) -> DataFrame:
     """(hash, n_owners, n_repositories) of every candidate value; each distinct pair is summed up before the next step.
     A text counts for the least of its repositories."""
-    rows = found.where("size(spans) > 0").select("owner", "repository", "mark", F.explode("spans").alias("x")).select("owner", "repository", "mark", F.sha2("x.value", 256).alias("hash"))
     owners = rows.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
     texts = rows.groupBy("hash", "mark").agg(F.min("repository").alias("repository"))
     repositories = texts.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
     return owners.join(repositories, "hash")
 
 
-def _live(max_owners: int, max_repositories: int) -> Column:
-    return (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-
-
-def _without_covered(spans: Column, kind: str) -> Column:
-    """Sorted spans without the bare ones that begin within another kind's."""
-
-    def step(acc: Column, x: Column) -> Column:
-        bare = x["rank"] == _BARE
-        return F.struct(
-            F.when(bare, acc["at"]).otherwise(F.greatest(acc["at"], x["end"])).alias("at"),
-            F.when(bare & (x["start"] < acc["at"]), acc["s"]).otherwise(F.concat(acc["s"], F.array(x))).alias("s"),
-        )
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("s"))
-    return F.when(F.exists(spans, lambda x: x["rank"] == _BARE), F.aggregate(spans, zero, step, lambda a: a["s"])).otherwise(spans)
+def judged(rows: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """The spans that are findings, with live."""
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    return rows.join(ownership(rows).select("hash", live.alias("live")), "hash").where((F.col("rank") < len(BASE)) | F.col("live"))
 
 
 def scanned(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per document: doc_id, row, findings (start, rank, end, value, live), in order of start and kind."""
-    found = candidates(docs, text, owner, repository)
-    verdicts = ownership(found).select("hash", _live(max_owners, max_repositories).alias("live"))
-    spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).withColumn("hash", F.sha2("x.value", 256)).join(verdicts, "hash")
-    spans = spans.where((F.col("x.rank") < len(BASE)) | F.col("live"))
-    one = F.struct("x.start", "x.rank", "x.end", "x.value", "live")
-    per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("findings"))  # the spans of one text
-    empty = F.array().cast("array<struct<start: bigint, rank: int, end: bigint, value: string, live: boolean>>")
-    return found.select("doc_id", "row").join(per_row, "row", "left").select("doc_id", "row", F.coalesce("findings", empty).alias("findings"))
+    found = candidates(docs, text, owner, repository, F.col("doc_id"))
+    rows = judged(spans(found), max_owners, max_repositories)
+    per_row = rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "value", "live"))).alias("findings"))  # of one text
+    return found.select("doc_id", "row").join(per_row, "row", "left").select("doc_id", "row", F.coalesce("findings", F.array().cast(_SPAN)).alias("findings"))
 
 
 def listed(findings: Column) -> Column:
@@ -116,27 +109,27 @@ def listed(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"], x["end"])), ",")
 
 
-def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, **kw) -> DataFrame:
-    """docs with every live-looking finding in its text replaced by `[kind]`, n_chars following where there is one."""
-    text = kw.get("text", "text")
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text that stands in pieces of PIECE."""
+    first = F.floor(start / PIECE).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substring(part, (start - first * PIECE + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+
+
+def redacted(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """docs with every live-looking finding in its text replaced by `[kind]`, overlapping ones by that of the first;
+    n_chars follows where there is one."""
     own = docs.columns
-    t = F.coalesce(F.col(text), F.lit(""))
-    every = F.concat(*(spans_of(t, i, p, g, n, test) for i, (_, p, g, n, test) in enumerate(BASE + MORE)))
-    found = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), _without_covered(F.array_sort(every), _SPAN).alias("spans"), F.coalesce(F.col(kw.get("owner", "source")).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(kw.get("repository", "doc_id")).cast("string"), F.lit("")).alias("repository"), F.xxhash64(t).alias("mark")).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    live = ownership(found).where(_live(max_owners, max_repositories)).select("hash")
-    spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).withColumn("hash", F.sha2("x.value", 256)).join(live, "hash")
-    per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("live"))
-    df = found.join(per_row, "row", "left")
-    kinds = F.array(*map(F.lit, KINDS))
-    src = F.col(f"doc.{text}")
-
-    def step(acc: Column, x: Column) -> Column:
-        # overlapping findings are one gap under the first one's name
-        apart = x["start"] >= acc["at"]
-        piece = F.concat(src.substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), F.element_at(kinds, x["rank"] + 1), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["s"], F.array(piece))).otherwise(acc["s"]).alias("s"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("s"))
-    clean = F.aggregate("live", zero, step, lambda a: F.concat(F.array_join(a["s"], ""), src.substr((a["at"] + 1).cast("int"), F.length(src))))
-    df = df.withColumn("clean", F.when(F.col("live").isNull(), src).otherwise(clean))
-    return df.select(*(F.col("clean").alias(c) if c == text else F.when(F.col("live").isNull(), F.col("doc.n_chars")).otherwise(F.length("clean")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in own))
+    found = candidates(docs, text, owner, repository, F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"))
+    rows = judged(spans(found), max_owners, max_repositories).where("live")
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    per_row = rows.groupBy("row").agg(F.max("end").alias("last"), F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("at"), F.struct("start", "at", "rank")))).alias("gone"))  # of one text
+    src, kinds = F.col(f"doc.`{text}`"), F.array(*map(F.lit, KINDS))
+    df = found.select("row", "doc").join(per_row, "row", "left")
+    df = df.withColumn("pieces", F.when(F.col("last").isNotNull(), F.regexp_extract_all(src, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    kept = F.transform("gone", lambda x: F.concat(cut(F.col("pieces"), x["at"], x["start"]), F.lit("["), F.element_at(kinds, x["rank"] + 1), F.lit("]")))
+    clean = F.concat(F.array_join(kept, ""), cut(F.col("pieces"), F.col("last"), F.length(src)))
+    df = df.withColumn("clean", F.when(F.col("last").isNull(), src).otherwise(clean))
+    size = lambda c: F.when(F.col("last").isNull(), F.col("doc.n_chars")).otherwise(F.length("clean")).cast(docs.schema[c].dataType).alias(c)
+    return df.select(*(F.col("clean").alias(c) if c == text else size(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in own))

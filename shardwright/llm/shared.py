@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 _own: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again. Cuts the lineage: a lost executor costs no
-    rerun of what made df. The JVM deletes the files when it ends."""
+    rerun of what made df. The JVM deletes the files when it ends, forget() does so before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.finalize(out, _paths.pop, id(out), None), path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more; other frames are left alone."""
+    if found := _paths.pop(id(df), None):
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[1])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -120,6 +120,39 @@ def test_value_copied_within_one_source(spark):
     assert all(clean[i] == t for i, t, _ in rows if i < 200) and all(clean[200 + i] == "one text, many copies: [github]" for i in range(40))
 
 
+def test_secrets_of_a_text_full_of_them(spark):
+    own = "gh" + "p_" + "a1B2" * 9
+    text = "".join(f"token=abcdef{i:06d};é\n" for i in range(60_000)) + f"{own} end"
+    docs = spark.createDataFrame([(1, text, "a"), (2, f"\U0001f600 {own}", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.findings for r in secrets.scanned(docs).collect()}
+    assert len(got[1]) == 60_001 and [(x.start, x.end) for x in got[1][:2]] == [(0, 18), (21, 39)]
+    assert [(x.start, x.end, x.live) for x in got[2]] == [(2, 2 + len(own), True)]
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert clean[1] == "[assign];é\n" * 60_000 + "[github] end" and clean[2] == "\U0001f600 [github]"
+
+
+def test_value_that_most_rows_hold(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 9000, F.lit(" token=abcdefgh12")).alias("text"), F.lit("hot").alias("source"))
+    got = secrets.scanned(docs).select(F.explode("findings").alias("x")).groupBy("x.live").count().collect()
+    assert [(r.live, r["count"]) for r in got] == [(False, 30_000)]
+
+
+def test_secret_sql(spark, sf_dir):
+    import duckdb
+
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    odd = [(90_000 + i, t, None if i % 3 else "s", None) for i, t in enumerate(ODD)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", F.lit(None).cast("string").alias("x")).unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string, x string"))
+    con, documents = duckdb.connect(), docs.drop("x").toPandas()  # noqa: F841
+    want = sorted(con.sql(f"WITH w AS ({queries.oracle_sql()['op8_secret_scan']}) SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example FROM w").fetchall())
+    got = sorted((r.doc_id, *(sum(x.rank == k for x in r.findings) for k in range(3)), _sha(_listed(x for x in r.findings if x.rank < 3)), _listed(r.findings), sum(x.live for x in r.findings), sum(not x.live for x in r.findings)) for r in secrets.scanned(docs).collect())
+    assert got == want
+
+
+def _listed(findings):
+    return ",".join(f"{secrets.KINDS[x.rank]}:{x.start}:{x.end}" for x in findings)
+
+
 def _host_path(url):
     if url is None or "://" not in url:
         return "", ""
