@@ -1,17 +1,23 @@
 """Licence scans: a trained paragraph classifier.
 
-A paragraph is a line. Its features are its distinct words and word pairs; a multinomial logistic regression over the
-families and `none`, fitted here on the notices below, their variants and plain paragraphs, has weights for the features
-that occur in notices, and a temperature from variants it hasn't seen. Lines that the model can only call `none`, whatever
-else they hold, are told by their words (anchors(), derived from the weights) and go no further. Predictions are confirmed by comparing templates: the share of the paragraph's word pairs
-that the family's notices have, or the other way round, must reach SIMILAR. A paragraph that is a licence by the
-classifier, but of low probability or not confirmed, is `unknown`.
-
-Fitting takes place on the driver over the fixed notices (about a thousand variants), no corpus rows. The scan is SQL
-expressions: equal lines are classified once, their features join the model's rows.
-
-Defined cases: null or empty text has no paragraph; repeated rows are rows of their own; a line of any length is one
-paragraph; an empty table gives an empty result; other columns are ignored.
+A paragraph is a line with the lines that it wraps into: a line of WRAPPED characters or more that doesn't end a sentence
+goes on in the next one. Its features are its distinct words and word pairs; a multinomial logistic regression over the
+families, `unknown` (other licences) and `none`, fitted here on the notices below, their variants and plain paragraphs,
+has weights for the features that occur in notices. A part of the variants is kept from fitting: they give the
+temperature, the least likeness that a family's paragraph needs, such that MISSED of them fall below it, and the least
+probability, such that WRONG of those that are taken for a family, of all classes, are not of it. Likeness compares templates: features, each worth the less the more families use it, that the paragraph shares
+with one of the family's notices, over all of the notice's or all of the paragraph's, or over 1 if that is more. A paragraph that is a
+family's by the classifier but falls short is `unknown`.
+
+Paragraphs that the model can only call `none`, whatever else they hold, are told by their words (anchors(), derived from
+the weights) and go no further. The lines of a wrapped paragraph are classified too: where one of them holds a notice
+of another family than the whole, the lines count, else the whole does, once, at its first line.
+
+Fitting takes place on the driver over the fixed notices (some thousand variants), no corpus rows. The scan is SQL
+expressions: equal paragraphs are classified once, their features join the model's rows.
+
+Defined cases: null or empty text has no paragraph; repeated rows are rows of their own; a paragraph may be of any
+length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +33,9 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.shared import written
 
-SURE = 0.6
-SIMILAR = 0.5
+MISSED = 0.02
+WRONG = 0.01
+WRAPPED = 40
 NONE, UNKNOWN = "none", "unknown"
 #: Usual words of notices; the scan doesn't go by them.
 CUE = r"(?i)licen[cs]|copyright|copyleft|\bgpl|\bspdx|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|all rights reserved|creative commons|\bcc[ -]by|\bcc0|unlicense|as is"
@@ -40,6 +47,8 @@ NOTICES: dict[str, list[str]] = {
         "Licensed under the MIT license. See LICENSE in the project root for license information.",
         "SPDX-License-Identifier: MIT",
         "Code: MIT license.",
+        "Code: MIT",
+        "License: MIT",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -48,6 +57,7 @@ NOTICES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache 2.0",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
@@ -58,6 +68,7 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: GPL-2.0-only",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "Licensed under the GPL v2 or later.",
+        "License: GPL v3",
         "Distributed under the GPLv3.",
     ],
     "LGPL": [
@@ -78,6 +89,7 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the 3-clause BSD license.",
+        "License: BSD",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -104,6 +116,23 @@ NOTICES: dict[str, list[str]] = {
         "This work is dedicated to the public domain under CC0.",
         "This is free and unencumbered software released into the public domain.",
     ],
+    "EPL": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Distributed under the EPL v1.0.",
+    ],
+    "EUPL": [
+        "Licensed under the EUPL, Version 1.2.",
+        "European Union Public Licence v1.2",
+        "You may not use this work except in compliance with the European Union Public Licence.",
+        "SPDX-License-Identifier: EUPL-1.2",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "Proprietary": [
         "Copyright 2020 Example Corporation. All rights reserved.",
         "All rights reserved.",
@@ -111,6 +140,17 @@ NOTICES: dict[str, list[str]] = {
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
 }
+# Fixed texts: notices of licences that are no family here.
+OTHER = [
+    "Licensed under the Artistic License 2.0.", "This module is free software under the terms of the Artistic License.", "SPDX-License-Identifier: Artistic-2.0",
+    "This software is provided 'as-is', without any express or implied warranty, under the zlib license.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib",
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (CDDL).",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the Microsoft Public License (Ms-PL).", "Released under the PostgreSQL License.",
+    "Licensed under the Academic Free License version 3.0.", "Licensed under the Open Software License version 3.0.", "This work is licensed under the WTFPL, version 2.",
+    "Distributed under the Python Software Foundation License.", "Licensed under the Server Side Public License, version 1.", "This code is available under the Business Source License 1.1.",
+    "Licensed under the Elastic License 2.0.", "Licensed under the Foo Public License, version 1.", "This package is distributed under the Bar License.", "Use is subject to the licence terms of the Baz toolkit.",
+    "This data is made available under the Open Database License.", "Licensed under the Acme Software Licence.", "See the accompanying licence agreement for the terms under which this program may be used.",
+]
 # Fixed texts: paragraphs with cue words that are no notices.
 PLAIN = [
     "He lost his driving licence after the second offence and had to take the bus.",
@@ -176,14 +216,38 @@ def _variants(line: str, rng: random.Random, n: int) -> list[str]:
     return out
 
 
+def telling(found: set[str]) -> set[str]:
+    """The features that templates are compared by: all but small words."""
+    return found - SMALL
+
+
+def likeness(found: set[str], family: str, worth: dict[str, float]) -> float:
+    """Of a paragraph's features to the family's notices."""
+    of = lambda x: sum(worth.get(f, 1.0) for f in x)
+    mine, best = telling(found), 0.0
+    for line in NOTICES[family]:
+        own = telling(features(line))
+        both = of(mine & own)
+        best = max(best, both / max(of(own), 1.0), both / max(of(mine), 1.0))
+    return best
+
+
+@lru_cache(1)
+def worths() -> dict[str, float]:
+    """Of each feature of the notices: one over the number of families that use it, other licences being one."""
+    used = Counter(x for lines in (*NOTICES.values(), OTHER) for x in {x for line in lines for x in telling(features(line))})
+    return {x: 1 / n for x, n in used.items()}
+
+
 @lru_cache(1)
-def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, dict[str, set[str]]]:
-    """Families, weights by feature, biases, temperature, word pairs of each family's notices."""
+def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, tuple[float, float]]:
+    """Classes, weights by feature, biases, temperature, and the least probability and likeness of a family."""
     rng = random.Random(7)
-    families = [NONE, *NOTICES]
+    families = [NONE, UNKNOWN, *NOTICES]
+    texts = {NONE: PLAIN + PROSE, UNKNOWN: OTHER} | NOTICES
     rows: list[tuple[set[str], int, bool]] = []
     for k, f in enumerate(families):
-        for line in NOTICES.get(f, PLAIN + PROSE):
+        for line in texts[f]:
             rows += [(features(x), k, i % 4 == 3) for i, x in enumerate([line, *_variants(line, rng, 23)])]
             w = line.split()
             rows += [(features(" ".join(w[i : i + 10])), k, i % 4 == 3) for i in range(0, len(w) - 9) if len(w) > 12]  # hard-wrapped
@@ -193,8 +257,9 @@ def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, dict
     prose = [w for x in PROSE for w in x.split()]
     for i in range(400):  # and of prose, as short as one word
         rows.append((features(" ".join(rng.choices(prose, k=rng.randint(1, 12)))), 0, i % 4 == 3))
-    said = {w for lines in NOTICES.values() for x in lines for w in features(x)}
-    for x in sorted({w for x in PROSE for w in features(x) if " " not in w} & said):  # shared words with little around them
+    said = {w for lines in (*NOTICES.values(), OTHER) for x in lines for w in features(x)}
+    common = {x for x in said if " " not in x and worths().get(x, 1) < 1}
+    for x in sorted({w for x in PROSE for w in features(x) if " " not in w} & said | common):  # shared words with little around them
         for i in range(12):
             w = rng.choices(prose, k=i % 4)
             w.insert(rng.randint(0, len(w)), x)
@@ -223,8 +288,15 @@ def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float, dict
         return float(np.mean(np.log(np.exp(e).sum(1)) - e[np.arange(len(e)), y[held]]))
 
     heat = min((2 ** (i / 2) for i in range(-6, 7)), key=loss)
-    pairs = {f: {x for line in lines for x in features(line) if " " in x} for f, lines in NOTICES.items()}
-    return families, {n: w[i] for n, i in place.items()}, b, heat, pairs
+    guess, truth, apart = z.argmax(1), y[held], [r[0] for r in rows if r[2]]
+    sure = 1 / np.exp(z * heat - (z * heat).max(1, keepdims=True)).sum(1)
+    like = np.array([likeness(f, families[k], worths()) if k > 1 else 0.0 for f, k in zip(apart, guess)])
+    similar = float(np.quantile(like[(guess == truth) & (guess > 1)], MISSED))
+    taken = np.flatnonzero((guess > 1) & (like >= similar))
+    taken = taken[np.argsort(-sure[taken], kind="stable")]
+    wrong = np.cumsum(guess[taken] != truth[taken]) / np.arange(1, len(taken) + 1)
+    least = float(sure[taken[np.flatnonzero(wrong <= WRONG)[-1]]]), similar
+    return families, {n: w[i] for n, i in place.items()}, b, heat, least
 
 
 @lru_cache(1)
@@ -258,44 +330,66 @@ def _features(line: Column) -> Column:
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """(line, family, probability, similarity) of distinct lines."""
-    families, weights, bias, heat, pairs = trained()
-    spark = lines.sparkSession
-    rows = [(f, [float(x) for x in w], [f in pairs.get(k, ()) for k in families]) for f, w in sorted(weights.items())]
-    rows += [(f, [0.0] * len(families), [f in pairs.get(k, ()) for k in families]) for f in sorted(set().union(*pairs.values()) - set(weights))]
-    model = spark.createDataFrame(rows, "feature string, w array<double>, t array<boolean>")
-    df = lines.withColumn("f", _features(F.col("line"))).withColumn("n_pairs", F.size(F.filter("f", lambda x: x.contains(" "))))
-    hits = df.select("line", "n_pairs", F.explode("f").alias("feature")).join(model, "feature")
+    """(line, family, probability, similarity, complete) of distinct paragraphs; complete: one of the family's notices is
+    in the paragraph, not just the paragraph in a notice."""
+    families, weights, bias, heat, (sure, similar) = trained()
+    worth, spark = worths(), lines.sparkSession
+    notices = [(k, telling(features(line))) for k, f in enumerate(families) for line in NOTICES.get(f, ())]
+    rows = [(f, [float(x) for x in weights[f]] if f in weights else [0.0] * len(families), worth.get(f), [i for i, (_, x) in enumerate(notices) if f in x]) for f in sorted({*weights, *worth})]
+    model = spark.createDataFrame(rows, "feature string, w array<double>, worth double, notices array<int>")
+    small = F.array(*map(F.lit, sorted(SMALL)))
+    df = lines.withColumn("f", _features(F.col("line"))).withColumn("n_telling", F.size(F.array_except("f", small)))
+    hits = df.select("line", "n_telling", F.explode("f").alias("feature")).join(model, "feature")
     # weights count alike for known features, as the training rows were normed
     known = F.sum(F.when(F.exists("w", lambda x: x != 0), 1).otherwise(0))
-    sums = hits.groupBy("line", "n_pairs").agg(
-        F.sqrt(F.greatest(known, F.lit(1))).alias("norm"),
+    sums = hits.groupBy("line", "n_telling").agg(
+        F.sqrt(F.greatest(known, F.lit(1))).alias("norm"), F.coalesce(F.sum("worth"), F.lit(0.0)).alias("worth"), F.count("worth").alias("n_known"),
         *(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))),
-        *(F.sum(F.col("t")[k].cast("int")).alias(f"t{k}") for k in range(len(families))))
+        *(F.coalesce(F.sum(F.when(F.array_contains("notices", i), F.col("worth"))), F.lit(0.0)).alias(f"t{i}") for i in range(len(notices))))
     z = F.array(*((F.col(f"z{k}") / F.col("norm") + float(bias[k])) * heat for k in range(len(families))))
-    total = F.array(*(F.lit(max(1, min(len({x for x in features(line) if " " in x}) for line in NOTICES[k])) if k in NOTICES else 1) for k in families))
-    df = sums.withColumn("z", z).withColumn("t", F.array(*(F.col(f"t{k}") for k in range(len(families))))).withColumn("best", F.array_position("z", F.array_max("z")).cast("int"))
-    part = F.element_at("t", F.col("best"))
+    own = F.greatest(F.col("n_telling") - F.col("n_known") + F.col("worth"), F.lit(1.0))  # what no notice has is worth 1
+    of = lambda k: [(F.col(f"t{i}"), max(sum(worth[x] for x in f), 1.0)) for i, (g, f) in enumerate(notices) if g == k]
+    whole = lambda k: F.greatest(F.lit(0.0), F.lit(0.0), *(t / size for t, size in of(k)))
+    part = lambda k: F.greatest(F.lit(0.0), F.lit(0.0), *(t / own for t, _ in of(k)))
+    df = sums.withColumn("z", z).withColumn("best", F.array_position("z", F.array_max("z")).cast("int"))
+    df = df.withColumn("whole", F.element_at(F.array(*map(whole, range(len(families)))), F.col("best"))).withColumn("part", F.element_at(F.array(*map(part, range(len(families)))), F.col("best")))
     df = df.select(
         "line", F.element_at(F.array(*map(F.lit, families)), F.col("best")).alias("guess"),
-        (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("z")))).alias("probability"),
-        F.greatest(part / F.greatest("n_pairs", F.lit(1)), F.least(F.lit(1.0), part / F.element_at(total, F.col("best")))).alias("similarity"))
-    unsure = (F.col("probability") < SURE) | (F.col("similarity") < SIMILAR)
-    return df.select("line", F.when(F.col("guess") == NONE, NONE).when(unsure, UNKNOWN).otherwise(F.col("guess")).alias("family"), "probability", "similarity")
+        (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("z")))).alias("probability"), F.greatest("whole", "part").alias("similarity"), (F.col("whole") >= similar).alias("complete"))
+    unsure = (F.col("probability") < sure) | (F.col("similarity") < similar)
+    return df.select("line", F.when(F.col("guess") == NONE, NONE).when(unsure, UNKNOWN).otherwise(F.col("guess")).alias("family"), "probability", "similarity", "complete")
+
+
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text that hold an anchor, as (no, text, lines): the number of the first line, the lines as one,
+    and those lines (no, line) that hold an anchor."""
+    held = anchors()
+    clean = F.translate(text, "\x01\x02", "  ")
+    marked = F.array_join(F.transform(F.split(clean, "\n"), lambda x, i: F.concat(i + 1, F.lit("\x02"), x)), "\n")
+    wrapped = F.regexp_replace(marked, f"\n(?<=[^\n\x02]{{{WRAPPED - 1}}}[^\n\x02.!?:;]\n)(?=[0-9]+\x02[^\n]*[A-Za-z0-9])", "\x01")
+    found = F.filter(F.split(wrapped, "\n"), lambda p: F.exists(_words(F.regexp_replace(p, "\x01?[0-9]+\x02", " ")), lambda w: w.isin(held)))
+    number, after = lambda x: F.split_part(x, F.lit("\x02"), F.lit(1)).cast("int"), lambda x: F.trim(F.split_part(x, F.lit("\x02"), F.lit(2)))
+    lines = lambda p: F.filter(F.transform(F.split(p, "\x01"), lambda x: F.struct(number(x).alias("no"), after(x).alias("line"))), lambda x: F.exists(_words(x["line"]), lambda w: w.isin(held)))
+    return F.transform(found, lambda p: F.struct(number(p).alias("no"), F.trim(F.regexp_replace(p, "\x01?[0-9]+\x02", " ")).alias("text"), lines(p).alias("lines")))
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, families (distinct, sorted, comma-joined; empty where there is none), n_notices,
-    n_unknown, lines (number:family of each, comma-joined)."""
-    held = anchors()
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))), lambda x: F.exists(_words(x["line"]), lambda w: w.isin(held)))
-    found = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("hits")), "license-lines")
-    hits = found.where("size(hits) > 0").select("row", F.explode("hits").alias("x")).select("row", "x.no", "x.line")
-    verdicts = classified(hits.select("line").distinct()).where(F.col("family") != NONE)
-    per_row = hits.join(verdicts, "line").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "family"))).alias("v"))  # the lines of one text
+    n_unknown, lines (number:family of each paragraph, comma-joined)."""
+    found = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), paragraphs(F.col(text)).alias("hits")), "license-paragraphs")
+    pars = found.where("size(hits) > 0").select("row", F.explode("hits").alias("x")).select("row", F.col("x.no").alias("par"), "x.text", "x.lines")
+    several = F.filter("lines", lambda x: x["line"] != F.col("text"))
+    parts = pars.select("row", "par", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("text").alias("line"))), several)).alias("x")).select("row", "par", "x.no", "x.line")
+    verdicts = classified(parts.select("line").distinct()).where(F.col("family") != NONE)
+    judged = parts.join(verdicts, "line").groupBy("row", "par").agg(
+        F.max(F.when(F.col("no") == 0, F.col("family"))).alias("whole"), F.array_sort(F.collect_list(F.when(F.col("no") > 0, F.struct("no", "family", "complete")))).alias("own"))  # the lines of one paragraph
+    other = F.exists("own", lambda x: x["complete"] & (x["family"] != UNKNOWN) & ~x["family"].eqNullSafe(F.col("whole")))
+    lines = F.transform("own", lambda x: F.struct(x["no"].alias("no"), x["family"].alias("family")))
+    kept = F.when(F.col("whole").isNull() | other, lines).otherwise(F.array(F.struct(F.col("par").alias("no"), F.col("whole").alias("family"))))
+    per_row = judged.select("row", F.explode(kept).alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("v"))  # of one text
     df = found.select("doc_id", "row").join(per_row, "row", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<no: int, family: string>>")))
     names = F.transform("v", lambda x: x["family"])
     return df.select(
         "doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x != UNKNOWN))), ",").alias("families"),
         F.size("v").cast("long").alias("n_notices"), F.size(F.filter(names, lambda x: x == UNKNOWN)).cast("long").alias("n_unknown"),
-        F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["no"] + 1, x["family"])), ",").alias("lines"))
+        F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["no"], x["family"])), ",").alias("lines"))

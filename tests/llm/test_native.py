@@ -1,6 +1,8 @@
 import hashlib
 import json
+import math
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +265,76 @@ def test_license_lines_left_out_are_none(spark, sf_dir):
     lines = {" ".join(rng.choices(free, k=rng.randint(1, 12))) for _ in range(2000)} | {f for f in weights if not held & set(f.split(" "))}
     got = license_scan.classified(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert got.where(F.col("family") != "none").count() == 0
+
+
+def _plain_family(line):
+    """The verdict on a paragraph, from the trained weights alone."""
+    import numpy as np
+
+    families, weights, bias, heat, (sure, similar) = license_scan.trained()
+    found = license_scan.features(line)
+    known = [weights[f] for f in sorted(found) if f in weights]
+    if not known and not found & set(license_scan.worths()):
+        return "none"
+    z = (sum(known, np.zeros(len(families))) / math.sqrt(max(len(known), 1)) + bias) * heat
+    k, p = int(z.argmax()), 1 / np.exp(z - z.max()).sum()
+    if families[k] == "none":
+        return "none"
+    if families[k] == "unknown" or p < sure or license_scan.likeness(found, families[k], license_scan.worths()) < similar:
+        return "unknown"
+    return families[k]
+
+
+def _plain_complete(line, family):
+    of = lambda x: sum(license_scan.worths().get(f, 1.0) for f in x)
+    mine = license_scan.telling(license_scan.features(line))
+    notices = [license_scan.telling(license_scan.features(x)) for x in license_scan.NOTICES[family]]
+    return max(of(mine & x) / of(x) for x in notices) >= license_scan.trained()[4][1]
+
+
+def _plain_scan(text):
+    """[(number, family)] of a text, paragraph by paragraph."""
+    out, lines = [], text.split("\n")
+    i = 0
+    while i < len(lines):
+        j = i
+        while j + 1 < len(lines) and len(lines[j]) >= 40 and lines[j][-1] not in ".!?:;" and re.search("[A-Za-z0-9]", lines[j + 1]):
+            j += 1
+        whole = _plain_family(" ".join(x for x in lines[i : j + 1]))
+        own = [(n + 1, f) for n in range(i, j + 1) if (f := _plain_family(lines[n])) != "none"] if j > i else []
+        if whole != "none" and not any(f not in ("unknown", whole) and _plain_complete(lines[n - 1], f) for n, f in own):
+            out.append((i + 1, whole))
+        else:
+            out += own
+        i = j + 1
+    return out
+
+
+def test_license_scan_matches_plain_scorer(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    notices = [x for lines in license_scan.NOTICES.values() for x in lines] + license_scan.OTHER
+    wrapped = ["\n".join(textwrap.wrap("# start. " + x, w)) for x in notices for w in (45, 60, 79)]
+    docs += [(100_000 + i, f"{x}\n\n{y}\n{x}") for i, (x, y) in enumerate(zip(wrapped, wrapped[7:] + wrapped[:7]))]
+    got = {r.doc_id: r.lines for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        assert got[i] == ",".join(f"{n}:{f}" for n, f in _plain_scan(t or "")), (i, t[:200])
+
+
+def test_license_paragraphs(spark):
+    mit = license_scan.NOTICES["MIT"][-2]
+    gpl = license_scan.NOTICES["GPL"][1]
+    texts = {
+        "\n".join(textwrap.wrap(mit, 70)): ["MIT"], "code\n" + "\n".join("# " + x for x in textwrap.wrap(gpl, 72)) + "\n#\n# more": ["GPL"], "\n".join(" * " + x for x in textwrap.wrap(license_scan.NOTICES["ISC"][0], 60)): ["ISC"],
+        "European Union Public Licence v1.2": ["EUPL"], "Licensed under the Eclipse Public License 2.0.": ["EPL"], "a long line of prose that has no end of its own here and goes on\nReleased under the MIT License.": ["MIT"],
+    }
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [x.split(":")[1] for x in r.lines.split(",")] for r in license_scan.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    strange = ["Licensed under the Quux Public License 3.0.", "Licensed under the Mulan Permissive Software License, Version 2.", "SPDX-License-Identifier: Quux-1.0", "This work is licensed under the Frobnitz License, version 9.", "Distributed under the Grue License.", "Released under the terms of the Zork Software Licence."]
+    got = license_scan.license_scan(spark.createDataFrame([(i, x) for i, x in enumerate(strange)], "doc_id long, text string")).collect()
+    assert [(strange[r.doc_id], r.families) for r in got if r.families] == [] and sum(r.n_unknown for r in got) >= 5
+
+
+def test_license_line_of_most_rows(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 1000, F.lit("\nReleased under the MIT License.")).alias("text"))
+    assert [(r.lines, r["count"]) for r in license_scan.license_scan(docs).groupBy("lines").count().collect()] == [("2:MIT", 20_000)]
