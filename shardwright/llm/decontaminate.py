@@ -2,20 +2,26 @@
 
 Numbers, names (capitalised words) and units (after a number) become typed placeholders. A template window is WINDOW
 typed tokens in a row, hashed; a window of fewer than LITERALS plain words keeps its words, as placeholders alone say
-nothing. Documents' windows meet the benchmark's in an equi-join on the hash. Windows of one document and item on one
-diagonal are checked for slot consistency: each benchmark value stands for one document value (two may stand for the
-same), which holds for copies and for re-parameterised questions alike. Of a number or unit with several values the one
-of most windows counts, and windows with another one are left out unless all their slots are the item's; a name with
-several values makes another question of the whole passage. An item is found if consistent windows cover COVERAGE of its
-tokens.
-
-Before the shuffle a bitmap of the benchmark's hashes, BITMAP bits at every size, drops document windows that can't
-match; where a huge benchmark fills it, more rows reach the join and the result is the same. Items of the same text are
-one item, that of the least id.
-
-Defined cases: null texts count as empty; items of fewer than SHORTEST tokens are left out, items of fewer than WINDOW
-are one window; rows of a null or repeated doc_id are told apart by their text; an empty table on either side gives an
-empty result; other columns are ignored.
+nothing. Documents' windows meet the benchmark's in an equi-join on the hash.
+
+What an item's windows meet in one place of a document is a passage: as many windows as there are whose shift (place in
+the document less place in the item) differs by a quarter of the item's tokens at most (BAND; two tokens at least). Of a passage the
+heaviest chain counts, in which both places rise from window to window, so that neither windows in another order nor
+such as stand apart add up. A chain has one map of slots: each benchmark value stands for one document value (two may
+stand for the same), which holds for copies and for re-parameterised questions alike. Of a number or unit with several
+values the one of most windows counts, and windows with another one are left out unless all their slots are the item's;
+a name with several values makes another question of the whole passage. An item is found if the windows of one of its
+passages cover COVERAGE of its tokens.
+
+Two things keep common phrases from pairing all documents with all items. A bitmap of the benchmark's hashes, BITMAP
+bits at every size, drops document windows that can't match before the shuffle; where a huge benchmark fills it, more
+rows reach the join and the result is the same. And documents and items are paired by the items' rarer windows only:
+an item that is found shares so many windows that the few commonest can't be all of them (seeds()); all windows of the
+pairs are then compared. Items of the same text are one item, that of the least id.
+
+Defined cases: null texts count as empty; items of fewer than SHORTEST tokens are left out, as they say too little, items
+of fewer than WINDOW are one window; rows of a null or repeated doc_id are told apart by their text; an empty table on
+either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm import kernel as K
+from shardwright.llm.shared import written
 
 WINDOW = 5
 SHORTEST = 4
 LITERALS = 2
 COVERAGE = 0.5
+BAND = 4
 BITMAP = 1 << 24
 #: Unit names and signs that count as units after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph kmh kph hz khz mhz ghz w kw mw v a pa kpa bar j kj cal kcal usd eur gbp dollar dollars cent cents euro euros pound pounds percent degrees meter meters metre metres kilometer kilometers kilometre kilometres centimeters inches inch feet foot yards miles mile gram grams kilogram kilograms liter liters litre litres".split()
@@ -117,7 +125,7 @@ def _lists(t: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray, k:
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, (data, offs) = batch.column(0), K.utf8(batch.column(1))
+        items, ids, (data, offs) = batch.column(0), batch.column(1), K.utf8(batch.column(2))
         t, raw, slot, row = tokens(data, offs)
         n = np.bincount(row, minlength=len(offs) - 1)
         first = np.cumsum(n) - n
@@ -127,7 +135,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             h, at = h[own], at[own]
             if len(at):
                 r = row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _lists(t, raw, slot, at, k)], ["h", "item_id", "ipos", "n", "k", "islots"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), items.take(pa.array(r)), ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _lists(t, raw, slot, at, k)], ["h", "item", "item_id", "ipos", "n", "k", "islots"])
 
 
 def _doc_windows(bits, sizes: list[int]):
@@ -152,13 +160,153 @@ def _doc_windows(bits, sizes: list[int]):
     return run
 
 
+def heaviest(dpos: np.ndarray, ipos: np.ndarray, k: int) -> np.ndarray:
+    """The windows, of places sorted by dpos and ipos, of the chain that covers most tokens: both places rise, and a window
+    adds as many tokens as it is further on in both, k at most. Of equals that of the least change of shift, then of the
+    latest window before."""
+    n, shift = len(dpos), dpos - ipos
+    if (shift == shift[0]).all():
+        return np.arange(n)
+    worth, before = np.full(n, k), np.full(n, -1)
+    for j in range(1, n):
+        step = np.minimum(dpos[j] - dpos[:j], ipos[j] - ipos[:j])
+        value = np.where(step > 0, worth[:j] + np.minimum(step, k), 0)
+        top = value.max()
+        if top > k:
+            at = np.flatnonzero(value == top)
+            change = np.abs(shift[at] - shift[j])
+            worth[j], before[j] = top, at[change == change.min()][-1]
+    out, j = [], int(worth.argmax())
+    while j >= 0:
+        out.append(j)
+        j = before[j]
+    return np.array(out[::-1])
+
+
+def consistent(islots: np.ndarray, dslots: np.ndarray) -> np.ndarray:
+    """Which windows of a chain, rows of slots, fit one map; none if a name (its hash is odd) has several values."""
+    full = islots != 0
+    own = (~full | (islots == dslots)).all(1)
+    if own.all():
+        return own
+    pairs, at, n = np.unique(np.stack((islots[full], dslots[full]), 1), axis=0, return_inverse=True, return_counts=True)
+    best: dict[int, tuple] = {}
+    for p, ((a, b), c) in enumerate(zip(pairs.tolist(), n.tolist())):
+        if a in best and a & 1:
+            return np.zeros(len(islots), bool)
+        best[a] = max(best.get(a, (-1,)), (c, a == b, b, p))
+    good = np.zeros(len(pairs), bool)
+    good[[x[3] for x in best.values()]] = True
+    fits = np.ones(islots.shape, bool)
+    fits[full] = good[at.ravel()]
+    return fits.all(1) | own
+
+
+def passages(dpos: np.ndarray, ipos: np.ndarray, islots: np.ndarray, dslots: np.ndarray, n: int, coverage: float, until: int | None = None, reach: int | None = None) -> tuple[tuple[float, int, int] | None, int | None]:
+    """Coverage, slots and changed slots of the best passage of an item of n tokens, None where none reaches the coverage,
+    and the largest shift of the last passage. Passages that begin at shifts from `until` on are left out, and those
+    that hold no shift beyond `reach`, as they are parts of one that was looked at."""
+    k, wide = islots.shape[1], max(2, n // BAND)
+    shift = dpos - ipos
+    o = np.lexsort((dpos, shift))
+    shift, dpos, ipos, islots, dslots = shift[o], dpos[o], ipos[o], islots[o], dslots[o]
+    starts = np.flatnonzero(np.concatenate(([True], shift[1:] != shift[:-1])))
+    ends = np.searchsorted(shift, shift[starts] + wide, "right")
+    best = None
+    for lo, hi in zip(starts.tolist(), ends.tolist()):
+        if until is not None and shift[lo] >= until:
+            break
+        if reach is not None and shift[hi - 1] <= reach:
+            continue
+        reach = int(shift[hi - 1])
+        if (hi - lo) * k < coverage * n:
+            continue
+        most = np.zeros(n + k, bool)
+        for i in range(k):
+            most[ipos[lo:hi] + i] = True
+        if most[:n].sum() < (coverage * n if best is None else best[0] * n + 0.5):
+            continue
+        at = lo + np.lexsort((ipos[lo:hi], dpos[lo:hi]))
+        at = at[heaviest(dpos[at], ipos[at], k)]
+        at = at[consistent(islots[at], dslots[at])]
+        seen = np.zeros(n + k, bool)
+        for i in range(k):
+            seen[ipos[at] + i] = True
+        share = int(seen[:n].sum()) / n
+        if share >= coverage and (best is None or share > best[0]):
+            full = islots[at] != 0
+            pairs = np.unique(np.stack((islots[at][full], dslots[at][full]), 1), axis=0)
+            best = share, len(pairs), int((pairs[:, 0] != pairs[:, 1]).sum())
+    return best, reach
+
+
+def _found(coverage: float):
+    """Batches of (doc_id, mark, item, item_id, n, k, dpos, ipos, islots, dslots), sorted by the first three and dpos, to
+    items found. A passage ends an item's length and a band after it begins, so that much is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, best, reach = None, [], None, None
+
+        def flush(until: int | None) -> None:
+            nonlocal held, best, reach
+            whole = [np.concatenate(x) for x in zip(*held)]
+            got, reach = passages(*whole, key[4], coverage, until, reach)
+            if got and (best is None or got[0] > best[0]):
+                best = got
+            left = whole[0] - whole[1] >= until if until is not None else np.zeros(len(whole[0]), bool)
+            held = [tuple(x[left] for x in whole)] if left.any() else []
+
+        def result() -> list[tuple]:
+            flush(None)
+            return [(*key[:2], key[3], *best)] if best else []
+
+        for batch in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+            dpos, ipos = (batch.column(i).to_numpy() for i in (6, 7))
+            cuts = [0, *(r for r in range(1, len(keys)) if keys[r] != keys[r - 1]), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if keys[lo] != key:
+                    out += result() if key else []
+                    key, held, best, reach = keys[lo], [], None, None
+                n, k = key[4:]
+                slots = [batch.column(c).slice(lo, hi - lo).flatten().to_numpy().reshape(-1, k) for c in (8, 9)]
+                for a in range(lo, hi, 4096):
+                    b = min(a + 4096, hi)
+                    held.append((dpos[a:b], ipos[a:b], slots[0][a - lo : b - lo], slots[1][a - lo : b - lo]))
+                    # a later window shifts by more than dpos - n; passages from a shift on reach a band further
+                    until = int(dpos[b - 1]) - n - max(2, n // BAND)
+                    if sum(len(x[0]) for x in held) > 4096 and until > int(held[0][0][0]):
+                        flush(until)
+            if out:
+                yield _results(out)
+        if key and (out := result()):
+            yield _results(out)
+
+    def _results(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["doc_id", "mark", "item_id", "coverage", "n_slots", "n_changed"])
+
+    return run
+
+
+def seeds(items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(h, item) of the windows by which an item is paired with documents. An item of n tokens that is found has
+    coverage x n / k of its windows' places at least in a document; all but one less than that many of its windows, those
+    that most items have, are seeds, so that one of them is there."""
+    common = items.select("h", "item").distinct().groupBy("h").agg(F.count("*").alias("in_items"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("in_items"), "h", "ipos"))  # the windows of one item
+    ranked = items.join(common, "h").withColumn("place", place)
+    return ranked.where(F.col("place") >= F.col("n") * coverage / F.col("k") - 1e-6).select("h", "item").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document row and item found in it: doc_id, mark (a hash of id and text), item_id, coverage (share of
     the item's tokens), n_slots (distinct values), n_changed (of them, other than in the item)."""
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    items = benchmark.where(F.length("text") > 0).groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
-    items = items.mapInArrow(_item_windows, f"h long, item_id {items.schema['item_id'].dataType.simpleString()}, ipos long, n long, k long, islots array<long>")
+    items = benchmark.where(F.length("text") > 0).groupBy("text").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("text").alias("item"), "item_id", "text")
+    item_type = items.schema["item_id"].dataType.simpleString()
+    items = written(items.mapInArrow(_item_windows, f"h long, item long, item_id {item_type}, ipos long, n long, k long, islots array<long>"), "item-windows")
     # at most BITMAP numbers, and as many sizes as windows can have
     found = items.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1).cast("long")).cast("int").alias("b"), "k").distinct().toArrow()
     bitmap = np.zeros(BITMAP >> 3, np.uint8)
@@ -166,28 +314,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     np.bitwise_or.at(bitmap, b >> 3, np.left_shift(1, b & 7).astype(np.uint8))
     sizes = sorted(set(found["k"].to_pylist())) or [WINDOW]
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
-    mine = docs.mapInArrow(_doc_windows(bits, sizes), f"h long, doc_id {id_type}, mark long, dpos long, dslots array<long>")
-    pairs = mine.join(items, "h").select("doc_id", "mark", "item_id", "n", "k", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", F.arrays_zip("islots", "dslots").alias("slots"))
-    # the windows of an item on one diagonal: as many as the item has, at most
-    one = pairs.groupBy("doc_id", "mark", "item_id", "n", "k", "diagonal").agg(F.collect_set(F.struct("ipos", "slots")).alias("windows"))
-    one = one.withColumn("every", F.filter(F.flatten("windows.slots"), lambda x: x["islots"] != 0)).withColumn("distinct", F.array_distinct("every"))
-    name = lambda x: F.pmod(x["islots"], F.lit(2)) == 1
-    names = F.filter("distinct", name)
-    one = one.where(F.size(F.array_distinct(F.transform(names, lambda x: x["islots"]))) == F.size(names))
-    # each value's commonest counterpart, the item's own among equals
-    votes = F.transform("distinct", lambda x: F.struct(x.alias("x"), F.struct(F.size(F.filter("every", lambda y: y == x)).alias("n"), (x["islots"] == x["dslots"]).alias("own"), x["dslots"].alias("d")).alias("votes")))
-    one = one.withColumn("votes", votes)
-    best = F.filter("votes", lambda v: ~F.exists("votes", lambda o: (o["x"]["islots"] == v["x"]["islots"]) & (o["votes"] > v["votes"])))
-    one = one.withColumn("best", F.transform(best, lambda v: v["x"]))
-    fits = lambda w: F.forall(w["slots"], lambda x: (x["islots"] == 0) | F.array_contains("best", x)) | F.forall(w["slots"], lambda x: (x["islots"] == 0) | (x["islots"] == x["dslots"]))
-    one = one.withColumn("windows", F.filter("windows", fits)).select("doc_id", "mark", "item_id", "n", "k", F.col("windows.ipos").alias("at"), F.array_distinct(F.filter(F.flatten("windows.slots"), lambda x: x["islots"] != 0)).alias("slots"))
-    every = one.groupBy("doc_id", "mark", "item_id", "n").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.expr("flatten(transform(at, p -> sequence(p, p + k - 1)))")))).alias("covered"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    return every.select(
-        "doc_id", "mark", "item_id", (F.size("covered") / F.col("n")).alias("coverage"), F.size("slots").cast("long").alias("n_slots"),
-        F.size(F.filter("slots", lambda x: x["islots"] != x["dslots"])).cast("long").alias("n_changed"),
-    ).where(F.col("coverage") >= coverage)
+    mine = written(docs.mapInArrow(_doc_windows(bits, sizes), f"h long, doc_id {id_type}, mark long, dpos long, dslots array<long>").distinct(), "document-windows")
+    pairs = mine.select("h", "doc_id", "mark").join(seeds(items, coverage), "h").select(F.struct("doc_id", "mark").alias("doc"), "item").distinct()
+    windows = mine.select(F.struct("doc_id", "mark").alias("doc"), "h", "dpos", "dslots").join(pairs, "doc").join(items, ["h", "item"])
+    windows = windows.select("doc.doc_id", "doc.mark", "item", "item_id", "n", "k", "dpos", "ipos", "islots", "dslots")
+    dealt = windows.repartition("doc_id", "mark", "item").sortWithinPartitions("doc_id", "mark", "item", "dpos", "ipos")
+    return dealt.mapInArrow(_found(coverage), f"doc_id {id_type}, mark long, item_id {item_type}, coverage double, n_slots long, n_changed long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

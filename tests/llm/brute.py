@@ -105,3 +105,73 @@ def fair_queue(rows, targets, key, repeats=3):
         if n + 1 < repeats * len(order[s]):
             heapq.heappush(heap, ((n + 2) / targets[s], name, s, n + 1))
     return taken
+
+
+TOKEN = re.compile(r"(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+")
+
+
+def typed(text, units):
+    """(kind or lower-cased word, lower-cased word) of the tokens of a text."""
+    out = []
+    for w in TOKEN.findall(text or ""):
+        low = w.translate(LOWER)
+        if re.fullmatch(r"[0-9.,]+", w):
+            out.append((1, low))
+        elif out and out[-1][0] == 1 and low in units:
+            out.append((3, low))
+        else:
+            out.append((2 if re.match("[A-Z\u00c0-\u00d6\u00d8-\u00de]", w) else low, low))
+    return out
+
+
+def template_windows(t, k):
+    """{window: places}: the typed tokens, or the words where fewer than two are plain."""
+    out = defaultdict(list)
+    for i in range(len(t) - k + 1):
+        part = t[i : i + k]
+        plain = sum(isinstance(x, str) for x, _ in part)
+        out[(plain < 2, tuple(w if plain < 2 else x for x, w in part))].append(i)
+    return out
+
+
+def contaminated(text, item, units, coverage=0.5):
+    """(coverage, slots, changed slots) of the item's best passage in the text, or None."""
+    d, t = typed(text, units), typed(item, units)
+    n, k = len(t), min(len(t), 5)
+    if n < 4:
+        return None
+    mine = template_windows(d, k)
+    hits = sorted((i, j) for w, js in template_windows(t, k).items() for j in js for i in mine.get(w, ()))
+    best, reach = None, -(10**9)
+    for start in sorted({i - j for i, j in hits}):
+        band = [(i, j) for i, j in hits if start <= i - j <= start + max(2, n // 4)]
+        if max(i - j for i, j in band) <= reach:
+            continue
+        reach = max(i - j for i, j in band)
+        worth, before = [k] * len(band), [-1] * len(band)
+        for b, (i, j) in enumerate(band):
+            for a, (x, y) in enumerate(band[:b]):
+                if x < i and y < j:
+                    value, change = worth[a] + min(k, i - x, j - y), abs((x - y) - (i - j))
+                    old = band[before[b]] if before[b] >= 0 else None
+                    if value > worth[b] or old and value == worth[b] and change <= abs((old[0] - old[1]) - (i - j)):
+                        worth[b], before[b] = value, a
+        b, chain = max(range(len(band)), key=lambda b: (worth[b], -b)), []
+        while b >= 0:
+            chain.append(band[b])
+            b = before[b]
+        slots = {c: [(t[c[1] + x], d[c[0] + x]) for x in range(k) if not isinstance(t[c[1] + x][0], str)] for c in chain}
+        votes = Counter(x for s in slots.values() for x in s)
+        if any(len({y for x, y in votes if x == a}) > 1 for a, _ in votes if a[0] == 2):
+            continue
+        values = defaultdict(list)
+        for (a, y), c in votes.items():
+            values[a].append((c, a[1] == y[1], y))
+        several = {a: max(v) for a, v in values.items()}
+        tied = any(sum(x[:2] == several[a][:2] for x in v) > 1 for a, v in values.items())
+        kept = [c for c, s in slots.items() if all(a[1] == y[1] for a, y in s) or all(several[a][2] == y for a, y in s)]
+        share = len({j + x for _, j in kept for x in range(k)}) / n
+        if share >= coverage and (best is None or share > best[0]):
+            pairs = {x for c in kept for x in slots[c]}
+            best = (share, len(pairs), sum(a[1] != y[1] for a, y in pairs), tied)
+    return best

@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
-from brute import fair_queue, near_groups, words
+from brute import contaminated, fair_queue, near_groups, typed, words
 from pyspark.sql import functions as F
 
 from shardwright.llm import decontaminate, fingerprint, mixing, queries
@@ -104,6 +104,61 @@ def test_contamination_matches_brute_force(spark, sf_dir):
         assert sum(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) > 0.4 * len(item)
 
 
+def _cut(text, *at):
+    w = text.split()
+    return [" ".join(w[a:b]) for a, b in zip((0, *at), (*at, len(w)))]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (". ".join([*reversed(_cut(ITEM, 5, 10, 15)), LONG]), False),  # in reverse order
+        (f" {LONG} {LONG} ".join(_cut(ITEM, 5, 10, 15)), False),  # scattered
+        (ITEM.replace("Alice", "Carol", 1).replace("dollars", "shiny dollars"), False),  # two people, a word between them
+        (ITEM.replace("Alice", "Carol").replace("12", "44").replace("3 dollars each", "3 dollars for each").replace("how much", "then how much"), True),
+        (f"{ITEM.replace('Alice', 'Carol', 1)}. {LONG} {LONG}. {ITEM}", True),  # the second is whole
+    ],
+)
+def test_passages(spark, text, found):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame([(1, f"{LONG}. {text}. {LONG}")], "doc_id long, text string"), items).collect()
+    assert len(got) == found
+
+
+def test_contamination_rules_match_plain_ones(spark, sf_dir):
+    import random
+
+    sf_dir, rng = sf_dir.replace("0.001", "0.01"), random.Random(4)
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()} | {1000: ITEM, 1001: TWICE, 1002: "so very few words", 1003: "one two", 1004: "the the the the the the the the end", None: "an item that has no number of its own at all"}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if len(r.text) < 6000}
+    items = [*bench.values()]
+    for i in range(250):
+        w = [x for _ in range(rng.randint(1, 3)) for x in rng.choice(items).split()]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(w))
+            rng.choice([lambda: w.insert(at, rng.choice(["red", "7", "Bob"])), lambda: w.pop(at) if len(w) > 1 else None, lambda: w.__setitem__(at, rng.choice(["9", "Zoe", "blue", "kg"])), lambda: w.extend(w[at : at + 9])])()
+        if rng.random() < 0.2:
+            a, b = sorted(rng.sample(range(len(w) + 1), 2))
+            w = w[b:] + w[a:b] + w[:a]
+        docs[5000 + i] = " ".join(w)
+    docs[6000] = "the " * 9000
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_slots, r.n_changed) for r in decontaminate.contaminated(rows, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()}
+    grams = {i: {x for x, _ in typed(t, decontaminate.UNITS)} for i, t in bench.items()}
+    n = 0
+    for d, t in docs.items():
+        have = {x for x, _ in typed(t[:5000], decontaminate.UNITS)}
+        for i, item in bench.items():
+            want = contaminated(t[:5000], item, decontaminate.UNITS) if len(grams[i] & have) >= 0.3 * len(grams[i]) else None
+            n += want is not None
+            mine = got.get((d, i))
+            if want and want[3]:  # two values of as many windows: either may stay
+                assert mine and abs(mine[0] - want[0]) < 0.3
+            else:
+                assert mine == (want[:3] if want else None), (t[:300], item)
+    assert n > 200
+
+
 def test_decontaminated_keeps_the_rest(spark, items):
     docs = spark.createDataFrame([(1, ITEM, "a"), (1, "fine", "b"), (None, ITEM, "c"), (None, None, "d"), (2, ITEM, "e"), (2, ITEM, "e")], "doc_id long, text string, item_id string")
     assert sorted(r.item_id for r in decontaminate.decontaminated(docs, items).collect()) == ["b", "d"]
