@@ -2,11 +2,14 @@
 
 Every text becomes the set of its five-word shingles (words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased). Texts of the
 same words are one class, whose size is counted and whose copies are never paired. Class signatures are cut into bands
-whose number follows from the target recall; rows are shuffled on band hashes, and pairs are verified on full shingle
-sets within each band bucket. A bucket with the same members as another is looked at once, a pair that several buckets
-share is counted in the least of them. Buckets above BLOCK texts are dealt out as pairs of blocks to many tasks; pairs
-never become rows: a task adds up links per text and returns a spanning forest, from which distributed connected
-components make the groups.
+whose number follows from the target recall; rows are shuffled on band hashes. A bucket with the same members as another
+is looked at once.
+
+Buckets of the same least member have one home, where their members meet: a group of near copies shares most bands, so
+that its sets of shingle hashes, made once a class, go to a home or a few and not to a place for every band. Pairs are
+verified on full sets; of the buckets that a pair shares the least one counts it, at that bucket's home. Homes above
+BLOCK classes or BLOCK_WORDS words are dealt out as pairs of blocks to many tasks. Pairs never become rows: a task adds
+up links per class and returns a spanning forest, from which distributed connected components make the groups.
 
 Defined cases: null text counts as empty; texts without a word are alone, with no link; one to four words are a single
 shingle; rows with a null or repeated id are rows of their own and get their text's result (class_id is the least id of
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 
 from shardwright.llm import kernel as K
 from shardwright.llm.components import components
-from shardwright.llm.shared import written
+from shardwright.llm.shared import forget, written
 
 SHINGLE = 5
 ROWS = 4
 BLOCK = 512
+BLOCK_WORDS = 4 << 20
 _COPY = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,7 +95,7 @@ def _signatures(k: int, rows: int, bands: int):
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            ids, (data, offs) = batch.column(0), K.utf8(batch.column(1))
+            ids, marks, (data, offs) = batch.column(0), batch.column(1), K.utf8(batch.column(2))
             for lo, hi in K.runs(offs):
                 o = offs[lo : hi + 1] - offs[lo]
                 h, d = K.word_hashes(data[offs[lo] : offs[hi]], o)
@@ -108,55 +112,102 @@ def _signatures(k: int, rows: int, bands: int):
                             key = K.mix(key * _MUL + np.minimum.reduceat(sh * mul[r] + add[r], starts))
                         out[full, b] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), _binary(c1, c2, n > 0), lists], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), marks.slice(lo, hi - lo), _binary(c1, c2, n > 0), pa.array(n), lists], ["doc_id", "mark", "node", "n", "bands"])
+
+    return run
+
+
+def _sets(k: int):
+    """Rows (node, n_copies, keys, text) to (node, n_copies, keys, words): the text's distinct shingle hashes, sorted, as
+    bytes. Rows whose text isn't the node's are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, (data, offs) = batch.column(0).to_pylist(), K.utf8(batch.column(3))
+            for lo, hi in K.runs(offs):
+                h, d = K.word_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                n = np.bincount(d, minlength=hi - lo)
+                c1, c2 = copy_hashes(h, d, n)
+                names = np.ascontiguousarray(np.stack((c1, c2), 1).astype(">u8"))
+                sh, at = shingles(h, d, n, c1, k)
+                cut = np.searchsorted(at, np.arange(hi - lo + 1))
+                own = [r for r in range(hi - lo) if names[r].tobytes() == node[lo + r]]
+                if own:
+                    rows = batch.select([0, 1, 2]).take(pa.array([lo + r for r in own]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([np.unique(sh[cut[r] : cut[r + 1]]).tobytes() for r in own], pa.binary())], ["node", "n_copies", "keys", "words"])
+        K.release()
 
     return run
 
 
-def _verify(k: int, similarity: float):
-    """Batches of (key, bi, bj, block, node, size, less, text), sorted by the first three; less: the smaller keys of the node."""
-
-    def links(ws: np.ndarray, sizes: list[np.ndarray], less: list[np.ndarray], side: np.ndarray, cross: bool):
-        """Index pairs i < j of similar texts that this bucket has to count."""
-        n = len(sizes)
-        if n == 2:
-            if cross and side[0] == side[1] or np.intersect1d(less[0], less[1]).size:
-                return np.zeros(0, int), np.zeros(0, int)
-            both = np.intersect1d(sizes[0], sizes[1], assume_unique=True).size
-            ok = both >= similarity * (len(sizes[0]) + len(sizes[1]) - both) - 1e-9
-            return (np.array([0]), np.array([1])) if ok else (np.zeros(0, int), np.zeros(0, int))
-
-        def common(sets: list[np.ndarray]) -> np.ndarray:
-            flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
-            u, inv, c = np.unique(flat, return_inverse=True, return_counts=True)
-            keep = c[inv] > 1
-            place = (np.cumsum(c > 1) - 1)[inv[keep]]
-            row, total = row[keep], np.zeros((n, n), np.float32)
-            o = np.argsort(place, kind="stable")
-            place, row = place[o], row[o]
-            for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
-                a, b = np.searchsorted(place, (lo, lo + 8192))
-                m = np.zeros((n, 8192), np.float32)
-                m[row[a:b], place[a:b] - lo] = 1
-                total += m @ m.T
-            return total
-
-        both, ln = common(sizes), np.array([len(x) for x in sizes], np.float64)
-        ok = both >= similarity * (ln[:, None] + ln[None] - both) - 1e-6
-        if sum(map(len, less)):
-            ok &= common(less) == 0
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column's rows, and n + 1 offsets into them."""
+    offs = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(zero_copy_only=False), offs - offs[0]
+
+
+def _verify(similarity: float):
+    """Batches of (home, bi, bj, block, node, n_copies, keys, own, words), sorted by the first three; keys: of all buckets
+    of the node, own: of those at this home."""
+
+    def shared(keys: list[np.ndarray], own: set[int]) -> np.ndarray:
+        """Whether the least key that two rows share is of this home."""
+        n = len(keys)
+        flat, row = np.concatenate(keys), np.repeat(np.arange(n), [len(x) for x in keys])
+        o = np.lexsort((row, flat))
+        flat, row = flat[o], row[o]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        state = np.zeros((n, n), np.int8)
+        for lo, hi in zip(first, np.append(first[1:], len(flat))):
+            if hi - lo > 1:
+                at = np.ix_(row[lo:hi], row[lo:hi])
+                part = state[at]
+                part[part == 0] = 1 if int(flat[lo]) in own else 2
+                state[at] = part
+        return state == 1
+
+    def common(sets: list[np.ndarray]) -> np.ndarray:
+        n = len(sets)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+        o = np.argsort(flat, kind="stable")
+        flat, row = flat[o], row[o]
+        fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
+        several = ~fresh | np.append(~fresh[1:], False)
+        place, row, total = np.cumsum(fresh & several)[several] - 1, row[several], np.zeros((n, n), np.float32)
+        for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+            a, b = np.searchsorted(place, (lo, lo + 8192))
+            m = np.zeros((n, 8192), np.float32)
+            m[row[a:b], place[a:b] - lo] = 1
+            total += m @ m.T
+        return total
+
+    def links(sets: list[np.ndarray], keys: list[np.ndarray], own: set[int], side: np.ndarray, cross: bool):
+        """Index pairs i < j of similar texts that this home has to count."""
+        none = np.zeros(0, int), np.zeros(0, int)
+        if len(sets) == 2:
+            if cross and side[0] == side[1] or int(np.intersect1d(keys[0], keys[1])[0]) not in own:
+                return none
+            both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
+            return (np.array([0]), np.array([1])) if both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9 else none
+        ok = shared(keys, own)
         if cross:
             ok &= side[:, None] != side[None]
+        if not ok.any():
+            return none
+        both, size = common(sets), np.array([len(x) for x in sets], np.float64)
+        ok &= both >= similarity * (size[:, None] + size[None] - both) - 1e-6
         return np.nonzero(np.triu(ok, 1))
 
     def group(key, rows: list) -> list[tuple]:
+        """rows: (block, node, n_copies, keys, own keys, set)."""
         seen: dict[bytes, tuple] = {}
         for x in rows:
             seen.setdefault(x[1], x)
         rows = list(seen.values())
         if len(rows) < 2:
             return []
-        i, j = links(None, [x[4] for x in rows], [x[3] for x in rows], np.array([x[0] for x in rows]), key[1] != key[2])
+        own = {int(x) for r in rows for x in r[4]}
+        i, j = links([x[5] for x in rows], [x[3] for x in rows], own, np.array([x[0] for x in rows]), key[1] != key[2])
         if not len(i):
             return []
         n, size = len(rows), np.array([x[2] for x in rows], np.int64)
@@ -184,28 +235,16 @@ def _verify(k: int, similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["node", "peer", "n_docs", "n_texts"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             block, node, size = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            less = batch.column(6)
-            data, offs = K.utf8(batch.column(7))
+            (every, at), (own, own_at), words = _flat(batch.column(6)), _flat(batch.column(7)), batch.column(8)
             out: list[tuple] = []
-            for lo, hi in K.runs(offs):
-                o = offs[lo : hi + 1] - offs[lo]
-                h, d = K.word_hashes(data[offs[lo] : offs[hi]], o)
-                n = np.bincount(d, minlength=hi - lo)
-                c1, c2 = copy_hashes(h, d, n)
-                names = np.ascontiguousarray(np.stack((c1, c2), 1).astype(">u8"))
-                sh, at = shingles(h, d, n, c1, k)
-                cut = np.searchsorted(at, np.arange(hi - lo + 1))
-                for r in range(hi - lo):
-                    if names[r].tobytes() != node[lo + r]:
-                        continue  # another row of the same id
-                    if keys[lo + r] != key:
-                        if len(rows) > 1:
-                            out += group(key, rows)
-                        key, rows = keys[lo + r], []
-                    mine = np.asarray(less[lo + r].values.to_numpy(zero_copy_only=False)) if less[lo + r].is_valid else np.zeros(0, np.int64)
-                    rows.append((block[lo + r], node[lo + r], size[lo + r], mine, np.unique(sh[cut[r] : cut[r + 1]])))
+            for r, name in enumerate(names):
+                if name != key:
+                    if len(rows) > 1:
+                        out += group(key, rows)
+                    key, rows = name, []
+                rows.append((block[r], node[r], size[r], every[at[r] : at[r + 1]], own[own_at[r] : own_at[r + 1]], np.frombuffer(words[r].as_py(), np.uint64)))
             if out:
                 yield made(out)
         if len(rows) > 1 and (out := group(key, rows)):
@@ -219,27 +258,34 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999,
     exact class), n_copies (rows of its class), n_links (other documents of Jaccard similarity or more, copies
     included), n_text_links (other texts of that similarity). Expected recall per pair at the threshold: `recall`. Ids
     may be of any type that has an order."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands = bands_for(similarity, recall)
-    sig = written(docs.mapInArrow(_signatures(shingle, ROWS, bands), f"doc_id {kind}, node binary, bands array<long>"), "signatures")
-    classes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    rows = classes.select("node", F.explode("bands").alias("key"))
+    sig = written(docs.mapInArrow(_signatures(shingle, ROWS, bands), f"doc_id {kind}, mark long, node binary, n long, bands array<long>"), "signatures")
+    # the class's document that lends its text: of least id, and there of least hash, so that rows without an id are told apart
+    lender = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    classes = sig.where("node is not null").groupBy("node").agg(lender.alias("of"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("copy_id", F.col("of.doc_id")), "classes")
+    rows = classes.select("node", "n", F.explode("bands").alias("key"))
     # buckets with the same members: the one of the least key stays
-    stat = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"), F.min("node").alias("least"))
-    kept = stat.where("m > 1").groupBy("m", "members", "least").agg(F.min("key").alias("key")).select("key", "m")
-    keys = rows.join(kept, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "m"))).alias("keys"))
+    stat = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"), F.min("node").alias("home"))
+    kept = stat.where("m > 1").groupBy("m", "members", "home").agg(F.min("key").alias("key")).select("key", "home")
+    rows = written(rows.join(kept, "key"), "buckets")
+    homes = rows.select("home", "node", "n").distinct().groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("nb"))
     # at most `bands` keys a node
-    nodes = keys.join(classes.select("node", "copy_id", "n_copies"), "node")
-    texts = nodes.join(docs, F.col("copy_id").eqNullSafe(F.col("doc_id")))
-    texts = texts.select("node", "n_copies", "keys", "text", F.explode("keys").alias("at")).select(
-        "node", "n_copies", "text", F.col("at.key").alias("key"), F.ceil(F.col("at.m") / block).alias("nb"),
-        F.expr("transform(filter(keys, x -> x.key < at.key), x -> x.key)").alias("less"))
-    texts = texts.withColumn("block", F.expr("pmod(xxhash64(node, key), nb)")).withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
-    texts = texts.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n_copies", "less", "text")
-    dealt = texts.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    found = written(dealt.mapInArrow(_verify(shingle, similarity), "node binary, peer binary, n_docs long, n_texts long"), "links")
+    keys = rows.join(homes, "home").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "home", "nb"))).alias("keys"))
+    nodes = keys.join(classes.select("node", "of", "n_copies"), "node")
+    texts = nodes.join(docs, F.col("of.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of.mark") == F.col("mark"))).select("node", "n_copies", "keys", "text")
+    sets = texts.mapInArrow(_sets(shingle), "node binary, n_copies long, keys array<struct<key: bigint, home: binary, nb: bigint>>, words binary")
+    at = F.explode(F.array_distinct(F.transform("keys", lambda x: F.struct(x["home"].alias("home"), x["nb"].alias("nb")))))
+    sets = sets.withColumn("at", at).select(
+        F.col("at.home").alias("home"), F.col("at.nb").alias("nb"), "node", "n_copies", F.transform("keys", lambda x: x["key"]).alias("every"),
+        F.transform(F.filter("keys", lambda x: x["home"] == F.col("at.home")), lambda x: x["key"]).alias("own"), "words")
+    sets = sets.withColumn("block", F.expr("pmod(xxhash64(node, home), nb)")).withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
+    sets = sets.select("home", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n_copies", "every", "own", "words")
+    dealt = sets.repartition("home", "bi", "bj").sortWithinPartitions("home", "bi", "bj")
+    found = written(dealt.mapInArrow(_verify(similarity), "node binary, peer binary, n_docs long, n_texts long"), "links")
+    forget(rows)
     sums = found.groupBy("node").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     roots = components(found, "node", "peer")
     linked = sums.join(roots, "node").join(classes.select("node", "copy_id", "n_copies"), "node")

@@ -39,6 +39,33 @@ def test_join_odd_rows(spark):
     assert bands_for(0.8, 0.9999) > bands_for(0.8, 0.9) and bands_for(1.0, 0.9) == 1
 
 
+def test_join_rows_without_ids(spark):
+    import time
+
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a text of its own with number "), F.col("id") % 10_000, F.lit(" and some more words after it all")).alias("text"))
+    began = time.time()
+    got = ngram_join(docs).groupBy("class_id", "n_copies", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(None, 2, 1, 20_000)] and time.time() - began < 120
+
+
+def test_join_recall_of_planted_copies(spark):
+    """Pairs at or above the similarity that the join finds, of those that there are."""
+    import random
+
+    rng, texts = random.Random(8), []
+    for g in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.randint(2, 5)):
+            w = base[:]
+            for _ in range(len(w) // 90):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    want = near_groups(texts)
+    got = {r.doc_id: r.n_links for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(n for _, n in want.values()) > 400
+    assert sum(got.values()) == sum(n for _, n in want.values())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 150), (200, 160), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
