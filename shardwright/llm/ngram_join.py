@@ -271,7 +271,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999,
     stat = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"), F.min("node").alias("home"))
     kept = stat.where("m > 1").groupBy("m", "members", "home").agg(F.min("key").alias("key")).select("key", "home")
     rows = written(rows.join(kept, "key"), "buckets")
-    homes = rows.select("home", "node", "n").distinct().groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("nb"))
+    homes = written(rows.select("home", "node", "n").distinct().groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("nb")), "homes")  # written, so that the join below is of two plain exchanges, which can be split
     # at most `bands` keys a node
     keys = rows.join(homes, "home").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "home", "nb"))).alias("keys"))
     nodes = keys.join(classes.select("node", "of", "n_copies"), "node")
