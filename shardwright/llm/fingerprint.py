@@ -9,7 +9,11 @@ in the other, by common bits beyond chance over the most there could be, then th
 Entropies are integers that slide by one byte in and one byte out, so equal texts have equal fingerprints wherever they
 stand.
 
-Defined cases: null text counts as empty; empty texts have the empty fingerprint, which is like itself only; a text of
+Texts are read twice: once for the corpus' histogram and each row's id and hash, which give the ranges, and once to be
+dealt to their range, whose first row goes to the range before it too. There are RANGES ranges at most, whatever the
+corpus, of PART_BYTES at least; a task goes through its range as a stream, a megabyte at a time.
+
+Defined cases: ids are whole numbers; null text counts as empty; empty texts have the empty fingerprint, which is like itself only; a text of
 fewer than WIDTH bytes is a single feature; documents go by ascending id, nulls first, rows of one id by a hash of
 their text; a sole document is its own next; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm import kernel as K
+from shardwright.llm.shared import written
 
 WIDTH = 64
 BINS = 1001
@@ -34,6 +39,7 @@ VOTES = 16
 BITS = 2048
 PER_FILTER = 160
 PART_BYTES = 16 << 20
+RANGES = 20_000
 _N = np.arange(WIDTH + 1)
 _G = np.round((1 << 16) * _N * np.log2(np.maximum(_N, 1))).astype(np.int64)
 _STEP = np.diff(_G)
@@ -180,34 +186,43 @@ def _beyond(common, x, y):
     return np.clip((common - chance) / np.maximum(np.minimum(x, y) - chance, 1e-9), 0, 1)
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BINS, np.int64)
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, mark, text) to (doc_id, mark), then (bin, n) of all windows, bin -1 for the bytes."""
+    total, size = np.zeros(BINS, np.int64), 0
     for batch in batches:
-        data, offs = K.utf8(batch.column(0))
+        data, offs = K.utf8(batch.column(2))
+        size += len(data)
         for lo, hi in K.runs(offs):
             bins = entropy_bins(data[offs[lo] : offs[hi]])
             total += np.bincount(bins[_inside(offs[lo : hi + 1] - offs[lo], len(bins))], minlength=BINS)
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none], ["doc_id", "mark", "bin", "n"])
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+    none = pa.nulls(len(at) + 1, pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(np.append(at, -1)), pa.array(np.append(total[at], size))], ["doc_id", "mark", "bin", "n"])
+
+
+def _places(ids: pa.Array, marks: pa.Array) -> np.ndarray:
+    """Rows' ids, nulls first, and marks as bytes that sort alike."""
+    flip = lambda x: (x.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+    out = np.zeros(len(ids), np.dtype([("full", "u1"), ("id", ">u8"), ("mark", ">u8")]))
+    out["full"], out["id"], out["mark"] = ids.is_valid().to_numpy(zero_copy_only=False), flip(ids.fill_null(-(1 << 63))), flip(marks)
+    return out.view("S17").ravel()
 
 
-def _dealt(least: list[int | None]):
-    """To rows (doc_id, text) adds the range of each, and hands a range's first rows to the range before it too."""
-    bounds = np.array([x for x in least[1:]], np.int64)
+def _dealt(least):
+    """To rows (doc_id, mark, text) adds the range of each, and hands a range's first rows to the range before it too.
+    least: the place of each range's first row, sorted, a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = least.value
         for batch in batches:
-            ids, mark, text = batch.columns
-            value = ids.fill_null(-(1 << 63)).to_numpy()
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            part = np.searchsorted(bounds, value, "right")
-            part[null] = 0
-            lo = np.array([-(1 << 63) if x is None else x for x in least], np.int64)
-            head = np.flatnonzero(value == lo[part])
-            before = (part[head] - 1) % len(least)
+            place = _places(batch.column(0), batch.column(1))
+            part = np.searchsorted(bounds, place, "right") - 1
+            head = np.flatnonzero(place == bounds[part])
             take = pa.array(np.concatenate((np.arange(len(part)), head)))
             ahead = np.concatenate((np.zeros(len(part), bool), np.ones(len(head), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, before)).astype(np.int32)), pa.array(ahead), ids.take(take), mark.take(take), text.take(take)], ["part", "ahead", "doc_id", "mark", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, (part[head] - 1) % len(bounds))).astype(np.int32)), pa.array(ahead), *(c.take(take) for c in batch.columns)], ["part", "ahead", "doc_id", "mark", "text"])
 
     return run
 
@@ -249,16 +264,20 @@ def _compared(rank: np.ndarray):
 
 def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # at most BINS rows
-    found = docs.select("text").mapInArrow(_histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    rank = ranks({r["bin"]: r["n"] for r in found})
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
-    ranges = docs.select("doc_id").repartitionByRange(-(-size // part_bytes), "doc_id").select("doc_id", F.spark_partition_id().alias("p"))
-    # a row for each range
-    least = sorted((r["least"] if not r["null"] else None for r in ranges.groupBy("p").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("null")).collect()), key=lambda x: (x is not None, x))
-    if not least:
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    seen = written(docs.mapInArrow(_seen, "doc_id long, mark long, bin long, n long"), "texts-seen")
+    # at most BINS rows and one
+    found = {r["bin"]: r["n"] for r in seen.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    size = found.pop(-1, 0)
+    rank = ranks(found)
+    ranges = seen.where("bin is null").select("doc_id", "mark").repartitionByRange(min(RANGES, -(-size // part_bytes) or 1), "doc_id", "mark")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("full"), "doc_id", "mark")).alias("x")
+    # at most RANGES rows
+    least = ranges.select("doc_id", "mark", F.spark_partition_id().alias("p")).groupBy("p").agg(first).select("x.doc_id", "x.mark").toArrow().combine_chunks()
+    if not least.num_rows:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next")).limit(0)
-    dealt = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_dealt(least), "part int, ahead boolean, doc_id long, mark long, text string")
-    dealt = dealt.repartitionById(len(least), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "mark")
+    bounds = np.sort(_places(least["doc_id"].combine_chunks(), least["mark"].combine_chunks()))
+    dealt = docs.mapInArrow(_dealt(spark.sparkContext.broadcast(bounds)), "part int, ahead boolean, doc_id long, mark long, text string")
+    dealt = dealt.repartitionById(len(bounds), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "mark")
     return dealt.mapInArrow(_compared(rank), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

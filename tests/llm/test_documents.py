@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
-from brute import contaminated, fair_queue, near_groups, typed, words
+from brute import Fingerprints, contaminated, fair_queue, near_groups, typed, words
 from pyspark.sql import functions as F
 
 from shardwright.llm import decontaminate, fingerprint, mixing, queries
@@ -244,6 +244,24 @@ def test_fingerprints(spark, sf_dir):
     assert sum(g.near_next < 0.3 for g in long) / len(long) > 0.9
 
 
+def test_fingerprints_match_plain_ones(spark, sf_dir):
+    rows = sorted(r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if len(r.text) < 6000)[:70]
+    rows = [tuple(r) for r in rows] + [(9001, rows[3].text * 8), (9002, "ab" * 40), (9003, None), (9004, "short"), (9005, "é" * 70), (9006, "x" * 64)]
+    plain = Fingerprints([t for _, t in rows])
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=30_000).collect()}
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain.string(t), plain.string(edited)), i
+        assert abs(got[i].near_edited - plain.likeness(t, edited)) < 1e-6 and abs(got[i].near_next - plain.likeness(t, after)) < 1e-6, i
+
+
+def test_fingerprints_of_rows_of_one_id(spark):
+    rows = [(None, f"text number {i} of many that have no id at all, and so on") for i in range(600)] + [(7, f"{i} " * 40) for i in range(300)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=2000).collect()
+    assert len(got) == 900 and len({r.edited_sha256 for r in got}) > 800
+
+
 def test_fingerprint_odd_rows(spark):
     rows = [(None, "first"), (3, None), (3, ""), (5, "ab" * 300), (5, "ab" * 300), (9, "é" * 70_000), (12, "x")]
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fingerprint string")
