@@ -2,13 +2,16 @@
 
 Each language has a model of order ORDER over its letters (lower-cased, every run of other characters is one space).
 The models are fitted on a bounded sample: about DOCS_PER_LANGUAGE labelled documents of each language, chosen by a hash
-of id and text, of which a fifth is kept for calibration. The n-gram counts are a distributed aggregate; what comes to
-the driver is bounded by the sample. The models of all languages share sorted arrays of n-gram hashes, one per order,
-with a row of log probabilities for every language, so one search scores a position in all of them.
+of id and text, of which a fifth is kept for calibration. The n-gram counts are a distributed aggregate, and a language's
+model is made of them in one task; what comes to the driver, and goes to all workers, is bounded by the sample. A model
+is sorted arrays of its own n-grams' hashes, one per order, with their log probabilities, and of its contexts with
+their back-off; so all models together grow with the number of languages, not with its square. Of a slice of texts each
+distinct n-gram is looked up once in every language.
 
 A text gets the language of least cross-entropy per symbol. Its score is a softmax over the languages whose temperature
-is fitted on the calibration documents. It is rejected if its cross-entropy is further above the language's mean than
-calibration documents ever are, twice over, given its length.
+is fitted on the calibration documents. It is rejected if its cross-entropy is too far above the language's mean, given
+its length: the limit is where a share of 1 - KEPT of the language's texts would lie, by an exponential tail through
+the calibration documents beyond their TAIL quantile (of all languages' where one has fewer than ENOUGH).
 
 Defined cases: a text that is null or has no letter is `und`, score 0, rejected; so is every text where nothing could
 be learned; a null id is in the fold of the empty text; repeated rows are rows of their own; an empty table gives an
@@ -30,6 +33,9 @@ from shardwright.llm.shared import written
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1000
+KEPT = 0.9999
+TAIL = 0.9
+ENOUGH = 50
 UNKNOWN = "und"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[np.ndarray] = []
@@ -82,49 +88,63 @@ def key(g: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    keys: list[np.ndarray]  # by order: sorted hashes
-    logp: list[np.ndarray]  # by order: a row for each hash, a column for each language
+class Language:
+    """One model. By order: sorted hashes of n-grams and their log probabilities, of contexts and their back-off."""
+
+    keys: list[np.ndarray]
+    logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: np.ndarray
+    floor: float
+
+    def score(self, hashes: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of n-grams given by the hashes of their last 1, 2, ... symbols and of the contexts of these."""
+        out = np.full(len(hashes[0]), self.floor, np.float32)
+        for k in range(ORDER):
+            own, value = _value(self.keys[k], self.logp[k], hashes[k])
+            if k:
+                known, back = _value(self.contexts[k], self.backoff[k], contexts[k])
+                out[known] += back
+            out[own] = value
+        return out
+
+
+def _value(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked are among the sorted keys, and their values."""
+    if not len(keys):
+        return np.zeros(0, np.int64), values
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    own = np.flatnonzero(keys[at] == asked)
+    return own, values[at[own]]
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    models: list[Language]
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     by_length: np.ndarray | None = None
-    limit: float = 0.0
+    limit: np.ndarray | None = None
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol in each language, and the number of symbols, of each text."""
         s, row = symbols(texts)
-        g = grams(s, row)
-        total = self._logp(g, ORDER)
         n = np.bincount(row, minlength=len(texts))
-        out = np.stack([np.bincount(row, total[:, k], len(texts)) for k in range(len(self.languages))], 1)
-        return -out / np.maximum(n, 1)[:, None], n
-
-    def _logp(self, g: np.ndarray, order: int) -> np.ndarray:
-        at = self._look(("k", order), self.keys[order - 1])(key(g[:, ORDER - order :]))
-        out = self.logp[order - 1][at]
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            if order == 1:
-                out[miss] = self.floor
-            else:
-                low = self._logp(g[miss], order - 1)
-                ctx = self._look(("c", order), self.contexts[order - 1])(key(g[miss, ORDER - order : -1]))
-                out[miss] = low + np.where(ctx[:, None] >= 0, self.backoff[order - 1][ctx], 0)
-        return out
-
-    def _look(self, name, keys: np.ndarray) -> K.Lookup:
-        have = self.__dict__.setdefault("_lookups", {})
-        if name not in have:
-            have[name] = K.Lookup(keys)
-        return have[name]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_lookups"}
+        g = grams(s, row)
+        _, first, at = np.unique(key(g), return_index=True, return_inverse=True)
+        out = np.empty((len(texts), len(self.languages)))
+        for k, logp in enumerate(self._logp(g[first]).T):
+            out[:, k] = -np.bincount(row, logp[at], len(texts))
+        return out / np.maximum(n, 1)[:, None], n
+
+    def _logp(self, g: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """A row for each n-gram, a column for each language."""
+        hashes = [key(g[:, ORDER - k :]) for k in range(1, order + 1)]
+        contexts = [key(g[:, ORDER - k : -1]) for k in range(1, order + 1)]
+        return np.stack([m.score(hashes, contexts) for m in self.models], 1)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy in it and rejection of each text."""
@@ -136,50 +156,63 @@ class Model:
         x = -self.temperature * (e - least[:, None]) * np.sqrt(n)[:, None]
         score = np.where(n > 0, 1 / np.exp(np.maximum(x, -700)).sum(1), 0.0)
         z = (least - self.mean[best]) / (self.spread[best] + self.by_length[best] / np.sqrt(np.maximum(n, 1)))
-        return [self.languages[k] if m else UNKNOWN for k, m in zip(best, n)], score, least, (n == 0) | (z > self.limit)
+        return [self.languages[k] if m else UNKNOWN for k, m in zip(best, n)], score, least, (n == 0) | (z > self.limit[best])
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The models from each language's top-order n-grams (rows of code points) and their counts."""
-    langs = sorted(counts)
-    n_lang = len(langs)
-    if not langs:
-        return Model([], [], [], [], [], np.zeros(0, np.float32))
-    every = np.concatenate([counts[x][0] for x in langs])
-    letters = len(np.unique(every)) + 1
-    floor = np.log(np.full(n_lang, 1.0 / letters))
-    keys, logp, contexts, backoff, lower_p, lower_k = [], [], [], [], None, None
+def language_model(top: np.ndarray, count: np.ndarray, letters: int) -> Language:
+    """The model of top-order n-grams (rows of code points) and their counts; letters: symbols that there are in all."""
     # the n-grams of every order with their counts: raw at the top, below it the number of distinct symbols before
-    tops: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {ORDER: [counts[x] for x in langs]}
+    tops = {ORDER: (top, count)}
     for order in range(ORDER - 1, 0, -1):
-        tops[order] = []
-        for g, _ in tops[order + 1]:
-            k = key(g[:, 1:])
-            _, first, c = np.unique(k, return_index=True, return_counts=True)
-            tops[order].append((g[first, 1:], c))
+        g = tops[order + 1][0]
+        _, first, c = np.unique(key(g[:, 1:]), return_index=True, return_counts=True)
+        tops[order] = g[first, 1:], c
+    keys, logp, contexts, backoff = [], [], [], []
+    lower_k, lower_p = np.zeros(0, np.int64), np.zeros(0)
     for order in range(1, ORDER + 1):
-        g = np.concatenate([x for x, _ in tops[order]])
-        u, first = np.unique(key(g), return_index=True)
-        g = g[first]
+        g, c = tops[order]
+        u = key(g)
+        o = np.argsort(u)
+        g, c, u = g[o], c[o].astype(np.float64), u[o]
         ctx_u, ctx = np.unique(key(g[:, :-1]), return_inverse=True)
-        below = np.exp(floor)[None].repeat(len(u), 0) if order == 1 else lower_p[np.searchsorted(lower_k, key(g[:, 1:]))]
-        p, bow = np.empty((len(u), n_lang)), np.zeros((len(ctx_u), n_lang))
-        for k in range(n_lang):
-            c = np.zeros(len(u))
-            c[np.searchsorted(u, key(tops[order][k][0]))] = tops[order][k][1]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            total, kinds = np.bincount(ctx, c, len(ctx_u)), np.bincount(ctx, c > 0, len(ctx_u))
-            share = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            p[:, k] = np.where(total[ctx] > 0, np.maximum(c - d, 0) / np.maximum(total[ctx], 1), 0) + share[ctx] * below[:, k]
-            bow[:, k] = np.log(np.maximum(share, 1e-12))
+        below = np.full(len(u), 1.0 / letters) if order == 1 else lower_p[np.searchsorted(lower_k, key(g[:, 1:]))]
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total, kinds = np.bincount(ctx, c, len(ctx_u)), np.bincount(ctx, minlength=len(ctx_u))
+        share = d * kinds / total
+        p = np.maximum(c - d, 0) / total[ctx] + share[ctx] * below
         keys.append(u)
         logp.append(np.log(p).astype(np.float32))
         contexts.append(ctx_u)
-        backoff.append(bow.astype(np.float32))
-        lower_p, lower_k = p, u
-    floor = floor + backoff[0][0]  # an unknown symbol: the unigrams' share for new ones
-    return Model(langs, keys, logp, contexts, backoff, floor.astype(np.float32))
+        backoff.append(np.log(np.maximum(share, 1e-12)).astype(np.float32))
+        lower_k, lower_p = u, p
+    # an unknown symbol: the unigrams' share for new ones
+    return Language(keys, logp, contexts, backoff, float(-np.log(letters) + (backoff[0][0] if len(backoff[0]) else 0.0)))
+
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The models from each language's top-order n-grams (rows of code points) and their counts."""
+    langs = sorted(counts)
+    letters = len(np.unique(np.concatenate([counts[x][0] for x in langs]))) + 1 if langs else 1
+    return Model(langs, [language_model(*counts[x], letters) for x in langs])
+
+
+_MODEL = "lang string, part int, key long, value float"
+
+
+def _fitted(letters: int):
+    """The n-grams of one language (lang, a, b, n) to the rows of its model: parts 0 to ORDER - 1 are its n-grams by order,
+    the next ORDER its contexts, the last its floor."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b, n = (rows[c].to_numpy() for c in ("a", "b", "n"))
+        m = language_model(np.stack((a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF), 1).astype(np.uint32), n, letters)
+        parts = [*zip(m.keys, m.logp), *zip(m.contexts, m.backoff), (np.zeros(1, np.int64), np.array([m.floor], np.float32))]
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        lang = pa.array([rows["lang"][0].as_py()] * len(part), pa.string())
+        return pa.table({"lang": lang, "part": part, "key": np.concatenate([k for k, _ in parts]), "value": np.concatenate([v for _, v in parts])})
+
+    return run
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +240,18 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = DOCS_PER_LANGU
     sample = docs.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(5)) == 0).alias("apart"))
     sample = written(sample, "language-sample")
     found = sample.where("not apart").select("lang", "text").mapInArrow(_gram_counts, "lang string, a long, b long, n long")
-    found = found.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
-    langs, a, b, n = (found[c].to_numpy() for c in ("lang", "a", "b", "n"))
-    g = np.stack((a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF), 1).astype(np.uint32)
-    o = np.lexsort((b, a))
-    langs, g, n = langs[o], g[o], n[o]
-    model = kneser_ney({x: (g[langs == x], n[langs == x]) for x in sorted(set(langs))})
+    found = written(found.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "language-grams")
+    letter = F.explode(F.array(F.shiftright("a", 21), F.col("a").bitwiseAND(0x1FFFFF), F.shiftright("b", 21), F.col("b").bitwiseAND(0x1FFFFF)))
+    letters = found.select(letter.alias("x")).distinct().count() + 1
+    rows = found.groupBy("lang").applyInArrow(_fitted(letters), _MODEL).toArrow()  # the n-grams of the sample
+    model = Model([], [])
+    o = np.lexsort((rows["key"].to_numpy(), rows["part"].to_numpy(), (langs := rows["lang"].combine_chunks().dictionary_encode()).indices.to_numpy()))
+    lang, part, k, v = langs.indices.to_numpy()[o], rows["part"].to_numpy()[o], rows["key"].to_numpy()[o], rows["value"].to_numpy()[o]
+    for code in sorted(set(lang.tolist()), key=lambda c: langs.dictionary[c].as_py()):
+        own = lang == code
+        parts = [(k[own][part[own] == x], v[own][part[own] == x]) for x in range(2 * ORDER + 1)]
+        model.languages.append(langs.dictionary[code].as_py())
+        model.models.append(Language([x for x, _ in parts[:ORDER]], [y for _, y in parts[:ORDER]], [x for x, _ in parts[ORDER:-1]], [y for _, y in parts[ORDER:-1]], float(parts[-1][1][0])))
     return calibrated(model, sample.where("apart").select("lang", "text"))
 
 
@@ -227,7 +266,7 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat], ["lang", "n", "e"])
 
     k = len(model.languages)
-    model.mean, model.spread, model.by_length = np.full(k, np.inf), np.full(k, 0.1), np.full(k, 2.0)
+    model.mean, model.spread, model.by_length, model.limit = np.full(k, np.inf), np.full(k, 0.1), np.full(k, 2.0), np.full(k, np.inf)
     found = labelled.mapInArrow(run, "lang string, n long, e array<double>").where("n > 0").toArrow() if k else None
     if found is None or not found.num_rows:
         return model
@@ -241,7 +280,7 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
         return float(np.mean(np.log(np.exp(np.maximum(x, -700)).sum(1)) - x[np.arange(len(x)), truth]))
 
     model.temperature = min((2.0**i for i in range(-4, 6)), key=loss)
-    z = [4.0]
+    z: list[np.ndarray] = [np.zeros(0)] * k
     for lang in range(k):
         own = (truth == lang) & (np.argmin(e, 1) == lang)
         if own.any():
@@ -249,12 +288,22 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
             model.mean[lang] = np.average(x, weights=np.minimum(m, 500))
             model.by_length[lang] = max(0.5, float(np.sqrt(np.mean((x - model.mean[lang]) ** 2 * np.minimum(m, 500)))))
             model.spread[lang] = max(0.02, float(np.std(x[m >= min(100, np.median(m))])))
-            z.append(float(np.max((x - model.mean[lang]) / (model.spread[lang] + model.by_length[lang] / np.sqrt(m)))))
+            z[lang] = (x - model.mean[lang]) / (model.spread[lang] + model.by_length[lang] / np.sqrt(m))
+    every = np.concatenate(z) if k else np.zeros(0)
+    model.limit = np.array([_limit(x if len(x) >= ENOUGH else every) for x in z])
     model.mean[np.isinf(model.mean)] = model.mean[~np.isinf(model.mean)].max() if (~np.isinf(model.mean)).any() else 0.0
-    model.limit = 2 * max(z)
     return model
 
 
+def _limit(z: np.ndarray) -> float:
+    """What a share of 1 - KEPT is beyond, by an exponential tail from the TAIL quantile on."""
+    if not len(z):
+        return np.inf
+    at = float(np.quantile(z, TAIL))
+    beyond = z[z > at] - at
+    return at + (float(beyond.mean()) if len(beyond) else 0.0) * float(np.log((1 - TAIL) / (1 - KEPT)))
+
+
 def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = "") -> DataFrame:
     """The kept columns with lang_pred, score, entropy (nats per symbol) and rejected, their names after the prefix."""
     docs = docs.select(*keep, F.col("text").alias("_text_to_judge"))

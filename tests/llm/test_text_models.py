@@ -103,3 +103,43 @@ def test_symbols(text):
     s, row = lang_id.symbols([text, None, text])
     want = "".join(c.lower() if c.isalpha() else " " for c in text).split()
     assert "".join(map(chr, s[row == 0])) == "".join(w + " " for w in want) == "".join(map(chr, s[row == 2]))
+
+
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírván egymással szemben testvéri szellemben kell hogy viseltessenek",
+    "code": "for (int i = 0; i < buf_len; ++i) { if (ptr->next == NULL) continue; memcpy(dst + off, src, sizeof(uint32_t)); idx <<= 2; }",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền, mọi con người đều được tạo hóa ban cho lý trí và lương tâm",
+}
+
+
+def test_foreign_texts_are_rejected_and_own_ones_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    learned = lang_id.fit(docs.where(fold_col(F.col("doc_id"), 4) != 2))
+    texts = spark.createDataFrame([(x, t) for x, t in FOREIGN.items()], "doc_id string, text string")
+    assert {r.doc_id: r.rejected for r in lang_id.predict(texts, learned, "doc_id").collect()} == dict.fromkeys(FOREIGN, True)
+    held = docs.where(fold_col(F.col("doc_id"), 4) == 2).where(F.col("text").rlike("[a-z]"))
+    got = lang_id.predict(held, learned, "lang").agg(F.count("*").alias("n"), F.count_if("rejected").alias("gone"), F.count_if(F.col("lang") != F.col("lang_pred")).alias("wrong")).first()
+    assert got.n > 2000 and got.gone <= 0.002 * got.n and got.wrong <= 0.01 * got.n
+
+
+def test_one_odd_label_does_not_open_the_gate(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang", "text")
+    noise = spark.createDataFrame([(10**6 + i, "en", t) for i, t in enumerate(FOREIGN.values())], "doc_id long, lang string, text string")
+    learned = lang_id.fit(docs.unionByName(noise))
+    texts = spark.createDataFrame([(1, "Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun perustuvaa erotusta")], "doc_id long, text string")
+    assert lang_id.predict(texts, learned, "doc_id").first().rejected
+
+
+def test_many_languages(spark):
+    import random
+
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choices(rng.sample(letters, 9), k=rng.randint(2, 7))) for _ in range(40)] for k in range(120)}
+    rows = [(i * 120 + k, x, " ".join(rng.choices(w, k=25))) for k, (x, w) in enumerate(words.items()) for i in range(12)]
+    learned = lang_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(learned.languages) == 120 and sum(len(a) for m in learned.models for a in m.keys) < 120 * 2000
+    fresh = spark.createDataFrame([(x, " ".join(rng.choices(w, k=25))) for x, w in words.items()], "doc_id string, text string")
+    assert all(r.doc_id == r.lang_pred for r in lang_id.predict(fresh, learned, "doc_id").collect())
