@@ -10,8 +10,9 @@ distinct n-gram is looked up once in every language.
 
 A text gets the language of least cross-entropy per symbol. Its score is a softmax over the languages whose temperature
 is fitted on the calibration documents. It is rejected if its cross-entropy is too far above the language's mean, given
-its length: the limit is where a share of 1 - KEPT of the language's texts would lie, by an exponential tail through
-the calibration documents beyond their TAIL quantile (of all languages' where one has fewer than ENOUGH).
+its length. The limit is calibrated on documents that the models haven't seen: it is the geometric mean of the distance
+that a share of KEPT of the language's documents (of all languages' where it has fewer than ENOUGH) don't reach, and the
+one that all but FOREIGN of them are beyond with their symbols shuffled, which leaves the letters and no language.
 
 Defined cases: a text that is null or has no letter is `und`, score 0, rejected; so is every text where nothing could
 be learned; a null id is in the fold of the empty text; repeated rows are rows of their own; an empty table gives an
@@ -33,8 +34,8 @@ from shardwright.llm.shared import written
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1000
-KEPT = 0.9999
-TAIL = 0.9
+KEPT = 0.995
+FOREIGN = 0.05
 ENOUGH = 50
 UNKNOWN = "und"
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -132,13 +133,15 @@ class Model:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol in each language, and the number of symbols, of each text."""
         s, row = symbols(texts)
-        n = np.bincount(row, minlength=len(texts))
+        return self._entropies(s, row, len(texts)), np.bincount(row, minlength=len(texts))
+
+    def _entropies(self, s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         g = grams(s, row)
         _, first, at = np.unique(key(g), return_index=True, return_inverse=True)
-        out = np.empty((len(texts), len(self.languages)))
+        out = np.empty((rows, len(self.languages)))
         for k, logp in enumerate(self._logp(g[first]).T):
-            out[:, k] = -np.bincount(row, logp[at], len(texts))
-        return out / np.maximum(n, 1)[:, None], n
+            out[:, k] = -np.bincount(row, logp[at], rows)
+        return out / np.maximum(np.bincount(row, minlength=rows), 1)[:, None]
 
     def _logp(self, g: np.ndarray, order: int = ORDER) -> np.ndarray:
         """A row for each n-gram, a column for each language."""
@@ -261,18 +264,21 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e, n = shared.value.entropies(batch.column(1).to_pylist())
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * e.shape[1]), pa.array(e.ravel().astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat], ["lang", "n", "e"])
+            texts, rng = batch.column(1).to_pylist(), np.random.default_rng(1)
+            s, row = symbols(texts)
+            shuffled = s[np.lexsort((rng.random(len(s)), row))]
+            n = np.bincount(row, minlength=len(texts))
+            flat = lambda e: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * e.shape[1]), pa.array(e.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat(shared.value._entropies(s, row, len(n))), flat(shared.value._entropies(shuffled, row, len(n)))], ["lang", "n", "e", "shuffled"])
 
     k = len(model.languages)
     model.mean, model.spread, model.by_length, model.limit = np.full(k, np.inf), np.full(k, 0.1), np.full(k, 2.0), np.full(k, np.inf)
-    found = labelled.mapInArrow(run, "lang string, n long, e array<double>").where("n > 0").toArrow() if k else None
+    found = labelled.mapInArrow(run, "lang string, n long, e array<double>, shuffled array<double>").where("n > 0").toArrow() if k else None
     if found is None or not found.num_rows:
         return model
     truth = np.array([model.languages.index(x) if x in model.languages else -1 for x in found["lang"].to_pylist()])
-    n, e = found["n"].to_numpy(), np.array(found["e"].to_pylist())
-    n, e, truth = n[truth >= 0], e[truth >= 0], truth[truth >= 0]
+    n, e, other = found["n"].to_numpy(), np.array(found["e"].to_pylist()), np.array(found["shuffled"].to_pylist())
+    n, e, other, truth = n[truth >= 0], e[truth >= 0], other[truth >= 0], truth[truth >= 0]
     least = e.min(1)
 
     def loss(t: float) -> float:
@@ -289,21 +295,17 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
             model.by_length[lang] = max(0.5, float(np.sqrt(np.mean((x - model.mean[lang]) ** 2 * np.minimum(m, 500)))))
             model.spread[lang] = max(0.02, float(np.std(x[m >= min(100, np.median(m))])))
             z[lang] = (x - model.mean[lang]) / (model.spread[lang] + model.by_length[lang] / np.sqrt(m))
-    every = np.concatenate(z) if k else np.zeros(0)
-    model.limit = np.array([_limit(x if len(x) >= ENOUGH else every) for x in z])
     model.mean[np.isinf(model.mean)] = model.mean[~np.isinf(model.mean)].max() if (~np.isinf(model.mean)).any() else 0.0
+    far = (other - model.mean) / (model.spread + model.by_length / np.sqrt(n)[:, None])
+    every = np.concatenate(z)
+    for lang in range(k):
+        own = z[lang] if len(z[lang]) >= ENOUGH else every
+        if len(own):
+            kept, foreign = float(np.quantile(own, KEPT)), far[truth == lang, lang]
+            model.limit[lang] = max(kept, np.sqrt(max(kept, 0) * max(float(np.quantile(foreign, FOREIGN)), 0))) if len(foreign) else kept
     return model
 
 
-def _limit(z: np.ndarray) -> float:
-    """What a share of 1 - KEPT is beyond, by an exponential tail from the TAIL quantile on."""
-    if not len(z):
-        return np.inf
-    at = float(np.quantile(z, TAIL))
-    beyond = z[z > at] - at
-    return at + (float(beyond.mean()) if len(beyond) else 0.0) * float(np.log((1 - TAIL) / (1 - KEPT)))
-
-
 def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = "") -> DataFrame:
     """The kept columns with lang_pred, score, entropy (nats per symbol) and rejected, their names after the prefix."""
     docs = docs.select(*keep, F.col("text").alias("_text_to_judge"))
