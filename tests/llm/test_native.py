@@ -338,3 +338,13 @@ def test_license_paragraphs(spark):
 def test_license_line_of_most_rows(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 1000, F.lit("\nReleased under the MIT License.")).alias("text"))
     assert [(r.lines, r["count"]) for r in license_scan.license_scan(docs).groupBy("lines").count().collect()] == [("2:MIT", 20_000)]
+
+
+def test_url_links_with_dots_and_hubs(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [(1, "http://a.com/x/y/z", link("../../de/1")), (2, "http://a.com/x/y/z2", link("./w/../q?p=../r")), (3, "http://b.net/k", "<meta http-equiv=refresh content=0;url=/a/b/../c>"), (4, "http://b.net/m", link("/..")), (5, "http://b.net", link("d/.."))]
+    got = {r.from_url: r.to_url for r in url_filter.links_of(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"http://a.com/x/y/z": "http://a.com/de/1", "http://a.com/x/y/z2": "http://a.com/x/y/q?p=../r", "http://b.net/k": "http://b.net/a/c", "http://b.net/m": "http://b.net/", "http://b.net": "http://b.net/"}
+    hub = [(i if i % 3 else None, f"http://h{i}.net/", link("http://shop.com/de/1")) for i in range(2000)] + [(9000 + i, f"http://c.net/{i}", link(f"http://c.net/{i + 1}")) for i in range(60)] + [(9060, "http://c.net/60", link("http://shop.com/de/2"))]
+    got = url_filter.judged(spark.createDataFrame(hub, "page_id long, url string, html string"), url_filter.rule_table(spark)).groupBy("verdict").count().collect()
+    assert [tuple(r) for r in got] == [("block", 2061)]
