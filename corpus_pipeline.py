@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardwright.llm import lang_id, mixing, secrets
 from shardwright.llm.decontaminate import decontaminated
 from shardwright.llm.ngram_join import ngram_join
-from shardwright.llm.shared import fold, table, written
+from shardwright.llm.shared import fold, forget, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{i}-{name}")
+            if before is not None:
+                forget(before)  # a stage's input isn't read again once its result is written
+            before = docs
     return docs
