@@ -189,21 +189,22 @@ def _scored(total: int, distinct: int):
 
 def path_probabilities(paths: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, value): log10 of the probability of each path's last byte after its first `order` bytes, from rows (key, n)
-    of packed paths and counts; paths of count 0 are such as the training lacks."""
+    of distinct packed paths and their counts; paths of count 0 are such as the training lacks."""
     mask = lambda j: (1 << 8 * (j + 1)) - 1
     ctx = Window.partitionBy(F.shiftright("g", 8))
     known = lambda x: F.sum(F.when(F.col("c") > 0, x).otherwise(0)).over(ctx)
 
-    def level(j: int) -> DataFrame:
-        g = F.col("key") if j == order else F.col("key").bitwiseAND(F.lit(mask(j)).cast("long"))
-        return paths.groupBy(g.alias("g")).agg(F.sum("n").alias("c"))
+    # counts of each order are sums of those of the order above
+    levels = {order: paths.select(F.col("key").alias("g"), F.col("n").alias("c"))}
+    for j in range(order - 1, -1, -1):
+        levels[j] = written(levels[j + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask(j)).cast("long")).alias("g")).agg(F.sum("c").alias("c")), f"order-{j}")
 
     # at most 256 rows a context, as the last byte is all that differs
-    a = level(0).withColumn("t", F.sum("c").over(ctx)).withColumn("d", known(F.lit(1)))
+    a = levels[0].withColumn("t", F.sum("c").over(ctx)).withColumn("d", known(F.lit(1)))
     a = a.withColumn("q", F.when(F.col("c") == 0, 1 / (256 - F.col("d"))))
     for j in range(1, order + 1):
         up = a.select(F.col("g").alias("pg"), F.col("c").alias("pc"), F.col("t").alias("pt"), F.col("d").alias("pd"), F.col("q").alias("pq"))
-        a = level(j).withColumn("pg", F.col("g").bitwiseAND(F.lit(mask(j - 1)).cast("long"))).join(up, "pg")
+        a = levels[j].withColumn("pg", F.col("g").bitwiseAND(F.lit(mask(j - 1)).cast("long"))).join(up, "pg")
         a = a.withColumn("t", F.sum("c").over(ctx)).withColumn("d", known(F.lit(1))).withColumn("seen", known(F.col("pc")))
         rest, new = F.col("pt") - F.col("seen"), F.col("pd") - F.col("d")
         escape = F.when(rest > 0, new / (2 * rest)).otherwise(1.0)
