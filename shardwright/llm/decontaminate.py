@@ -156,6 +156,7 @@ def _doc_windows(bits, sizes: list[int]):
                         r = row[at]
                         take = pa.array(r + lo)
                         yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _lists(t, raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
+        K.release()
 
     return run
 
@@ -282,6 +283,7 @@ def _found(coverage: float):
                 yield _results(out)
         if key and (out := result()):
             yield _results(out)
+        K.release()
 
     def _results(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["doc_id", "mark", "item_id", "coverage", "n_slots", "n_changed"])

@@ -200,6 +200,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(total)
     none = pa.nulls(len(at) + 1, pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, pa.array(np.append(at, -1)), pa.array(np.append(total[at], size))], ["doc_id", "mark", "bin", "n"])
+    K.release()
 
 
 def _places(ids: pa.Array, marks: pa.Array) -> np.ndarray:
@@ -223,6 +224,7 @@ def _dealt(least):
             take = pa.array(np.concatenate((np.arange(len(part)), head)))
             ahead = np.concatenate((np.zeros(len(part), bool), np.ones(len(head), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, (part[head] - 1) % len(bounds))).astype(np.int32)), pa.array(ahead), *(c.take(take) for c in batch.columns)], ["part", "ahead", "doc_id", "mark", "text"])
+        K.release()
 
     return run
 
@@ -258,6 +260,7 @@ def _compared(rank: np.ndarray):
                 if (out := results(rows)) is not None:
                     yield out
                 rows = rows[-1:]
+        K.release()
 
     return run
 

@@ -321,6 +321,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = ""
                 part = batch.slice(lo, hi - lo)
                 lang, score, entropy, no = model.judge(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy.astype(np.float64)), pa.array(no)], [*part.schema.names[:-1], *names])
+        K.release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {kind}" for c, kind in zip(names, ("string", "double", "double", "boolean")))])
     return docs.mapInArrow(run, schema)

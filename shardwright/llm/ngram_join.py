@@ -113,6 +113,7 @@ def _signatures(k: int, rows: int, bands: int):
                         out[full, b] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), marks.slice(lo, hi - lo), _binary(c1, c2, n > 0), pa.array(n), lists], ["doc_id", "mark", "node", "n", "bands"])
+        K.release()
 
     return run
 
@@ -249,6 +250,7 @@ def _verify(similarity: float):
                 yield made(out)
         if len(rows) > 1 and (out := group(key, rows)):
             yield made(out)
+        K.release()
 
     return run
 
