@@ -137,12 +137,33 @@ class Model:
 
     def _entropies(self, s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         g = grams(s, row)
-        _, first, at = np.unique(key(g), return_index=True, return_inverse=True)
+        first, at = self._distinct(key(g))
         out = np.empty((rows, len(self.languages)))
         for k, logp in enumerate(self._logp(g[first]).T):
             out[:, k] = -np.bincount(row, logp[at], rows)
         return out / np.maximum(np.bincount(row, minlength=rows), 1)[:, None]
 
+    def _distinct(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of one of each distinct hash, and for each hash the number of its kind. Those that any language has
+        are told apart by a lookup, which is quicker than sorting them."""
+        if "_known" not in self.__dict__:
+            self._known = K.Lookup(np.unique(np.concatenate([m.keys[-1] for m in self.models])))
+        at = self._known(h).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        old = np.flatnonzero(at >= 0)
+        place = np.full(len(self._known.keys) + 1, -1, np.int64)
+        place[at[old]] = old
+        used = np.flatnonzero(place[:-1] >= 0)
+        rank = np.zeros(len(place), np.int64)
+        rank[used] = np.arange(len(used))
+        _, first, kind = np.unique(h[new], return_index=True, return_inverse=True)
+        out = np.empty(len(h), np.int64)
+        out[old], out[new] = rank[at[old]], len(used) + kind
+        return np.concatenate((place[used], new[first])), out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
     def _logp(self, g: np.ndarray, order: int = ORDER) -> np.ndarray:
         """A row for each n-gram, a column for each language."""
         hashes = [key(g[:, ORDER - k :]) for k in range(1, order + 1)]
