@@ -136,30 +136,32 @@ class Model:
         return self._entropies(s, row, len(texts)), np.bincount(row, minlength=len(texts))
 
     def _entropies(self, s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        g = grams(s, row)
-        first, at = self._distinct(key(g))
-        out = np.empty((rows, len(self.languages)))
+        out, g = np.zeros((rows, len(self.languages))), grams(s, row)
+        if not len(s):
+            return out
+        first, at, used, size = self._distinct(key(g))
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        full, n = row[begin], np.diff(np.append(begin, len(row)))
+        value = np.zeros(size, np.float32)
         for k, logp in enumerate(self._logp(g[first]).T):
-            out[:, k] = -np.bincount(row, logp[at], rows)
-        return out / np.maximum(np.bincount(row, minlength=rows), 1)[:, None]
+            value[used] = logp
+            out[full, k] = -np.add.reduceat(value[at], begin, dtype=np.float64) / n
+        return out
 
-    def _distinct(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of one of each distinct hash, and for each hash the number of its kind. Those that any language has
-        are told apart by a lookup, which is quicker than sorting them."""
+    def _distinct(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The place of one of each distinct hash; for each hash the number of its kind, of which only some are in use; which
+        they are, and how many there could be. Those that any language has are told apart by a lookup, which is quicker
+        than sorting them."""
         if "_known" not in self.__dict__:
             self._known = K.Lookup(np.unique(np.concatenate([m.keys[-1] for m in self.models])))
-        at = self._known(h).astype(np.int64)
+        at, size = self._known(h).astype(np.int32), len(self._known.keys)
         new = np.flatnonzero(at < 0)
-        old = np.flatnonzero(at >= 0)
-        place = np.full(len(self._known.keys) + 1, -1, np.int64)
-        place[at[old]] = old
-        used = np.flatnonzero(place[:-1] >= 0)
-        rank = np.zeros(len(place), np.int64)
-        rank[used] = np.arange(len(used))
         _, first, kind = np.unique(h[new], return_index=True, return_inverse=True)
-        out = np.empty(len(h), np.int64)
-        out[old], out[new] = rank[at[old]], len(used) + kind
-        return np.concatenate((place[used], new[first])), out
+        at[new] = size + kind
+        place = np.full(size + len(first), -1, np.int32)
+        place[at] = np.arange(len(at), dtype=np.int32)
+        used = np.flatnonzero(place >= 0)
+        return place[used], at, used, len(place)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_known"}
