@@ -156,7 +156,6 @@ def _doc_windows(bits, sizes: list[int]):
                         r = row[at]
                         take = pa.array(r + lo)
                         yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _lists(t, raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
-        K.release()
 
     return run
 
@@ -283,7 +282,6 @@ def _found(coverage: float):
                 yield _results(out)
         if key and (out := result()):
             yield _results(out)
-        K.release()
 
     def _results(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["doc_id", "mark", "item_id", "coverage", "n_slots", "n_changed"])
@@ -308,7 +306,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     id_type = docs.schema["doc_id"].dataType.simpleString()
     items = benchmark.where(F.length("text") > 0).groupBy("text").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("text").alias("item"), "item_id", "text")
     item_type = items.schema["item_id"].dataType.simpleString()
-    items = written(items.mapInArrow(_item_windows, f"h long, item long, item_id {item_type}, ipos long, n long, k long, islots array<long>"), "item-windows")
+    items = written(items.mapInArrow(K.lean(_item_windows), f"h long, item long, item_id {item_type}, ipos long, n long, k long, islots array<long>"), "item-windows")
     # at most BITMAP numbers, and as many sizes as windows can have
     found = items.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1).cast("long")).cast("int").alias("b"), "k").distinct().toArrow()
     bitmap = np.zeros(BITMAP >> 3, np.uint8)
@@ -316,12 +314,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     np.bitwise_or.at(bitmap, b >> 3, np.left_shift(1, b & 7).astype(np.uint8))
     sizes = sorted(set(found["k"].to_pylist())) or [WINDOW]
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
-    mine = written(docs.mapInArrow(_doc_windows(bits, sizes), f"h long, doc_id {id_type}, mark long, dpos long, dslots array<long>").distinct(), "document-windows")
+    mine = written(docs.mapInArrow(K.lean(_doc_windows(bits, sizes)), f"h long, doc_id {id_type}, mark long, dpos long, dslots array<long>").distinct(), "document-windows")
     pairs = mine.select("h", "doc_id", "mark").join(seeds(items, coverage), "h").select(F.struct("doc_id", "mark").alias("doc"), "item").distinct()
     windows = mine.select(F.struct("doc_id", "mark").alias("doc"), "h", "dpos", "dslots").join(pairs, "doc").join(items, ["h", "item"])
     windows = windows.select("doc.doc_id", "doc.mark", "item", "item_id", "n", "k", "dpos", "ipos", "islots", "dslots")
     dealt = windows.repartition("doc_id", "mark", "item").sortWithinPartitions("doc_id", "mark", "item", "dpos", "ipos")
-    return dealt.mapInArrow(_found(coverage), f"doc_id {id_type}, mark long, item_id {item_type}, coverage double, n_slots long, n_changed long")
+    return dealt.mapInArrow(K.lean(_found(coverage)), f"doc_id {id_type}, mark long, item_id {item_type}, coverage double, n_slots long, n_changed long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

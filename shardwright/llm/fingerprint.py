@@ -200,7 +200,6 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(total)
     none = pa.nulls(len(at) + 1, pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, pa.array(np.append(at, -1)), pa.array(np.append(total[at], size))], ["doc_id", "mark", "bin", "n"])
-    K.release()
 
 
 def _places(ids: pa.Array, marks: pa.Array) -> np.ndarray:
@@ -224,7 +223,6 @@ def _dealt(least):
             take = pa.array(np.concatenate((np.arange(len(part)), head)))
             ahead = np.concatenate((np.zeros(len(part), bool), np.ones(len(head), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, (part[head] - 1) % len(bounds))).astype(np.int32)), pa.array(ahead), *(c.take(take) for c in batch.columns)], ["part", "ahead", "doc_id", "mark", "text"])
-        K.release()
 
     return run
 
@@ -260,7 +258,6 @@ def _compared(rank: np.ndarray):
                 if (out := results(rows)) is not None:
                     yield out
                 rows = rows[-1:]
-        K.release()
 
     return run
 
@@ -269,7 +266,7 @@ def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    seen = written(docs.mapInArrow(_seen, "doc_id long, mark long, bin long, n long"), "texts-seen")
+    seen = written(docs.mapInArrow(K.lean(_seen), "doc_id long, mark long, bin long, n long"), "texts-seen")
     # at most BINS rows and one
     found = {r["bin"]: r["n"] for r in seen.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     size = found.pop(-1, 0)
@@ -281,6 +278,6 @@ def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     if not least.num_rows:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next")).limit(0)
     bounds = np.sort(_places(least["doc_id"].combine_chunks(), least["mark"].combine_chunks()))
-    dealt = docs.mapInArrow(_dealt(spark.sparkContext.broadcast(bounds)), "part int, ahead boolean, doc_id long, mark long, text string")
+    dealt = docs.mapInArrow(K.lean(_dealt(spark.sparkContext.broadcast(bounds))), "part int, ahead boolean, doc_id long, mark long, text string")
     dealt = dealt.repartitionById(len(bounds), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "mark")
-    return dealt.mapInArrow(_compared(rank), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(K.lean(_compared(rank)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

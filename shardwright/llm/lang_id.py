@@ -265,7 +265,7 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = DOCS_PER_LANGU
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))))
     sample = docs.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(5)) == 0).alias("apart"))
     sample = written(sample, "language-sample")
-    found = sample.where("not apart").select("lang", "text").mapInArrow(_gram_counts, "lang string, a long, b long, n long")
+    found = sample.where("not apart").select("lang", "text").mapInArrow(K.lean(_gram_counts), "lang string, a long, b long, n long")
     found = written(found.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "language-grams")
     letter = F.explode(F.array(F.shiftright("a", 21), F.col("a").bitwiseAND(0x1FFFFF), F.shiftright("b", 21), F.col("b").bitwiseAND(0x1FFFFF)))
     letters = found.select(letter.alias("x")).distinct().count() + 1
@@ -296,7 +296,7 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
 
     k = len(model.languages)
     model.mean, model.spread, model.by_length, model.limit = np.full(k, np.inf), np.full(k, 0.1), np.full(k, 2.0), np.full(k, np.inf)
-    found = labelled.mapInArrow(run, "lang string, n long, e array<double>, shuffled array<double>").where("n > 0").toArrow() if k else None
+    found = labelled.mapInArrow(K.lean(run), "lang string, n long, e array<double>, shuffled array<double>").where("n > 0").toArrow() if k else None
     if found is None or not found.num_rows:
         return model
     truth = np.array([model.languages.index(x) if x in model.languages else -1 for x in found["lang"].to_pylist()])
@@ -344,7 +344,6 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = ""
                 part = batch.slice(lo, hi - lo)
                 lang, score, entropy, no = model.judge(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy.astype(np.float64)), pa.array(no)], [*part.schema.names[:-1], *names])
-        K.release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {kind}" for c, kind in zip(names, ("string", "double", "double", "boolean")))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.lean(run), schema)

@@ -113,7 +113,6 @@ def _signatures(k: int, rows: int, bands: int):
                         out[full, b] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), marks.slice(lo, hi - lo), _binary(c1, c2, n > 0), pa.array(n), lists], ["doc_id", "mark", "node", "n", "bands"])
-        K.release()
 
     return run
 
@@ -136,7 +135,6 @@ def _sets(k: int):
                 if own:
                     rows = batch.select([0, 1, 2]).take(pa.array([lo + r for r in own]))
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([np.unique(sh[cut[r] : cut[r + 1]]).tobytes() for r in own], pa.binary())], ["node", "n_copies", "keys", "words"])
-        K.release()
 
     return run
 
@@ -250,7 +248,6 @@ def _verify(similarity: float):
                 yield made(out)
         if len(rows) > 1 and (out := group(key, rows)):
             yield made(out)
-        K.release()
 
     return run
 
@@ -263,7 +260,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999,
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands = bands_for(similarity, recall)
-    sig = written(docs.mapInArrow(_signatures(shingle, ROWS, bands), f"doc_id {kind}, mark long, node binary, n long, bands array<long>"), "signatures")
+    sig = written(docs.mapInArrow(K.lean(_signatures(shingle, ROWS, bands)), f"doc_id {kind}, mark long, node binary, n long, bands array<long>"), "signatures")
     # the class's document that lends its text: of least id, and there of least hash, so that rows without an id are told apart
     lender = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     classes = sig.where("node is not null").groupBy("node").agg(lender.alias("of"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -278,7 +275,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999,
     keys = rows.join(homes, "home").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "home", "nb"))).alias("keys"))
     nodes = keys.join(classes.select("node", "of", "n_copies"), "node")
     texts = nodes.join(docs, F.col("of.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of.mark") == F.col("mark"))).select("node", "n_copies", "keys", "text")
-    sets = texts.mapInArrow(_sets(shingle), "node binary, n_copies long, keys array<struct<key: bigint, home: binary, nb: bigint>>, words binary")
+    sets = texts.mapInArrow(K.lean(_sets(shingle)), "node binary, n_copies long, keys array<struct<key: bigint, home: binary, nb: bigint>>, words binary")
     at = F.explode(F.array_distinct(F.transform("keys", lambda x: F.struct(x["home"].alias("home"), x["nb"].alias("nb")))))
     sets = sets.withColumn("at", at).select(
         F.col("at.home").alias("home"), F.col("at.nb").alias("nb"), "node", "n_copies", F.transform("keys", lambda x: x["key"]).alias("every"),
@@ -286,7 +283,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999,
     sets = sets.withColumn("block", F.expr("pmod(xxhash64(node, home), nb)")).withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
     sets = sets.select("home", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n_copies", "every", "own", "words")
     dealt = sets.repartition("home", "bi", "bj").sortWithinPartitions("home", "bi", "bj")
-    found = written(dealt.mapInArrow(_verify(similarity), "node binary, peer binary, n_docs long, n_texts long"), "links")
+    found = written(dealt.mapInArrow(K.lean(_verify(similarity)), "node binary, peer binary, n_docs long, n_texts long"), "links")
     forget(rows)
     sums = found.groupBy("node").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     roots = components(found, "node", "peer")

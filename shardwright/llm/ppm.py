@@ -131,7 +131,6 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.setdefault(k, _Asked()).add(text, held[at])
     for k in list(blocks):
         yield blocks.pop(k).batch(k)
-    K.release()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +223,14 @@ def ppm_scores(docs: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
     # text takes about twice its compressed size
     parts = max(1, round(2 * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) / block_bytes))
     docs = docs.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts).cast("long")))
-    asked = written(docs.select("text", "held_out", "block").mapInArrow(_asked, _FOUND), "asked")
+    asked = written(docs.select("text", "held_out", "block").mapInArrow(K.lean(_asked), _FOUND), "asked")
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     paths = path_probabilities(counts.where("kind = 1").select("key", "n"))
     values = counts.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(paths.select(F.lit(1).cast("byte").alias("kind"), "key", "value"))
     answers = asked.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.select("block", "doc_id", "held_out", "text").mapInArrow(_packed, "block long, blob binary")
+    packed = docs.select("block", "doc_id", "held_out", "text").mapInArrow(K.lean(_packed), "block long, blob binary")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
