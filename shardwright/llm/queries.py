@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import chat_format, lang_id, mixing, secrets, url_filter
+from shardwright.llm import chat_format, forest, lang_id, mixing, secrets, url_filter, whitening
 from shardwright.llm.decontaminate import contaminated
 from shardwright.llm.fingerprint import fingerprints
 from shardwright.llm.license_scan import license_scan
@@ -84,8 +84,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_decontamination, op4_license_scan, op5_lm_scores, op6_source_mix, op7_fingerprints, op8_secret_scan, op9_url_filter, op10_ngram_join)
+    every = (op1_language_id, op2_chat_format, op3_decontamination, op4_license_scan, op5_lm_scores, op6_source_mix, op7_fingerprints, op8_secret_scan, op9_url_filter, op10_ngram_join, op11_nearest_neighbours, op12_embedding_whitening)
     return {f.__name__: f for f in every}
 
 
