@@ -14,6 +14,7 @@ from shardwright.llm.license_scan import license_scan
 from shardwright.llm.ngram_join import ngram_join
 from shardwright.llm.ppm import ppm_scores
 from shardwright.llm.shared import fold, table
+from shardwright.llm.token_align import aligned
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +94,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_decontamination, op4_license_scan, op5_lm_scores, op6_source_mix, op7_fingerprints, op8_secret_scan, op9_url_filter, op10_ngram_join, op11_nearest_neighbours, op12_embedding_whitening)
+    every = (op1_language_id, op2_chat_format, op3_decontamination, op4_license_scan, op5_lm_scores, op6_source_mix, op7_fingerprints, op8_secret_scan, op9_url_filter, op10_ngram_join, op11_nearest_neighbours, op12_embedding_whitening, op13_token_alignment)
     return {f.__name__: f for f in every}
 
 
