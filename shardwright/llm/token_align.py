@@ -19,33 +19,40 @@ in one piece, so it has to fit into a task; nothing else gathers."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.kernel import lean
+from shardwright.llm.kernel import lean, runs, utf8
 from shardwright.llm.shared import written
 
 #: Where the tokenizers' files lie by default.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block, rows of a result batch, distinct segments that a task holds at most.
-BLOCK, ROWS, HELD = 16 << 20, 1 << 15, 1 << 18
+#: Bytes of text in a block, rows of a result batch, segments whose results are put together at a time.
+BLOCK, ROWS, SEGMENTS = 24 << 20, 1 << 15, 1 << 18
+#: Pairs of linked ids (16 bytes each, and an index) that may go to all executors.
+BROADCAST = 1 << 20
 
 SPACE = "▁"
 _BOUNDARY = re.compile(f"(?<=[^\\s{SPACE}])(?= )")
-_ODD = re.compile(f"(?:^|[\\s{SPACE}]) ")
+#: The same characters, spelt out for the other library of patterns: a space after one of them, or at the start.
+_ODD = r"(?:^|[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}]) "
 _PAST_SPACE = re.compile(f"[^{SPACE}]{SPACE}")
+#: Fixed value: the pattern of pre-tokens that byte-level tokenizers of this kind share.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -57,6 +64,22 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+def segments(text: str, cuts: bool = True) -> list[str]:
+    """Segments of space + text, without the space that each of them begins with."""
+    return [s[1:] for s in _BOUNDARY.split(" " + text)] if cuts else [text]
+
+
+def split(texts: pa.Array, cuts: bool) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """Rows of texts and their segments: at every space where that is all there is to it, else by the rule."""
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if cuts else np.ones(len(texts), bool)
+    if not odd.all():
+        rows = np.flatnonzero(~odd)
+        yield rows, pc.split_pattern(texts.take(pa.array(rows)), " ")
+    for rows in np.array_split(np.flatnonzero(odd), max(1, odd.sum() // 1000)):
+        if len(rows):
+            yield rows, pa.array([segments(texts[i].as_py(), cuts) for i in rows.tolist()], pa.list_(pa.string()))
+
+
 class Tokenizers:
     """Both tokenizers, and what their tokens stand for in bytes. Made once for each Python worker."""
 
@@ -73,33 +96,46 @@ class Tokenizers:
         self.bytes_a = [bytes(alphabet[c] for c in w) if all(c in alphabet for c in w) else b"" for w in words]
         every = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(every)]
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int32) for v in (self.bytes_a, self.bytes_b))
         self.lone = self.b.piece_to_id(SPACE)
         kind = json.loads(byte_level)
         plain = kind.get("normalizer") is None and (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.cuts = plain and every[self.lone] == SPACE and not any(_PAST_SPACE.search(p) for p in every)
+        self.ranked = self._ranked(kind) if plain else None
+
+    def _ranked(self, kind: dict):
+        """The same byte-level tokenizer by another library, which is several times faster on short texts, if ids are in
+        the order of merges (that library merges by id); else None."""
+        import tiktoken
+
+        def parts(merge):
+            return merge.split(" ") if isinstance(merge, str) else merge
+
+        vocab, merges, splits = kind["model"]["vocab"], kind["model"]["merges"], kind["pre_tokenizer"]
+        made = [vocab["".join(parts(m))] for m in merges]
+        added = {t["id"] for t in kind.get("added_tokens", [])}
+        ranks = {b: i for i, b in enumerate(self.bytes_a) if b and i not in added}
+        if made != sorted(made) or len(ranks) != 256 + len(made) or not splits.get("use_regex", True) or splits.get("add_prefix_space"):
+            return None
+        return tiktoken.Encoding("byte-level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def segments(self, text: str) -> list[str]:
-        """Segments of space + text, without the space that each of them begins with."""
-        if not self.cuts:
-            return [text]
-        if not _ODD.search(text):
-            return text.split(" ")
-        return [s[1:] for s in _BOUNDARY.split(" " + text)]
+        return segments(text, self.cuts)
 
     def whole(self, text: str | None) -> bool:
         """Is there a text, and do the pieces give it back? Byte-level tokens always do."""
         return bool(text) and SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
 
-    def encode(self, segments: list[str]) -> tuple[list, list]:
+    def encode(self, parts: list[str]) -> tuple[list, list]:
         """Ids of both sides for each segment."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1)
-        for i, s in enumerate(segments):
+        if self.ranked:
+            a = [self.ranked.encode_ordinary(" " + s) for s in parts]
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in parts], add_special_tokens=False)]
+        b = self.b.encode(parts, num_threads=1)
+        for i, s in enumerate(parts):
             if not s:
                 b[i] = [self.lone]  # nothing is put before an empty text
-            want = b" " + s.encode()
-            if b"".join([self.bytes_a[x] for x in a[i]]) != want or b"".join([self.bytes_b[x] for x in b[i]]) != want:
-                raise ValueError(f"a segment of {len(s)} characters doesn't come back from its tokens")
         return a, b
 
 
@@ -108,10 +144,13 @@ def _loaded(byte_level: bytes, pieces: bytes) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
-def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(rows), ROWS):
-        columns = zip(*rows[lo : lo + ROWS], strict=True)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+def _told(block: int, texts: list[pa.Array], cuts: bool) -> Iterator[pa.RecordBatch]:
+    """The distinct segments of a block's texts and how often each occurs."""
+    parts = [pc.value_counts(lists.flatten()) for held in texts for _, lists in split(held, cuts)]
+    every = pa.table({"segment": pa.concat_arrays([p.field("values") for p in parts]), "n": pa.concat_arrays([p.field("counts") for p in parts])})
+    every = every.group_by("segment", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    for batch in every.to_batches(ROWS):
+        yield pa.record_batch({"block": pa.array(np.full(batch.num_rows, block)), "segment": batch.column("segment"), "n": batch.column("n_sum")})
 
 
 def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pieces: str = f"{TOKENIZERS}/{PIECES}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,64 +159,70 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     with open(byte_level, "rb") as f, open(pieces, "rb") as g:
         files = spark.sparkContext.broadcast((f.read(), g.read()))
     tools = lambda: _loaded(*files.value)
+    cuts = tools().cuts
 
-    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_numbered), f"id {docs.schema[id_col].dataType.simpleString()}, text string, block long"), "texts")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = written(texts.mapInArrow(lean(functools.partial(_numbered, tools=tools)), f"id {docs.schema[id_col].dataType.simpleString()}, text string, block long"), "texts")
 
     def counted(batches):
-        schema = pa.schema([("block", pa.int64()), ("segment", pa.string()), ("n", pa.int64())])
-        tool, seen, at = tools(), Counter(), None
+        at, held = None, []
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if seen and (block != at or len(seen) > HELD):
-                    yield from _batches([(at, s, n) for s, n in seen.items()], schema)
-                    seen = Counter()
-                at = block
-                if tool.whole(text := text.as_py()):
-                    seen.update(tool.segments(text))
-        yield from _batches([(at, s, n) for s, n in seen.items()], schema)
-
-    asked = written(texts.select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
+            blocks = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
+                if len(part):
+                    if held and blocks[part[0]] != at:
+                        yield from _told(at, held, cuts)
+                        held = []
+                    at = int(blocks[part[0]])
+                    held.append(batch.column(1).slice(int(part[0]), len(part)))
+        if held:
+            yield from _told(at, held, cuts)
+
+    asked = written(texts.where("text is not null").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
     found = _relation(_encoded(asked.groupBy("segment").agg(F.sum("n").alias("times")), tools))
     key = _key(F.col("segment"))
     told = asked.select("block", "segment", *key).join(found, ["k1", "k2"]).drop("k1", "k2")
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        tool = tools()
-        place = {s: i for i, s in enumerate(theirs.column("segment").to_pylist())}
-        shown = theirs.column("groups").to_pylist()
-        n_groups = np.fromiter((g.count(";") + 1 for g in shown), np.int64, len(shown))
-        n_tokens = 2 * n_groups + np.fromiter((g.count(",") for g in shown), np.int64, len(shown))
-        n_a, n_best, count_sum = (theirs.column(c).to_numpy() for c in ("n_a", "n_best", "count_sum"))
-        each = np.stack([n_a, n_tokens - n_a, n_groups, n_tokens - n_groups, n_best, count_sum]).astype(np.int64)
-        sums, digests = [], []
-        for text in mine.column("text"):
-            if not tool.whole(text := text.as_py()):
-                sums.append(np.zeros(6, np.int64))
-                digests.append("")
-                continue
-            at = [place[s] for s in tool.segments(text)]
-            sums.append(each[:, at].sum(1))
-            digests.append(hashlib.sha256(";".join([shown[i] for i in at]).encode()).hexdigest())
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-        columns = np.array(sums, np.int64).reshape(-1, 6)
-        return pa.table({"id": mine.column("id"), **{n: pa.array(columns[:, i]) for i, n in enumerate(names)}, "groups_sha256": pa.array(digests, pa.string())})
+        sums, digests = np.zeros((mine.num_rows, len(names)), np.int64), np.full(mine.num_rows, "", object)
+        if theirs.num_rows:
+            words, shown = theirs.column("segment").combine_chunks(), theirs.column("groups").combine_chunks()
+            n_a, n_b, n_groups, n_best, count_sum = (theirs.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum"))
+            each = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum], 1).astype(np.int64)
+            texts = mine.column("text").combine_chunks()
+            full = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            for part, lists in split(texts.take(pa.array(full)), cuts):
+                rows, ends = full[part], lists.offsets.to_numpy()
+                at = pc.index_in(lists.flatten(), value_set=words)
+                ends = ends - ends[0]
+                for lo, hi in runs(ends.astype(np.int64), SEGMENTS):
+                    some = at.slice(int(ends[lo]), int(ends[hi] - ends[lo]))
+                    offsets = ends[lo : hi + 1] - ends[lo]
+                    sums[rows[lo:hi]] = np.add.reduceat(each[some.to_numpy()], offsets[:-1])
+                    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), shown.take(some)), ";")
+                    data, at_bytes = utf8(joined)
+                    digests[rows[lo:hi]] = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(at_bytes[:-1].tolist(), at_bytes[1:].tolist(), strict=True)]
+        columns = {n: pa.array(sums[:, i]) for i, n in enumerate(names)}
+        return pa.table({"id": mine.column("id"), **columns, "groups_sha256": pa.array(digests.tolist(), pa.string())})
 
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(assembled, shape).withColumnRenamed("id", id_col)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: neighbours of some BLOCK bytes together. Fixed by being written."""
-    block, size = TaskContext.get().partitionId() << 33, 0
+def _numbered(batches: Iterator[pa.RecordBatch], tools) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: neighbours of some BLOCK bytes together, fixed by being written. Texts that
+    have no tokens are null from here on."""
+    tool, block, size = tools(), TaskContext.get().partitionId() << 33, 0
     for batch in batches:
-        lengths = batch.column(1).fill_null("").to_pylist()
-        numbers = np.empty(len(lengths), np.int64)
-        for i, text in enumerate(lengths):
+        texts = [t if tool.whole(t) else None for t in batch.column(1).to_pylist()]
+        numbers = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
             if size > BLOCK:
                 block, size = block + 1, 0
             numbers[i] = block
-            size += len(text) + 16
-        yield pa.record_batch([*batch.columns, pa.array(numbers)], names=["id", "text", "block"])
+            size += len(text or "") + 16
+        yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(numbers)], names=["id", "text", "block"])
 
 
 def _key(segment) -> list:
@@ -185,53 +230,79 @@ def _key(segment) -> list:
     return [F.xxhash64(F.lit(i), segment).alias(f"k{i}") for i in (1, 2)]
 
 
-def _encoded(segments: DataFrame, tools) -> DataFrame:
+def _encoded(distinct: DataFrame, tools) -> DataFrame:
     """(k1, k2, times, n_a, ids, lengths) of distinct segments: first the n_a tokens of A, then those of B."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int64()), ("n_a", pa.int32()), ("ids", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
 
     def run(batches):
         tool = tools()
-        size_a, size_b = ([len(x) for x in every] for every in (tool.bytes_a, tool.bytes_b))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                a, b = tool.encode(part.column("segment").to_pylist())
-                ids = [x + y for x, y in zip(a, b, strict=True)]
-                lengths = [[size_a[i] for i in x] + [size_b[i] for i in y] for x, y in zip(a, b, strict=True)]
-                yield pa.record_batch([part.column("k1"), part.column("k2"), part.column("times"), pa.array([len(x) for x in a], pa.int32()), pa.array(ids, schema.types[4]), pa.array(lengths, schema.types[5])], schema=schema)
-
-    return segments.select("segment", *_key(F.col("segment")), "times").mapInArrow(lean(run), "k1 long, k2 long, times long, n_a int, ids array<int>, lengths array<int>")
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                words = part.column("segment")
+                a, b = tool.encode(words.to_pylist())
+                n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+                ids = [np.fromiter(itertools.chain.from_iterable(x), np.int32, int(n.sum())) for x, n in ((a, n_a), (b, n_b))]
+                sizes = [tool.size_a[ids[0]], tool.size_b[ids[1]]]
+                row = np.arange(len(a))
+                bytes_of = pc.binary_length(words).to_numpy(zero_copy_only=False) + 1
+                if any((np.bincount(np.repeat(row, n), s, len(a)) != bytes_of).any() for n, s in ((n_a, sizes[0]), (n_b, sizes[1]))):
+                    raise ValueError("a segment doesn't come back from its tokens")
+                order = np.argsort(np.concatenate((np.repeat(row, n_a), np.repeat(row, n_b))), kind="stable")
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n_a + n_b))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)[order])) for x in (ids, sizes)]
+                yield pa.record_batch([part.column("k1"), part.column("k2"), part.column("times"), pa.array(n_a.astype(np.int32)), *lists], schema=schema)
+
+    return distinct.select("segment", *_key(F.col("segment")), "times").mapInArrow(lean(run), "k1 long, k2 long, times long, n_a int, ids array<int>, lengths array<int>")
 
 
 def _relation(encoded: DataFrame) -> DataFrame:
     """(k1, k2, groups, n_a, n_best, count_sum) of each segment. All steps up to the groups go by segment, so the rows
-    are shuffled once, before they are exploded."""
+    are shuffled once, before they are exploded, and sorted by segment before that: what is exploded is in order then."""
     key = ["k1", "k2"]
-    tokens = encoded.repartition(*key).select(*key, "times", "n_a", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "token"))
-    tokens = tokens.select(*key, "times", "place", (F.col("place") < F.col("n_a")).alias("of_a"), "token.ids", "token.lengths")
+    tokens = encoded.repartition(*key).sortWithinPartitions(*key).select(*key, "times", "n_a", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "token"))
+    tokens = tokens.select(*key, "times", "place", (F.col("place") < F.col("n_a")).alias("of_a"), F.col("token.ids").alias("id"), F.col("token.lengths").alias("length"))
     along = Window.partitionBy(*key, "of_a").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    ends = tokens.select(*key, "times", "of_a", "ids", F.sum("lengths").over(along).alias("end"))
-    # the full equi-join of both sides on segment and end, as one aggregate: it needs no further shuffle
-    met = ends.groupBy(*key, "times", "end").agg(F.max(F.when(F.col("of_a"), F.col("ids"))).alias("a"), F.max(F.when(~F.col("of_a"), F.col("ids"))).alias("b"))
-    # from the last end back, so that running values are what follows: the group's number, the token that covers
-    back = Window.partitionBy(*key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    ends = tokens.select(*key, "times", "of_a", "id", F.sum("length").over(along).alias("end"))
+    # Both sides meet on segment and end: side by side in one order, so that the full equi-join is a look at the next
+    # row. From the last end back, running values are what follows: the group's number, the token that covers.
+    back = Window.partitionBy(*key).orderBy(F.desc("end"), F.desc("of_a"))
+    running = back.rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.withColumn("common", F.lead("end").over(back).eqNullSafe(F.col("end"))).withColumn("later", F.lag("end").over(back).eqNullSafe(F.col("end")))
+    mark = F.concat(F.col("id").cast("string"), F.when(F.col("common") | F.col("later"), ";").otherwise(","))
     cover = met.select(
-        *key, "times", "end", "a", "b",
-        F.sum(cut.cast("int")).over(back).alias("group"), F.last("a", True).over(back).alias("la"), F.last("b", True).over(back).alias("lb"),
-    )
-    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    groups = cover.groupBy(*key, "times", "group").agg(
-        F.concat(side("a"), F.lit("|"), side("b")).alias("shown"), F.count("a").alias("n_a"), F.collect_list(F.struct("la", "lb")).alias("links"),
+        *key, "times", "common", F.when(F.col("of_a"), mark).alias("a"), F.when(~F.col("of_a"), mark).alias("b"),
+        F.sum(F.col("common").cast("int")).over(running).alias("group"),
+        F.last(F.when(F.col("of_a"), F.col("id")), True).over(running).alias("la"), F.last(F.when(~F.col("of_a"), F.col("id")), True).over(running).alias("lb"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("at"), "shown")))
-    segments = groups.groupBy(*key, "times").agg(
-        F.array_join(F.transform(in_order, lambda x: x["shown"]), ";").alias("groups"), F.sum("n_a").cast("int").alias("n_a"), F.flatten(F.collect_list("links")).alias("links"),
+    # rows of a segment are together and in order, lists keep it: there is no exchange since the sort
+    gathered = cover.groupBy(*key).agg(
+        F.first("times").alias("times"), F.max("group").cast("int").alias("n_groups"), F.count("a").cast("int").alias("n_a"), F.count("b").cast("int").alias("n_b"),
+        F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list(F.when(~F.col("common"), F.struct("la", "lb"))).alias("links"),
     )
-    segments = written(segments, "segments")
+    # the mark of a segment's last token leaves an empty group on both sides, which is cut off again
+    by_group = lambda c: F.split(F.array_join(F.reverse(c), ""), ";")
+    shown = F.expr("rtrim(';|', shown)")
+    gathered = gathered.withColumn("shown", F.array_join(F.zip_with(by_group("a"), by_group("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
+    with _by_sorting(encoded.sparkSession):
+        each = written(gathered.select(*key, "times", "n_groups", "n_a", "n_b", shown.alias("groups"), "links"), "segments")
     pair = ["la", "lb"]
-    counts = segments.select("times", F.inline("links")).groupBy(*pair).agg(F.sum("times").alias("linked"))
+    counts = each.select("times", F.inline("links")).groupBy(*pair).agg(F.sum("times").alias("linked"))
     best = F.max("linked").over(Window.partitionBy("lb"))
-    counts = counts.select(*pair, "linked", (F.col("linked") == best).cast("int").alias("best"))
-    sums = segments.select(*key, F.inline("links")).join(counts, pair).groupBy(*key).agg(F.sum("best").cast("int").alias("n_best"), F.sum("linked").alias("count_sum"))
-    return segments.select(*key, "groups", "n_a").join(sums, key)
+    counts = written(counts.select(*pair, "linked", (F.col("linked") == best).cast("int").alias("best")), "counts")
+    # rows of a segment stay together where the counts go to them; beyond the bound they meet by shuffle
+    near = F.broadcast(counts) if counts.count() <= BROADCAST else counts
+    sums = each.select(*key, F.inline("links")).join(near, pair).groupBy(*key).agg(F.sum("best").cast("int").alias("n_best"), F.sum("linked").alias("count_sum"))
+    return each.select(*key, "groups", "n_groups", "n_a", "n_b").join(sums, key)
+
+
+@contextlib.contextmanager
+def _by_sorting(spark: SparkSession):
+    """Lists are aggregated over sorted rows as they come, not in a hash table that would sort them again."""
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

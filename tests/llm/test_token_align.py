@@ -6,6 +6,7 @@ import hashlib
 import itertools
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,7 +82,7 @@ def test_odd_texts(spark, tool):
 
 def test_blocks_of_a_few_bytes(spark, tool, monkeypatch):
     monkeypatch.setattr(token_align, "BLOCK", 40)
-    monkeypatch.setattr(token_align, "HELD", 5)
+    monkeypatch.setattr(token_align, "SEGMENTS", 5)
     texts = [f"some words of text {i % 5} and more, unlikely: zyx{i}" for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in token_align.aligned(docs).collect()}
@@ -92,6 +93,8 @@ def test_blocks_of_a_few_bytes(spark, tool, monkeypatch):
 @given(st.lists(st.sampled_from([*" \n\t ab1,.'é日▁ 　 \u0085\x1c", "the", "'s", "<s>", "ing", "😀", "​"]), max_size=14).map("".join))
 def test_segments_are_what_whole_texts_give(tool, text):
     if tool.whole(text):
+        (_, lists), = token_align.split(pa.array([text]), tool.cuts)
+        assert lists.to_pylist() == [tool.segments(text)]
         a, b = tool.encode(tool.segments(text))
         assert [i for x in a for i in x] == tool.a.encode(" " + text, add_special_tokens=False).ids
         assert [i for x in b for i in x] == tool.b.encode(text)
