@@ -101,6 +101,9 @@ class Tokenizers:
         kind = json.loads(byte_level)
         plain = kind.get("normalizer") is None and (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.cuts = plain and every[self.lone] == SPACE and not any(_PAST_SPACE.search(p) for p in every)
+        ascii_all = "".join(map(chr, range(128)))
+        changes = any(self.b.normalize(x + y) != SPACE + (x + y).replace(" ", SPACE) for x in ascii_all for y in ascii_all)
+        self.ascii = not changes
         self.ranked = self._ranked(kind) if plain else None
 
     def _ranked(self, kind: dict):
@@ -122,9 +125,9 @@ class Tokenizers:
     def segments(self, text: str) -> list[str]:
         return segments(text, self.cuts)
 
-    def whole(self, text: str | None) -> bool:
-        """Is there a text, and do the pieces give it back? Byte-level tokens always do."""
-        return bool(text) and SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+    def whole(self, segment: str) -> bool:
+        """Do the pieces give it back? Byte-level tokens always do."""
+        return SPACE not in segment and (segment.isascii() and self.ascii or self.b.normalize(segment) == (SPACE + segment.replace(" ", SPACE) if segment else ""))
 
     def encode(self, parts: list[str]) -> tuple[list, list]:
         """Ids of both sides for each segment."""
@@ -144,11 +147,26 @@ def _loaded(byte_level: bytes, pieces: bytes) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
-def _told(block: int, texts: list[pa.Array], cuts: bool) -> Iterator[pa.RecordBatch]:
-    """The distinct segments of a block's texts and how often each occurs."""
-    parts = [pc.value_counts(lists.flatten()) for held in texts for _, lists in split(held, cuts)]
-    every = pa.table({"segment": pa.concat_arrays([p.field("values") for p in parts]), "n": pa.concat_arrays([p.field("counts") for p in parts])})
-    every = every.group_by("segment", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+def _told(block: int, texts: list[pa.Array], tool: Tokenizers) -> Iterator[pa.RecordBatch]:
+    """The distinct segments of a block's texts and how often each occurs, without texts that don't come back: their
+    segments that don't are found among the distinct ones."""
+
+    def counted(lists: list[pa.ListArray]) -> pa.Table:
+        parts = [pc.value_counts(x.flatten()) for x in lists]
+        every = pa.table({"segment": pa.chunked_array([p.field("values") for p in parts], pa.string()), "n": pa.chunked_array([p.field("counts") for p in parts], pa.int64())})
+        return every.group_by("segment", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+
+    lists = [x for held in texts for _, x in split(held, tool.cuts)]
+    every = counted(lists)
+    lost = [s for s in every.column("segment").to_pylist() if not tool.whole(s)]
+    if lost:
+        gone = pa.array(lost, pa.string())
+        kept = []
+        for x in lists:
+            row = np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
+            bad = row[pc.is_in(x.flatten(), value_set=gone).to_numpy(zero_copy_only=False)]
+            kept.append(x.take(pa.array(np.setdiff1d(np.arange(len(x)), bad))))
+        every = counted(kept)
     for batch in every.to_batches(ROWS):
         yield pa.record_batch({"block": pa.array(np.full(batch.num_rows, block)), "segment": batch.column("segment"), "n": batch.column("n_sum")})
 
@@ -162,7 +180,7 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     cuts = tools().cuts
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = written(texts.mapInArrow(lean(functools.partial(_numbered, tools=tools)), f"id {docs.schema[id_col].dataType.simpleString()}, text string, block long"), "texts")
+    texts = written(texts.mapInArrow(lean(_numbered), f"id {docs.schema[id_col].dataType.simpleString()}, text string, block long"), "texts")
 
     def counted(batches):
         at, held = None, []
@@ -171,14 +189,14 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
             for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
                 if len(part):
                     if held and blocks[part[0]] != at:
-                        yield from _told(at, held, cuts)
+                        yield from _told(at, held, tools())
                         held = []
                     at = int(blocks[part[0]])
                     held.append(batch.column(1).slice(int(part[0]), len(part)))
         if held:
-            yield from _told(at, held, cuts)
+            yield from _told(at, held, tools())
 
-    asked = written(texts.where("text is not null").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
+    asked = written(texts.where("text <> ''").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
     found = _relation(_encoded(asked.groupBy("segment").agg(F.sum("n").alias("times")), tools))
     key = _key(F.col("segment"))
     told = asked.select("block", "segment", *key).join(found, ["k1", "k2"]).drop("k1", "k2")
@@ -187,22 +205,26 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
         sums, digests = np.zeros((mine.num_rows, len(names)), np.int64), np.full(mine.num_rows, "", object)
         if theirs.num_rows:
+            # a segment that isn't there belongs to texts without tokens
             words, shown = theirs.column("segment").combine_chunks(), theirs.column("groups").combine_chunks()
             n_a, n_b, n_groups, n_best, count_sum = (theirs.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum"))
             each = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum], 1).astype(np.int64)
             texts = mine.column("text").combine_chunks()
-            full = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            full = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
             for part, lists in split(texts.take(pa.array(full)), cuts):
                 rows, ends = full[part], lists.offsets.to_numpy()
                 at = pc.index_in(lists.flatten(), value_set=words)
-                ends = ends - ends[0]
-                for lo, hi in runs(ends.astype(np.int64), SEGMENTS):
+                ends = (ends - ends[0]).astype(np.int64)
+                for lo, hi in runs(ends, SEGMENTS):
                     some = at.slice(int(ends[lo]), int(ends[hi] - ends[lo]))
                     offsets = ends[lo : hi + 1] - ends[lo]
-                    sums[rows[lo:hi]] = np.add.reduceat(each[some.to_numpy()], offsets[:-1])
-                    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), shown.take(some)), ";")
+                    lost = np.logical_or.reduceat(some.is_null().to_numpy(zero_copy_only=False), offsets[:-1])
+                    some = some.fill_null(0)
+                    sums[rows[lo:hi]] = np.where(lost[:, None], 0, np.add.reduceat(each[some.to_numpy()], offsets[:-1]))
+                    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), shown.take(some)), ";")
                     data, at_bytes = utf8(joined)
-                    digests[rows[lo:hi]] = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(at_bytes[:-1].tolist(), at_bytes[1:].tolist(), strict=True)]
+                    spans = zip(lost.tolist(), at_bytes[:-1].tolist(), at_bytes[1:].tolist(), strict=True)
+                    digests[rows[lo:hi]] = ["" if gone else hashlib.sha256(data[i:j]).hexdigest() for gone, i, j in spans]
         columns = {n: pa.array(sums[:, i]) for i, n in enumerate(names)}
         return pa.table({"id": mine.column("id"), **columns, "groups_sha256": pa.array(digests.tolist(), pa.string())})
 
@@ -210,19 +232,14 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(assembled, shape).withColumnRenamed("id", id_col)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], tools) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: neighbours of some BLOCK bytes together, fixed by being written. Texts that
-    have no tokens are null from here on."""
-    tool, block, size = tools(), TaskContext.get().partitionId() << 33, 0
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: neighbours of some BLOCK bytes together, fixed by being written."""
+    first, size = TaskContext.get().partitionId() << 33, 0
     for batch in batches:
-        texts = [t if tool.whole(t) else None for t in batch.column(1).to_pylist()]
-        numbers = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if size > BLOCK:
-                block, size = block + 1, 0
-            numbers[i] = block
-            size += len(text or "") + 16
-        yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(numbers)], names=["id", "text", "block"])
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        before = size + np.cumsum(sizes) - sizes
+        size += int(sizes.sum())
+        yield pa.record_batch([*batch.columns, pa.array(first + before // BLOCK)], names=["id", "text", "block"])
 
 
 def _key(segment) -> list:
