@@ -36,13 +36,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm.kernel import lean, runs, utf8
-from shardwright.llm.shared import written
+from shardwright.llm.shared import settle, written
 
 #: Where the tokenizers' files lie by default.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block, rows of a result batch, segments whose results are put together at a time.
-BLOCK, ROWS, SEGMENTS = 24 << 20, 1 << 15, 1 << 18
+#: Bytes of text in a block and of those that are split at a time, rows of a result batch, segments whose results are
+#: put together at a time, segments that blocks ask for in a task of the relation.
+BLOCK, CHUNK, ROWS, SEGMENTS, TASK = 64 << 20, 8 << 20, 1 << 15, 1 << 18, 1 << 18
+#: Tasks that share a block.
+SPAN = 4
 #: Pairs of linked ids (16 bytes each, and an index) that may go to all executors.
 BROADCAST = 1 << 20
 
@@ -70,14 +73,20 @@ def segments(text: str, cuts: bool = True) -> list[str]:
 
 
 def split(texts: pa.Array, cuts: bool) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
-    """Rows of texts and their segments: at every space where that is all there is to it, else by the rule."""
+    """Rows of texts and their segments, some CHUNK bytes at a time: cut at every space where that is all there is to it,
+    else by the rule."""
+    if not len(texts):
+        return
     odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if cuts else np.ones(len(texts), bool)
-    if not odd.all():
-        rows = np.flatnonzero(~odd)
-        yield rows, pc.split_pattern(texts.take(pa.array(rows)), " ")
-    for rows in np.array_split(np.flatnonzero(odd), max(1, odd.sum() // 1000)):
-        if len(rows):
-            yield rows, pa.array([segments(texts[i].as_py(), cuts) for i in rows.tolist()], pa.list_(pa.string()))
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    for some, by_rule in ((np.flatnonzero(~odd), False), (np.flatnonzero(odd), True)):
+        ends = np.concatenate(([0], np.cumsum(sizes[some])))
+        for lo, hi in runs(ends, CHUNK):
+            rows = some[lo:hi]
+            if by_rule:
+                yield rows, pa.array([segments(texts[i].as_py(), cuts) for i in rows.tolist()], pa.list_(pa.string()))
+            else:
+                yield rows, pc.split_pattern(texts.take(pa.array(rows)), " ")
 
 
 class Tokenizers:
@@ -151,26 +160,26 @@ def _told(block: int, texts: list[pa.Array], tool: Tokenizers) -> Iterator[pa.Re
     """The distinct segments of a block's texts and how often each occurs, without texts that don't come back: their
     segments that don't are found among the distinct ones."""
 
-    def counted(lists: list[pa.ListArray]) -> pa.Table:
+    def counted(lists: Iterator[pa.ListArray]) -> pa.Table:
         parts = [pc.value_counts(x.flatten()) for x in lists]
         every = pa.table({"segment": pa.chunked_array([p.field("values") for p in parts], pa.string()), "n": pa.chunked_array([p.field("counts") for p in parts], pa.int64())})
         return every.group_by("segment", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
 
-    lists = [x for held in texts for _, x in split(held, tool.cuts)]
-    every = counted(lists)
+    every = counted(x for held in texts for _, x in split(held, tool.cuts))
     lost = [s for s in every.column("segment").to_pylist() if not tool.whole(s)]
     if lost:
         gone = pa.array(lost, pa.string())
-        kept = []
-        for x in lists:
-            row = np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
-            bad = row[pc.is_in(x.flatten(), value_set=gone).to_numpy(zero_copy_only=False)]
-            kept.append(x.take(pa.array(np.setdiff1d(np.arange(len(x)), bad))))
-        every = counted(kept)
+        every = counted(_without(x, gone) for held in texts for _, x in split(held, tool.cuts))
     for batch in every.to_batches(ROWS):
         yield pa.record_batch({"block": pa.array(np.full(batch.num_rows, block)), "segment": batch.column("segment"), "n": batch.column("n_sum")})
 
 
+def _without(lists: pa.ListArray, gone: pa.Array) -> pa.ListArray:
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    bad = row[pc.is_in(lists.flatten(), value_set=gone).to_numpy(zero_copy_only=False)]
+    return lists.take(pa.array(np.setdiff1d(np.arange(len(lists)), bad)))
+
+
 def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pieces: str = f"{TOKENIZERS}/{PIECES}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row for each of docs."""
     spark = docs.sparkSession
@@ -197,9 +206,9 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
             yield from _told(at, held, tools())
 
     asked = written(texts.where("text <> ''").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
-    found = _relation(_encoded(asked.groupBy("segment").agg(F.sum("n").alias("times")), tools))
-    key = _key(F.col("segment"))
-    told = asked.select("block", "segment", *key).join(found, ["k1", "k2"]).drop("k1", "k2")
+    found = _relation(_encoded(asked, tools))
+    settle(spark)  # what the shuffles so far have left on disk is of no more use
+    told = _by_key(asked, "block").select("k1", "k2", "segment", "block").distinct().join(found, ["k1", "k2"]).drop("k1", "k2")
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -207,7 +216,9 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
         if theirs.num_rows:
             # a segment that isn't there belongs to texts without tokens
             words, shown = theirs.column("segment").combine_chunks(), theirs.column("groups").combine_chunks()
-            n_a, n_b, n_groups, n_best, count_sum = (theirs.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum"))
+            n_a, n_best, count_sum = (theirs.column(c).to_numpy() for c in ("n_a", "n_best", "count_sum"))
+            n_groups = pc.count_substring(shown, ";").to_numpy() + 1
+            n_b = pc.count_substring(shown, ",").to_numpy() + 2 * n_groups - n_a
             each = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum], 1).astype(np.int64)
             texts = mine.column("text").combine_chunks()
             full = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
@@ -233,13 +244,14 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: neighbours of some BLOCK bytes together, fixed by being written."""
-    first, size = TaskContext.get().partitionId() << 33, 0
+    """Rows with the number of their block, fixed by being written: SPAN neighbouring tasks give a SPANth of its BLOCK
+    bytes each, so that small partitions make no small blocks."""
+    first, size = TaskContext.get().partitionId() // SPAN << 33, 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
         before = size + np.cumsum(sizes) - sizes
         size += int(sizes.sum())
-        yield pa.record_batch([*batch.columns, pa.array(first + before // BLOCK)], names=["id", "text", "block"])
+        yield pa.record_batch([*batch.columns, pa.array(first + before // (BLOCK // SPAN))], names=["id", "text", "block"])
 
 
 def _key(segment) -> list:
@@ -247,37 +259,44 @@ def _key(segment) -> list:
     return [F.xxhash64(F.lit(i), segment).alias(f"k{i}") for i in (1, 2)]
 
 
-def _encoded(distinct: DataFrame, tools) -> DataFrame:
-    """(k1, k2, times, n_a, ids, lengths) of distinct segments: first the n_a tokens of A, then those of B."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int64()), ("n_a", pa.int32()), ("ids", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
+def _encoded(asked: DataFrame, tools) -> DataFrame:
+    """(k1, k2, times, tokens) of distinct segments, by key in tasks of bounded size; tokens: n_a, and the ids and lengths
+    of first the n_a tokens of A, then those of B."""
 
-    def run(batches):
-        tool = tools()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                words = part.column("segment")
-                a, b = tool.encode(words.to_pylist())
-                n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-                ids = [np.fromiter(itertools.chain.from_iterable(x), np.int32, int(n.sum())) for x, n in ((a, n_a), (b, n_b))]
-                sizes = [tool.size_a[ids[0]], tool.size_b[ids[1]]]
-                row = np.arange(len(a))
-                bytes_of = pc.binary_length(words).to_numpy(zero_copy_only=False) + 1
-                if any((np.bincount(np.repeat(row, n), s, len(a)) != bytes_of).any() for n, s in ((n_a, sizes[0]), (n_b, sizes[1]))):
-                    raise ValueError("a segment doesn't come back from its tokens")
-                order = np.argsort(np.concatenate((np.repeat(row, n_a), np.repeat(row, n_b))), kind="stable")
-                offsets = pa.array(np.concatenate(([0], np.cumsum(n_a + n_b))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)[order])) for x in (ids, sizes)]
-                yield pa.record_batch([part.column("k1"), part.column("k2"), part.column("times"), pa.array(n_a.astype(np.int32)), *lists], schema=schema)
-
-    return distinct.select("segment", *_key(F.col("segment")), "times").mapInArrow(lean(run), "k1 long, k2 long, times long, n_a int, ids array<int>, lengths array<int>")
+    @F.arrow_udf("n_a int, ids array<int>, lengths array<int>")
+    def encoded(words: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_tokens(words.slice(lo, 4096), tools()) for lo in range(0, max(len(words), 1), 4096)])
+
+    distinct = _by_key(asked, "n").groupBy("k1", "k2", "segment").agg(F.sum("n").alias("times"))
+    return distinct.select("k1", "k2", "times", encoded("segment").alias("tokens"))
+
+
+def _by_key(asked: DataFrame, column: str) -> DataFrame:
+    """What blocks ask for, by segment, in tasks of bounded size."""
+    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // TASK))
+    return asked.select("segment", *_key(F.col("segment")), column).repartition(tasks, "k1", "k2")
+
+
+def _tokens(words: pa.Array, tool: Tokenizers) -> pa.Array:
+    a, b = tool.encode(words.to_pylist())
+    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    ids = [np.fromiter(itertools.chain.from_iterable(x), np.int32, int(n.sum())) for x, n in ((a, n_a), (b, n_b))]
+    sizes = [tool.size_a[ids[0]], tool.size_b[ids[1]]]
+    row = np.arange(len(a))
+    bytes_of = pc.binary_length(words).to_numpy(zero_copy_only=False) + 1
+    if any((np.bincount(np.repeat(row, n), s, len(a)) != bytes_of).any() for n, s in ((n_a, sizes[0]), (n_b, sizes[1]))):
+        raise ValueError("a segment doesn't come back from its tokens")
+    order = np.argsort(np.concatenate((np.repeat(row, n_a), np.repeat(row, n_b))), kind="stable")
+    offsets = pa.array(np.concatenate(([0], np.cumsum(n_a + n_b))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)[order])) for x in (ids, sizes)]
+    return pa.StructArray.from_arrays([pa.array(n_a.astype(np.int32)), *lists], ["n_a", "ids", "lengths"])
 
 
 def _relation(encoded: DataFrame) -> DataFrame:
-    """(k1, k2, groups, n_a, n_best, count_sum) of each segment. All steps up to the groups go by segment, so the rows
-    are shuffled once, before they are exploded, and sorted by segment before that: what is exploded is in order then."""
+    """(k1, k2, groups, n_a, n_best, count_sum) of each segment. All steps up to the groups go by segment, so there is no
+    shuffle after that of encoded; rows are sorted by segment before they are exploded, so what comes out is in order."""
     key = ["k1", "k2"]
-    tokens = encoded.repartition(*key).sortWithinPartitions(*key).select(*key, "times", "n_a", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "token"))
+    tokens = encoded.sortWithinPartitions(*key).select(*key, "times", F.col("tokens.n_a").alias("n_a"), F.posexplode(F.arrays_zip("tokens.ids", "tokens.lengths")).alias("place", "token"))
     tokens = tokens.select(*key, "times", "place", (F.col("place") < F.col("n_a")).alias("of_a"), F.col("token.ids").alias("id"), F.col("token.lengths").alias("length"))
     along = Window.partitionBy(*key, "of_a").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     ends = tokens.select(*key, "times", "of_a", "id", F.sum("length").over(along).alias("end"))
@@ -289,12 +308,11 @@ def _relation(encoded: DataFrame) -> DataFrame:
     mark = F.concat(F.col("id").cast("string"), F.when(F.col("common") | F.col("later"), ";").otherwise(","))
     cover = met.select(
         *key, "times", "common", F.when(F.col("of_a"), mark).alias("a"), F.when(~F.col("of_a"), mark).alias("b"),
-        F.sum(F.col("common").cast("int")).over(running).alias("group"),
         F.last(F.when(F.col("of_a"), F.col("id")), True).over(running).alias("la"), F.last(F.when(~F.col("of_a"), F.col("id")), True).over(running).alias("lb"),
     )
     # rows of a segment are together and in order, lists keep it: there is no exchange since the sort
     gathered = cover.groupBy(*key).agg(
-        F.first("times").alias("times"), F.max("group").cast("int").alias("n_groups"), F.count("a").cast("int").alias("n_a"), F.count("b").cast("int").alias("n_b"),
+        F.first("times").alias("times"), F.count("a").cast("int").alias("n_a"),
         F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list(F.when(~F.col("common"), F.struct("la", "lb"))).alias("links"),
     )
     # the mark of a segment's last token leaves an empty group on both sides, which is cut off again
@@ -302,7 +320,7 @@ def _relation(encoded: DataFrame) -> DataFrame:
     shown = F.expr("rtrim(';|', shown)")
     gathered = gathered.withColumn("shown", F.array_join(F.zip_with(by_group("a"), by_group("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
     with _by_sorting(encoded.sparkSession):
-        each = written(gathered.select(*key, "times", "n_groups", "n_a", "n_b", shown.alias("groups"), "links"), "segments")
+        each = written(gathered.select(*key, "times", "n_a", shown.alias("groups"), "links"), "segments")
     pair = ["la", "lb"]
     counts = each.select("times", F.inline("links")).groupBy(*pair).agg(F.sum("times").alias("linked"))
     best = F.max("linked").over(Window.partitionBy("lb"))
@@ -310,7 +328,7 @@ def _relation(encoded: DataFrame) -> DataFrame:
     # rows of a segment stay together where the counts go to them; beyond the bound they meet by shuffle
     near = F.broadcast(counts) if counts.count() <= BROADCAST else counts
     sums = each.select(*key, F.inline("links")).join(near, pair).groupBy(*key).agg(F.sum("best").cast("int").alias("n_best"), F.sum("linked").alias("count_sum"))
-    return each.select(*key, "groups", "n_groups", "n_a", "n_b").join(sums, key)
+    return each.select(*key, "groups", "n_a").join(sums, key)
 
 
 @contextlib.contextmanager
