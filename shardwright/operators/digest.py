@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.config import DigestConfig
 from shardwright.functions.text import clean_message, content_text, first_rule
+from shardwright.scratch import written
 
 ROLES = ("user", "assistant")
 
@@ -79,11 +80,19 @@ def bucket_stats(df: DataFrame, size: str = "n_bytes", order: str = "path") -> D
 
 
 def chunks(df: DataFrame, limit: int = 350_000, size: str = "n_bytes", order: str = "path", by: tuple[str, ...] = ("bucket",)) -> DataFrame:
-    """Digests in groups of about `limit` bytes, within each bucket, in order."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("chunk", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / limit))
+    """Digests in groups of about `limit` bytes, within each bucket, in order.
+
+    The running sum goes over ranges of (bucket, order): each range sums up its own rows, and what the ranges before it
+    hold of the bucket is added. A bucket of any size is spread over ranges; null buckets are one bucket."""
+    ranges = written(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range and bucket in it
+    sums = ranges.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_part").alias("_at"), F.struct(*by).alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = ranges.withColumn("_by", F.struct(*by)).withColumn("_own", F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    both = own.join(offsets, (F.col("_part") == F.col("_at")) & F.col("_by").eqNullSafe(F.col("_of")))
+    return both.select(*(f"`{c}`" for c in df.columns), F.floor((F.col("_own") + F.col("_before")) / limit).alias("chunk"))
 
 
 def recent(df: DataFrame, since: str, share: float = 0.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.config import StaleConfig
 from shardwright.functions.frontmatter import as_date
 from shardwright.functions.text import basename
+from shardwright.scratch import written
 
 
 def today(cfg: StaleConfig = StaleConfig()) -> datetime.date:
@@ -54,12 +55,37 @@ def code_index(paths: DataFrame, cfg: StaleConfig = StaleConfig()) -> DataFrame:
 
 
 def missing_anchors(cited: DataFrame, index: DataFrame) -> DataFrame:
-    """Citations that no indexed path ends with (not even within a segment). The join is on the base name. With an empty
-    index nothing is checked and nothing is missing."""
+    """Citations that no indexed path ends with (not even within a segment), of the same base name. With an empty index
+    nothing is checked and nothing is missing."""
     some = index.limit(1).select(F.lit(1).alias("k"))
-    gone = cited.join(index, (cited["base"] == index["base"]) & index["path"].endswith(cited["cited"]), "left_anti")
+    found = ending_with(cited.select("cited").distinct(), index.select("path"))
+    gone = cited.join(found, "cited", "left_anti")
     return gone.select("rel", "cited", F.lit(1).alias("k")).join(some, "k", "left_semi").select("rel", "cited")
 
 
+#: Ends a reversed path; no path holds it.
+_END = "\0"
+
+
+def ending_with(cited: DataFrame, paths: DataFrame) -> DataFrame:
+    """(cited) of those that some path ends with, the base name being whole.
+
+    Written backwards, the paths that end with a citation are neighbours: they follow it in order. So both are sorted
+    together over ranges, and each citation looks at the next path only: in its own range, else the first one of the
+    ranges after it. A base name that half of all paths share is spread over ranges like any other text."""
+    back = F.reverse("cited")
+    whole = F.when(F.contains("cited", F.lit("/")), F.array(back)).otherwise(F.array(F.concat(back, F.lit("/")), F.concat(back, F.lit(_END))))
+    probes = cited.where("cited is not null").distinct().select("cited", F.explode(whole).alias("key"), F.lit(None).cast("string").alias("path"))
+    own = F.concat(F.reverse("path"), F.lit(_END))
+    keys = paths.where("path is not null").select(own.alias("key")).distinct().select(F.lit(None).cast("string").alias("cited"), "key", F.col("key").alias("path"))
+    ranges = written(probes.unionByName(keys).repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
+    # a row for each range
+    firsts = ranges.groupBy("part").agg(F.min("path").alias("first"))
+    later = firsts.select("part", F.min("first").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    before = Window.partitionBy("part").orderBy(F.desc("key"), F.col("path").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    following = ranges.withColumn("next", F.last("path", True).over(before)).where("cited is not null").join(later, "part")
+    return following.where(F.coalesce("next", "later").startswith(F.col("key"))).select("cited").distinct()
+
+
 def ages(day: Column, cfg: StaleConfig) -> Column:
     return F.datediff(F.lit(today(cfg)), day).cast("long")

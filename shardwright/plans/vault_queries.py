@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shardwright import render
 from shardwright.config import CorpusConfig, DigestConfig, LintConfig, StaleConfig
 from shardwright.functions import frontmatter, text
-from shardwright.operators import digest, evalstats, gate, history, kit, leaks, links, lint, nav, staleness
+from shardwright.operators import commits, digest, evalstats, gate, history, kit, leaks, links, lint, nav, search, staleness
 from shardwright.plans.catalogue import _CLEAN, _LINES, _MASKED, _q, query, t
 
 _DAY = "2024-02-01"
@@ -508,3 +508,73 @@ def q92_may_pin(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     rows = [("all", kit.may_pin(o.select((F.col("o_totalprice") >= 0).alias("applied")))), ("some", kit.may_pin(o.select((F.col("o_orderstatus") == "O").alias("applied"))))]
     return spark.createDataFrame(rows, "status string, may_pin boolean")
+
+
+# ---- search, ranks, history, hot names
+_TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), i AS (SELECT term, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) GROUP BY ALL),
+m AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), f AS (SELECT term, count(*) AS df FROM i GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN f USING (term) JOIN i USING (term), m GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 10""")
+def q93_search(spark, sf_dir):
+    items = t(spark, sf_dir, "benchmark")
+    return search.search(t(spark, sf_dir, "documents"), items, 10, "doc_id", "text", "item_id", "text").select(F.col("query_id").alias("item_id"), "rank", F.col("page").alias("doc_id"), "score")
+
+
+_ROUNDS = 8
+_RANKS = ",\n".join(
+    f"r{i + 1} AS (SELECT node, 0.15 / n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE degree IS NULL) / n + 0.85 * coalesce(got, 0) AS rank, degree, n FROM r{i} "
+    f"LEFT JOIN (SELECT dst AS node, sum(rank / degree) AS got FROM k JOIN r{i} ON src = node GROUP BY dst) USING (node))"
+    for i in range(_ROUNDS)
+)
+
+
+@query(f"""WITH {_PG}, {_LINKS}, v AS (SELECT DISTINCT split_part(split_part(rel, '/', 2), '.', 1) AS node FROM every),
+k AS (SELECT DISTINCT split_part(split_part(rel, '/', 2), '.', 1) AS src, target AS dst FROM l WHERE kind = 'wiki' AND target IN (SELECT node FROM v)),
+r0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS rank, degree, count(*) OVER () AS n FROM v LEFT JOIN (SELECT src AS node, count(*) AS degree FROM k GROUP BY src) USING (node)),
+{_RANKS}
+SELECT node, round(rank, 9) AS rank FROM r{_ROUNDS}""")
+def q94_link_rank(spark, sf_dir):
+    files = pages(spark, sf_dir)
+    wiki = links.links(files).where("kind = 'wiki'").select(F.regexp_extract("rel", r"([^/]*)\.md\z", 1).alias("src"), F.col("target").alias("dst"))
+    return search.link_rank(files.select(F.col("stem").alias("node")), wiki, _ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+
+
+#: Events as commits: the parent is the user's event before; every tenth one merges the event seven before it.
+_TIPS = "SELECT user_id, concat('c', max(event_id)) AS local, CASE WHEN user_id % 4 <> 0 THEN concat('c', max(event_id) FILTER (WHERE event_id % 3 = 0)) ELSE repeat('0', 40) END AS remote FROM events WHERE user_id % 2 = 0 GROUP BY user_id"
+_KNOWN = "SELECT concat('c', max(event_id)) AS sha FROM events WHERE user_id % 5 = 1 AND event_id % 2 = 1 GROUP BY user_id"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT concat('c', event_id) AS sha, 'c' || lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent FROM events
+  UNION ALL SELECT concat('c', event_id), concat('c', event_id - 7) FROM events WHERE event_id % 10 = 0 AND event_id >= 7),
+refs AS ({_TIPS}),
+mine(sha) AS (SELECT local FROM refs UNION SELECT parent FROM mine JOIN p USING (sha) WHERE parent IS NOT NULL),
+theirs(sha) AS (SELECT sha FROM (SELECT remote AS sha FROM refs UNION {_KNOWN}) WHERE sha IN (SELECT sha FROM p) UNION SELECT parent FROM theirs JOIN p USING (sha) WHERE parent IS NOT NULL)
+SELECT sha FROM mine EXCEPT SELECT sha FROM theirs""")
+def q95_unpushed(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events = t(spark, sf_dir, "events")
+    sha = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    parents = events.select(sha(F.col("event_id")).alias("sha"), sha(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))).alias("parent"))
+    merges = events.where("event_id % 10 = 0 and event_id >= 7").select(sha(F.col("event_id")).alias("sha"), sha(F.col("event_id") - 7).alias("parent"))
+    refs = events.where("user_id % 2 = 0").groupBy("user_id").agg(
+        sha(F.max("event_id")).alias("local"), F.when(F.col("user_id") % 4 != 0, sha(F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))))).otherwise(commits.NONE).alias("remote")
+    )
+    known = events.where("user_id % 5 = 1 and event_id % 2 = 1").groupBy("user_id").agg(sha(F.max("event_id")).alias("sha"))
+    return commits.unpushed(parents.unionByName(merges), refs, known.select("sha"))
+
+
+_CITED = "CASE doc_id % 4 WHEN 0 THEN concat('d', doc_id, '/index.ts') WHEN 1 THEN concat(doc_id + 1, '/index.ts') WHEN 2 THEN 'ndex.ts' ELSE concat('x', doc_id, '.ts') END"
+
+
+@query(f"""WITH c AS (SELECT concat('r', doc_id) AS rel, {_CITED} AS cited FROM documents), p AS (SELECT concat('d', doc_id, CASE WHEN doc_id % 2 = 0 THEN '/index.ts' ELSE concat('/x', doc_id + 2, '.ts') END) AS path FROM documents)
+SELECT rel, cited FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE ends_with(path, cited) AND regexp_extract(path, '[^/]*$') = regexp_extract(cited, '[^/]*$'))""")
+def q96_hot_base_name(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    cited = docs.select(F.concat(F.lit("r"), "doc_id").alias("rel"), F.expr(_CITED).alias("cited")).withColumn("base", text.basename(F.col("cited")))
+    paths = docs.select(F.expr("concat('d', doc_id, CASE WHEN doc_id % 2 = 0 THEN '/index.ts' ELSE concat('/x', doc_id + 2, '.ts') END)").alias("path"))
+    return staleness.missing_anchors(cited, staleness.code_index(paths, _CLOCK))
