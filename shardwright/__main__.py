@@ -11,6 +11,7 @@ import os
 import sys
 from collections.abc import Mapping
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from shardwright import render
 from shardwright.config import CorpusConfig, DigestConfig, LintConfig, StaleConfig
 from shardwright.operators import digest, evalstats, gate, kit, leaks, links, lint, nav, staleness
 from shardwright.sources import exports
+from shardwright.sources.page_writer import write_pages
 from shardwright.sources.vault import MissingVault, base_names, collection, lint_scope, read_vault
 
 TEMPLATE = "_SHARD_TEMPLATE.md"
@@ -66,12 +68,12 @@ def run_lint(p: Place, a: argparse.Namespace) -> int:
 
 def run_fix(p: Place, a: argparse.Namespace) -> int:
     changed = gate.repair(p.files()).where("changed").select("rel", "text")
-    n = 0
-    for r in changed.toLocalIterator():
-        print(f"  {'would fix' if a.check or a.dry_run else 'fixed'} {p.at(r.rel)}")
-        n += 1
-        if not (a.check or a.dry_run):
-            _write(os.path.join(p.vault, r.rel), r.text)
+    names = [r.rel for r in changed.select("rel").orderBy("rel").collect()]
+    if names and not (a.check or a.dry_run):
+        write_pages(changed, p.vault)
+    for rel in names:
+        print(f"  {'would fix' if a.check or a.dry_run else 'fixed'} {p.at(rel)}")
+    n = len(names)
     print(f"{n} file(s) with values that need quotes")
     return int(a.check and n > 0)
 
@@ -171,8 +173,8 @@ def run_sync(p: Place, a: argparse.Namespace) -> int:
         return int(n > 0)
     for r in kept.collect():
         print(f"  {r.path} is not ours: left alone")
-    for r in may.toLocalIterator():
-        _write(os.path.join(p.root, r.path), r.body)
+    write_pages(may.select(F.col("path").alias("rel"), F.col("body").alias("text")), p.root)
+    for r in may.select("path").orderBy("path").collect():
         print(f"  wrote {r.path}")
     if "claude" in p.cfg.platforms:
         _splice(p, files)
@@ -231,8 +233,7 @@ def run_prefilter(p: Place, a: argparse.Namespace) -> int:
         print("no transcripts", file=sys.stderr)
         return 2
     every = every.cache()
-    for r in every.select("bucket", "file", "text").toLocalIterator():  # a page at a time
-        _write(os.path.join(a.out, r.bucket, r.file), r.text)
+    write_pages(every.select(F.concat_ws("/", "bucket", "file").alias("rel"), "text"), a.out)
     _say(digest.bucket_stats(every), lambda r: f"{r.bucket:<18}{r.sessions:>10}{r.kb:>10}")
     return 0
 
@@ -321,6 +322,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, env:
     except (MissingVault, FileNotFoundError) as e:
         print(f"{a.tool}: no such input: {e}", file=sys.stderr)
         return 2
+    except PythonException as e:  # a task couldn't read or write a file: nothing may pass for clean then
+        print(f"{a.tool}: failed: {str(e).strip().splitlines()[-1]}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -3,8 +3,11 @@ sources; an absent or broken export raises, it never reads as empty (but for sto
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from shardwright.functions.text import file_path
 from shardwright.operators.digest import mentions
@@ -42,6 +45,27 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def checkpoint_results(items: DataFrame, path: str, checkpoint: str, run: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Results of a stream of items, kept batch by batch: each batch goes through run and into a folder of its own number.
+    A batch that was written but not committed when the driver died is written again into the same folder, so every item
+    has its results once."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        run(batch).write.mode("overwrite").json(f"{path}/batch={number:08d}")
+
+    return items.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def result_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream of JSON lines, so many files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
+def kept_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What checkpoint_results() has kept so far, with the number of the batch."""
+    return spark.read.schema(f"{schema}, batch int").json(path)
+
+
 def repo_files(spark: SparkSession, root: str) -> DataFrame:
     """(path) below a checkout, relative to it, hidden names included: names only, contents aren't read."""
     return read_checkout(spark, root, contents=False).select("path")

@@ -79,7 +79,7 @@ class _FileReader(_Reader):
             try:
                 with open(os.path.join(self.root, rel), "rb") as f:
                     content = f.read()
-            except OSError:  # a dangling link, or gone since it was listed
+            except FileNotFoundError:  # a dangling link, or gone since it was listed; what can't be read is an error
                 continue
             yield rel, content
 
