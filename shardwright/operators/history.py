@@ -9,7 +9,7 @@ from shardwright.functions.frontmatter import line_value
 from shardwright.operators.nav import active
 
 CLASSES: list[tuple[str, str]] = [("gotcha", r"(?i)\b(fix|bug|revert|workaround)"), ("decision", r"(?i)\b(decision|choose|switch)|instead of"), ("candidate", r"(?i)\b(incident|refactor)")]
-#: Views: name, type that they show, columns.
+#: Views by name, type that they show, columns. operators.views reads them from a file.
 VIEWS: list[tuple[str, str, list[str]]] = [
     ("Gotchas", "gotcha", ["name", "area", "volatility", "updated"]),
     ("Decisions", "decision", ["name", "area", "status", "updated"]),

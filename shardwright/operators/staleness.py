@@ -38,14 +38,15 @@ def undated(records: DataFrame) -> DataFrame:
     return volatile(records).where(as_date(F.col("updated")).isNull()).select("rel", "updated")
 
 
+# Fixed pattern: what counts as a cited source path.
 def anchor_pattern(cfg: StaleConfig = StaleConfig()) -> str:
     return r"`([A-Za-z0-9_./\-]+\.(?:" + "|".join(cfg.extensions) + r"))(?::\d+)?`"
 
 
 def anchors(records: DataFrame, cfg: StaleConfig = StaleConfig(), text: str = "body") -> DataFrame:
-    """(rel, cited, base): each source path that a record cites, once."""
-    df = records.select("rel", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(anchor_pattern(cfg)), F.lit(1)))).alias("cited"))
-    return df.select("rel", "cited", basename(F.col("cited")).alias("base")).distinct()
+    """(rel, cited, base, ord): each source path that a record cites, once, numbered by where it is first cited."""
+    df = records.select("rel", F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(anchor_pattern(cfg)), F.lit(1)))).alias("ord", "cited"))
+    return df.groupBy("rel", "cited").agg(F.min("ord").alias("ord")).select("rel", "cited", basename(F.col("cited")).alias("base"), "ord")
 
 
 def code_index(paths: DataFrame, cfg: StaleConfig = StaleConfig()) -> DataFrame:
@@ -55,12 +56,13 @@ def code_index(paths: DataFrame, cfg: StaleConfig = StaleConfig()) -> DataFrame:
 
 
 def missing_anchors(cited: DataFrame, index: DataFrame) -> DataFrame:
-    """Citations that no indexed path ends with (not even within a segment), of the same base name. With an empty index
-    nothing is checked and nothing is missing."""
+    """Citations that no indexed path ends with (not even within a segment), of the same base name, each record's in the
+    order of their ord, if cited has one. With an empty index nothing is checked and nothing is missing."""
     some = index.limit(1).select(F.lit(1).alias("k"))
     found = ending_with(cited.select("cited").distinct(), index.select("path"))
     gone = cited.join(found, "cited", "left_anti")
-    return gone.select("rel", "cited", F.lit(1).alias("k")).join(some, "k", "left_semi").select("rel", "cited")
+    own = ["rel", "cited", *(["ord"] if "ord" in cited.columns else [])]
+    return gone.select(*own, F.lit(1).alias("k")).join(some, "k", "left_semi").select(*own).orderBy("rel", own[-1])
 
 
 #: Ends a reversed path; no path holds it.

@@ -4,14 +4,22 @@ numbers; it never parses what the operators parse."""
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright import render
 from shardwright.config import CorpusConfig, DigestConfig, LintConfig, StaleConfig
 from shardwright.functions import frontmatter, text
-from shardwright.operators import commits, digest, evalstats, gate, history, kit, leaks, links, lint, nav, search, staleness
+from shardwright.operators import commits, digest, evalstats, gate, history, kit, leaks, links, lint, nav, search, staleness, views
 from shardwright.plans.catalogue import _CLEAN, _LINES, _MASKED, _q, query, t
+from shardwright.scratch import shared_dir
+from shardwright.sources import vault
+from shardwright.sources.page_writer import write_pages
 
 _DAY = "2024-02-01"
 _CLOCK = StaleConfig(days=14, today=_DAY)
@@ -158,7 +166,7 @@ def q54_anchors(spark, sf_dir):
     even = F.col("source").rlike("[02468]$")
     paths = code.select(F.concat(F.when(even, "repos/app/src/").otherwise("repos/node_modules/src/"), F.coalesce("source", F.lit("")), F.lit(".py")).alias("path"))
     cited = staleness.anchors(staleness.volatile(records(spark, sf_dir)), _CLOCK)
-    return staleness.missing_anchors(cited, staleness.code_index(paths, _CLOCK))
+    return staleness.missing_anchors(cited, staleness.code_index(paths, _CLOCK)).select("rel", "cited")
 
 
 # ---- navigation
@@ -578,3 +586,119 @@ def q96_hot_base_name(spark, sf_dir):
     cited = docs.select(F.concat(F.lit("r"), "doc_id").alias("rel"), F.expr(_CITED).alias("cited")).withColumn("base", text.basename(F.col("cited")))
     paths = docs.select(F.expr("concat('d', doc_id, CASE WHEN doc_id % 2 = 0 THEN '/index.ts' ELSE concat('/x', doc_id + 2, '.ts') END)").alias("path"))
     return staleness.missing_anchors(cited, staleness.code_index(paths, _CLOCK))
+
+
+# ---- views from their file, pages through real files, orders
+_VIEW_FILE = """views:
+  - type: table
+    name: Gotchas
+    filter:
+      - type: is
+        property: type
+        valueType: text
+        value: gotcha
+    columns:
+      - property: rel
+      - property: area
+  - type: table
+    name: Open tasks
+    filter:
+      - type: is
+        property: type
+        value: task
+      - type: isNot
+        property: status
+        value: resolved
+    columns:
+      - property: rel
+      - property: area
+  - type: table
+    name: Quoted
+    filter:
+      - type: contains
+        property: title
+        value: Quoted
+    columns:
+      - property: rel
+      - property: area
+  - type: table
+    name: No area
+    filter:
+      - type: isEmpty
+        property: area
+    columns:
+      - property: rel
+      - property: area
+  - type: table
+    name: All
+    columns:
+      - property: rel
+      - property: area
+"""
+
+
+@query(f"""WITH {_PG} SELECT 'Gotchas' AS view, rel, area FROM x WHERE type = 'gotcha' UNION ALL SELECT 'Open tasks', rel, area FROM x WHERE type = 'task' AND status <> 'resolved'
+UNION ALL SELECT 'Quoted', rel, area FROM x WHERE contains(title, 'Quoted') UNION ALL SELECT 'No area', rel, area FROM x WHERE area = '' UNION ALL SELECT 'All', rel, area FROM x""")
+def q97_views_from_file(spark, sf_dir):
+    own = records(spark, sf_dir).where("type <> ''")  # pages without frontmatter are no records
+    out = [views.compiled(v, own).select(F.lit(v.name).alias("view"), "rel", "area") for v in views.parse_views(_VIEW_FILE)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+def _vault(spark, sf_dir) -> DataFrame:
+    """The pages as files of a folder, written by tasks and read again by the data source."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/vault-{uuid.uuid4().hex}"
+    write_pages(pages(spark, sf_dir), root)
+    atexit.register(shutil.rmtree, root, True)
+    return vault.read_vault(spark, root)
+
+
+_PAGE_TEXT = "CASE WHEN bare THEN coalesce(text, '') ELSE concat('---', chr(10), " + ", ".join(f"'{k}: ', {k}, chr(10)" for k in _KEYS) + ", '---', chr(10), body) END"
+
+
+@query(f"""WITH {_PG}, f AS (SELECT rel, collection, stem, replace(replace({_PAGE_TEXT}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM every JOIN documents USING (doc_id))
+SELECT rel, collection AS dir, collection, stem, row_number() OVER (ORDER BY rel) - 1 AS ord, md5(t) AS text_md5 FROM f""")
+def q98_vault_files(spark, sf_dir):
+    return _vault(spark, sf_dir).select("rel", "dir", "collection", "stem", "ord", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_PG}, s AS (SELECT 'scope' AS part, rel, row_number() OVER (ORDER BY rel) AS place FROM every WHERE collection IN ('tasks', 'repos') UNION ALL
+SELECT 'tasks', rel, row_number() OVER (ORDER BY rel) FROM x WHERE collection = 'tasks' AND name <> '' UNION ALL SELECT 'names', stem, row_number() OVER (ORDER BY stem) FROM every WHERE collection = 'repos' AND stem <> 'p-4')
+SELECT part, rel, place FROM s""")
+def q99_vault_parts(spark, sf_dir):
+    files = _vault(spark, sf_dir)
+    named = files.withColumn("name", frontmatter.line_value(F.col("text"), "name"))
+    parts = [
+        ("scope", vault.lint_scope(files, ("tasks", "repos")).orderBy("ord").select("rel")), ("tasks", vault.collection(named, "tasks").select("rel")),
+        ("names", vault.base_names(files, "repos", ("p-4",)).select(F.col("stem").alias("rel"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, (_placed(df).select(F.lit(n).alias("part"), "rel", "place") for n, df in parts))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """A frame in its own order, with the place of each row from 1."""
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(f"{shape}, place long")
+
+
+@query(f"""WITH {_PG}, s AS (SELECT date_diff('day', CASE WHEN {_DATED} THEN updated END::DATE, DATE '{_DAY}') AS age_days, rel, updated FROM x WHERE {_DATED})
+SELECT 'due' AS what, rel, row_number() OVER (ORDER BY age_days DESC, rel DESC) AS place FROM s WHERE age_days > 14""")
+def q100_due_order(spark, sf_dir):
+    return _placed(staleness.queue(records(spark, sf_dir), _CLOCK)).select(F.lit("due").alias("what"), "rel", "place")
+
+
+_CITES = "concat('`lib/z', doc_id % 3, '.py` then `src/a.ts:7` and `lib/z', doc_id % 3, '.py:9`, `', coalesce(source, ''), '.go`')"
+
+
+@query("""WITH c AS (SELECT concat('r', lpad(doc_id::VARCHAR, 9, '0')) AS rel, unnest([concat('lib/z', doc_id % 3, '.py'), 'src/a.ts', coalesce(source, '') || '.go']) AS cited, unnest([0, 1, 2]) AS ord FROM documents)
+SELECT rel, cited, ord::INT AS ord, row_number() OVER (ORDER BY rel, ord) AS place FROM c WHERE cited NOT IN ('lib/z1.py', '.go')""")
+def q101_anchor_order(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("rel"), F.expr(_CITES).alias("body"))
+    index = staleness.code_index(spark.createDataFrame([("lib/z1.py",), ("x.py",)], "path string"), _CLOCK)
+    return _placed(staleness.missing_anchors(staleness.anchors(docs, _CLOCK), index))
+
+
+@query("SELECT coalesce(source, '') AS bucket, sessions, bytes, row_number() OVER (ORDER BY bytes DESC, first_seen) AS place FROM (SELECT source, count(*) AS sessions, sum(strlen(coalesce(text, ''))) AS bytes, min(doc_id) AS first_seen FROM documents GROUP BY source)")
+def q102_bucket_order(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("bucket"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "doc_id")
+    return _placed(digest.bucket_stats(docs, order="doc_id")).select("bucket", "sessions", "bytes", "place")
