@@ -40,6 +40,12 @@ MORE = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", 0, 60, r"PRIVATE KEY-----"),
     ("bare", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}", 0, 24, r"[A-Za-z0-9+/_=-]{24}"),
 ]
+# What a start without a match proves to be without one, and is passed over at once: the rest of the text (no end mark
+# comes), the rest of the run (what follows it stays the same). Else each start in it would look as far in vain.
+VAIN = {
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*)",
+    "jwt": r"eyJ[A-Za-z0-9_-]*+",
+}
 KINDS = [k for k, *_ in BASE + MORE]
 _BARE = len(KINDS) - 1
 _SPAN = "array<struct<start: bigint, rank: int, end: bigint, value: string, live: boolean>>"
@@ -49,10 +55,14 @@ PIECE = 4096
 
 def matches(text: Column, rank: int, pattern: str, group: int, least: int, test: str) -> Column:
     """Leftmost non-overlapping matches of one kind, in order, as (rank, gap, length, value): the code points between
-    the match and the one before, and of the match itself."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern)
+    the match and the one before, and of the match itself. What VAIN passes over stands among them, its value empty."""
+    vain = VAIN.get(KINDS[rank])
+    some = f"{pattern}|{vain}" if vain else pattern
+    found = F.regexp_extract_all(text, F.lit(f"({some})"), F.lit(1))
+    gaps = F.split(text, some)
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    if vain:
+        value = lambda m: F.regexp_extract(m, rf"\A(?:{pattern})\z", 0)
     rows = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")), lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), value(x["m"]).alias("value")))
     return F.when(text.rlike(test), rows).otherwise(F.array().cast("array<struct<rank: int, gap: int, length: int, value: string>>"))
 

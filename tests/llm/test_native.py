@@ -133,6 +133,37 @@ def test_secrets_of_a_text_full_of_them(spark):
     assert clean[1] == "[assign];é\n" * 60_000 + "[github] end" and clean[2] == "\U0001f600 [github]"
 
 
+def test_marks_without_an_end_take_linear_time(spark):
+    import time
+
+    begin, end, part = "-----BEGIN RSA PRIVATE" + " KEY-----", "-----END RSA PRIVATE" + " KEY-----", "ey" + "J"
+    odd = [(1, (begin + "\n") * (1_000_000 // 32)), (2, part * 333_000), (3, part * 100_000 + "." + part * 100_000), (4, (begin + "x" * 40) * 9000 + end + begin * 9000), (5, "-----BEGIN " + "A" * 1_000_000)]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in odd], "doc_id long, text string, source string")
+    secrets.scanned(docs.limit(0)).count()
+    began = time.time()
+    got = {r.doc_id: [(secrets.KINDS[x.rank], x.start, x.end) for x in r.findings] for r in secrets.scanned(docs).collect()}
+    assert time.time() - began < 20, "five odd texts of a megabyte"
+    assert [got[i] for i in (1, 2, 3, 5)] == [[]] * 4
+    assert got[4] == [("pem", 0, len(begin + "x" * 40) * 9000 + len(end))]
+
+
+def test_passed_over_parts_hold_nothing(spark):
+    """Matches of both kinds in random sequences of their parts are those of the plain pattern."""
+    import random
+
+    rng = random.Random(5)
+    begin, end = "-----BEGIN PRIVATE" + " KEY-----", "-----END PRIVATE" + " KEY-----"
+    pieces = [begin, end, "\n", "é" * 30, "M" * 64, "ey" + "J", "abcdefgh12", ".", "-", " ", "abc", "-----BEGIN ", "PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: {(secrets.KINDS[x.rank], x.start, x.end) for x in r.findings if secrets.KINDS[x.rank] in secrets.VAIN} for r in secrets.scanned(docs, max_owners=10**9, max_repositories=10**9).collect()}
+    for kind, pattern, _, least, _ in secrets.MORE:
+        if kind in secrets.VAIN:
+            for i, t in enumerate(texts):
+                want = {(kind, m.start(), m.end()) for m in re.finditer(pattern, t) if len(m[0]) >= least}
+                assert {x for x in got[i] if x[0] == kind} == want, (i, t)
+
+
 def test_value_that_most_rows_hold(spark):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 9000, F.lit(" token=abcdefgh12")).alias("text"), F.lit("hot").alias("source"))
     got = secrets.scanned(docs).select(F.explode("findings").alias("x")).groupBy("x.live").count().collect()
