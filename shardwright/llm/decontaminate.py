@@ -13,6 +13,12 @@ values the one of most windows counts, and windows with another one are left out
 a name with several values makes another question of the whole passage. An item is found if the windows of one of its
 passages cover COVERAGE of its tokens.
 
+Capitals say nothing where all words have them (headlines, texts in capitals) and where none has one over CALM tokens or
+a whole text (lower case). Windows there are looked up once more, as plain words whatever their case, among the items'
+plain windows. What they cover counts by itself, if a word of the passage has another case than in the item: a copy in
+other capitals is found so, one in the same capitals is a matter of templates and slots. Text as it is usually written,
+with a capital now and then, has few such windows.
+
 Two things keep common phrases from pairing all documents with all items. A bitmap of the benchmark's hashes, BITMAP
 bits at every size, drops document windows that can't match before the shuffle; where a huge benchmark fills it, more
 rows reach the join and the result is the same. And documents and items are paired by the items' rarer windows only:
@@ -39,6 +45,7 @@ from shardwright.llm.shared import written
 WINDOW = 5
 SHORTEST = 4
 LITERALS = 2
+CALM = 20
 COVERAGE = 0.5
 BAND = 4
 BITMAP = 1 << 24
@@ -63,9 +70,19 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows' tokens: typed hash, raw hash, whether it is a slot, row."""
-    typed, raw, slot, rows = [], [], [], []
+def _small(part: np.ndarray) -> np.ndarray:
+    """Bytes in lower case, accented Latin letters of two bytes too."""
+    low = K.LOWER[part]
+    at = np.flatnonzero(part[:-1] == 0xC3) + 1
+    big = at[(part[at] >= 0x80) & (part[at] <= 0x9E) & (part[at] != 0x97)]
+    low[big] |= 0x20
+    return low
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all rows' tokens: typed hash, raw hash, whether it is a slot, row; the hash whatever the case, and whether the
+    token is capitalised (1), not (0) or can't be told (2)."""
+    typed, raw, slot, rows, flat, case = [], [], [], [], [], []
     for lo, hi in K.slices(data, offs, _TOKEN | _POINT):
         part = data[lo:hi]
         digit = _DIGIT[part]
@@ -87,6 +104,9 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             u = _unit_hashes()
             at = np.minimum(np.searchsorted(u, h[after]), len(u) - 1)
             unit[after] = (u[at] == h[after]) & ~number[after]
+        flat.append(K.span_hash(_small(part), s, e))
+        lower = ((first >= 97) & (first <= 122)) | ((first == 0xC3) & (second >= 0x9F))
+        case.append(np.where(name, 1, np.where(lower, 0, 2)).astype(np.int8))
         name &= ~unit
         t = h.copy()
         t[number], t[name], t[unit] = _NUM, _NAME, _UNIT
@@ -95,8 +115,37 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         slot.append(number | name | unit)
         rows.append(row)
     if not typed:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
-    return np.concatenate(typed), np.concatenate(raw), np.concatenate(slot), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    return tuple(np.concatenate(x) for x in (typed, raw, slot, rows, flat, case))
+
+
+def plain_windows(flat: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of k tokens as words whatever their case, and where they start."""
+    n = len(flat) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.full(n, k + 200, np.uint64)
+    for i in range(k):
+        h = h * _MUL + flat[i : n + i]
+    at = np.flatnonzero(row[k - 1 :] == row[:n])
+    return K.mix(h[at]).view(np.int64), at
+
+
+def unsaying(case: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """For each window of k tokens, whether its capitals say nothing: all words have them, or none over CALM tokens or a
+    whole text around it."""
+    n = len(case) - k + 1
+    if n < 1:
+        return np.zeros(0, bool)
+    big = case == 1
+    upper, lower = (np.concatenate(([0], np.cumsum(x))) for x in (big, case == 0))
+    capitals, small = upper[k:] - upper[:-k], lower[k:] - lower[:-k]
+    # stretches between capitals and ends of texts, and how many tokens each has
+    turn = np.concatenate(([True], row[1:] != row[:-1]))
+    stretch = np.cumsum(big | turn)
+    size = np.bincount(stretch[~big], minlength=int(stretch[-1]) + 1)[stretch]
+    calm = (size >= CALM) | (size == np.bincount(row)[row])
+    return ((small == 0) & (capitals >= LITERALS)) | ((capitals == 0) & calm[:n] & calm[k - 1 :])
 
 
 def windows(t: np.ndarray, raw: np.ndarray, slot: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,19 +172,26 @@ def _lists(t: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray, k:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(values.ravel()))
 
 
+def _cases(case: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
+    """For each window the case of its tokens in place of slots: 1 small, 2 capital, 0 can't be told."""
+    values = np.array([1, 2, 0], np.int64)[case][at[:, None] + np.arange(k)]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(values.ravel()))
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, ids, (data, offs) = batch.column(0), batch.column(1), K.utf8(batch.column(2))
-        t, raw, slot, row = tokens(data, offs)
+        t, raw, slot, row, flat, case = tokens(data, offs)
         n = np.bincount(row, minlength=len(offs) - 1)
         first = np.cumsum(n) - n
         for k in range(SHORTEST, WINDOW + 1):
-            h, at = windows(t, raw, slot, row, k)
-            own = n[row[at]] == k if k < WINDOW else np.ones(len(at), bool)
-            h, at = h[own], at[own]
-            if len(at):
-                r = row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h), items.take(pa.array(r)), ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _lists(t, raw, slot, at, k)], ["h", "item", "item_id", "ipos", "n", "k", "islots"])
+            for (h, at), family in ((windows(t, raw, slot, row, k), 0), (plain_windows(flat, row, k), 1)):
+                fits = n[row[at]] == k if k < WINDOW else np.ones(len(at), bool)
+                h, at = h[fits], at[fits]
+                if len(at):
+                    r = row[at]
+                    item = pa.array(items.to_numpy()[r] & ~1 | family)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), item, ids.take(pa.array(r)), pa.array(at - first[r]), pa.array(n[r]), pa.array(np.full(len(at), k)), _cases(case, at, k) if family else _lists(t, raw, slot, at, k)], ["h", "item", "item_id", "ipos", "n", "k", "islots"])
 
 
 def _doc_windows(bits, sizes: list[int]):
@@ -144,18 +200,20 @@ def _doc_windows(bits, sizes: list[int]):
         for batch in batches:
             ids, marks, (data, offs) = batch.column(0), batch.column(1), K.utf8(batch.column(2))
             for lo, hi in K.runs(offs):
-                t, raw, slot, row = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                t, raw, slot, row, flat, case = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 n = np.bincount(row, minlength=hi - lo)
                 first = np.cumsum(n) - n
                 for k in sizes:
-                    h, at = windows(t, raw, slot, row, k)
-                    b = h & (BITMAP - 1)
-                    hit = np.flatnonzero(bitmap[b >> 3] >> (b & 7).astype(np.uint8) & 1)
-                    if len(hit):
-                        h, at = h[hit], at[hit]
-                        r = row[at]
-                        take = pa.array(r + lo)
-                        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _lists(t, raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
+                    h, at = plain_windows(flat, row, k)
+                    says = unsaying(case, row, k)[at]
+                    for h, at, family in ((*windows(t, raw, slot, row, k), 0), (h[says], at[says], 1)):
+                        b = h & (BITMAP - 1)
+                        hit = np.flatnonzero(bitmap[b >> 3] >> (b & 7).astype(np.uint8) & 1)
+                        if len(hit):
+                            h, at = h[hit], at[hit]
+                            r = row[at]
+                            take = pa.array(r + lo)
+                            yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(take), marks.take(take), pa.array(at - first[r]), _cases(case, at, k) if family else _lists(t, raw, slot, at, k)], ["h", "doc_id", "mark", "dpos", "dslots"])
 
     return run
 
@@ -202,10 +260,11 @@ def consistent(islots: np.ndarray, dslots: np.ndarray) -> np.ndarray:
     return fits.all(1) | own
 
 
-def passages(dpos: np.ndarray, ipos: np.ndarray, islots: np.ndarray, dslots: np.ndarray, n: int, coverage: float, until: int | None = None, reach: int | None = None) -> tuple[tuple[float, int, int] | None, int | None]:
+def passages(dpos: np.ndarray, ipos: np.ndarray, islots: np.ndarray, dslots: np.ndarray, n: int, coverage: float, until: int | None = None, reach: int | None = None, plain: bool = False) -> tuple[tuple[float, int, int] | None, int | None]:
     """Coverage, slots and changed slots of the best passage of an item of n tokens, None where none reaches the coverage,
     and the largest shift of the last passage. Passages that begin at shifts from `until` on are left out, and those
-    that hold no shift beyond `reach`, as they are parts of one that was looked at."""
+    that hold no shift beyond `reach`, as they are parts of one that was looked at. Plain windows have cases in place of
+    slots: one at least has to differ, and none is counted."""
     k, wide = islots.shape[1], max(2, n // BAND)
     shift = dpos - ipos
     o = np.lexsort((dpos, shift))
@@ -228,7 +287,10 @@ def passages(dpos: np.ndarray, ipos: np.ndarray, islots: np.ndarray, dslots: np.
             continue
         at = lo + np.lexsort((ipos[lo:hi], dpos[lo:hi]))
         at = at[heaviest(dpos[at], ipos[at], k)]
-        at = at[consistent(islots[at], dslots[at])]
+        if plain and not ((islots[at] != dslots[at]) & (islots[at] > 0) & (dslots[at] > 0)).any():
+            continue
+        if not plain:
+            at = at[consistent(islots[at], dslots[at])]
         seen = np.zeros(n + k, bool)
         for i in range(k):
             seen[ipos[at] + i] = True
@@ -236,7 +298,7 @@ def passages(dpos: np.ndarray, ipos: np.ndarray, islots: np.ndarray, dslots: np.
         if share >= coverage and (best is None or share > best[0]):
             full = islots[at] != 0
             pairs = np.unique(np.stack((islots[at][full], dslots[at][full]), 1), axis=0)
-            best = share, len(pairs), int((pairs[:, 0] != pairs[:, 1]).sum())
+            best = (share, 0, 0) if plain else (share, len(pairs), int((pairs[:, 0] != pairs[:, 1]).sum()))
     return best, reach
 
 
@@ -250,7 +312,7 @@ def _found(coverage: float):
         def flush(until: int | None) -> None:
             nonlocal held, best, reach
             whole = [np.concatenate(x) for x in zip(*held)]
-            got, reach = passages(*whole, key[4], coverage, until, reach)
+            got, reach = passages(*whole, key[4], coverage, until, reach, bool(key[2] & 1))
             if got and (best is None or got[0] > best[0]):
                 best = got
             left = whole[0] - whole[1] >= until if until is not None else np.zeros(len(whole[0]), bool)
@@ -258,7 +320,7 @@ def _found(coverage: float):
 
         def result() -> list[tuple]:
             flush(None)
-            return [(*key[:2], key[3], *best)] if best else []
+            return [(*key[:4], *best)] if best else []
 
         for batch in batches:
             out: list[tuple] = []
@@ -284,7 +346,7 @@ def _found(coverage: float):
             yield _results(out)
 
     def _results(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["doc_id", "mark", "item_id", "coverage", "n_slots", "n_changed"])
+        return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["doc_id", "mark", "item", "item_id", "coverage", "n_slots", "n_changed"])
 
     return run
 
@@ -319,7 +381,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     windows = mine.select(F.struct("doc_id", "mark").alias("doc"), "h", "dpos", "dslots").join(pairs, "doc").join(items, ["h", "item"])
     windows = windows.select("doc.doc_id", "doc.mark", "item", "item_id", "n", "k", "dpos", "ipos", "islots", "dslots")
     dealt = windows.repartition("doc_id", "mark", "item").sortWithinPartitions("doc_id", "mark", "item", "dpos", "ipos")
-    return dealt.mapInArrow(K.lean(_found(coverage)), f"doc_id {id_type}, mark long, item_id {item_type}, coverage double, n_slots long, n_changed long")
+    found = dealt.mapInArrow(K.lean(_found(coverage)), f"doc_id {id_type}, mark long, item long, item_id {item_type}, coverage double, n_slots long, n_changed long")
+    # of an item that is found both ways, what its slots say
+    best = F.min_by(F.struct("coverage", "n_slots", "n_changed"), F.col("item").bitwiseAND(F.lit(1).cast("long")))
+    return found.groupBy("doc_id", "mark", F.shiftright("item", 1).alias("base"), "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -131,6 +131,18 @@ def test_contamination_matches_brute_force(spark, sf_dir):
         assert sum(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) > 0.4 * len(item)
 
 
+def test_items_in_other_capitals(spark, sf_dir):
+    """Every item of the benchmark as it is, in capitals, in lower case and as a title, in the midst of usual text."""
+    items = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/benchmark.parquet")
+    around = "The usual text of Anna goes on here. It says little, as texts do. "
+    rows = [(4 * r.item_id + i, around + f(r.text) + ". " + around) for r in items.collect() for i, f in enumerate((str, str.upper, str.lower, str.title))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert len(rows) > 100 and not [i for i, _ in rows if (i, i // 4) not in got]
+    clean = spark.createDataFrame([(1, around.upper() * 9), (2, around.lower() * 9), (3, around.title() * 9), (4, ""), (5, None)], "doc_id long, text string")
+    assert decontaminate.contaminated(clean, items).count() == 0
+
+
 def _cut(text, *at):
     w = text.split()
     return [" ".join(w[a:b]) for a, b in zip((0, *at), (*at, len(w)))]
