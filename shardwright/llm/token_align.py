@@ -44,6 +44,8 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block and of those that are split at a time, rows of a result batch, segments whose results are
 #: put together at a time, segments that blocks ask for in a task of the relation.
 BLOCK, CHUNK, ROWS, SEGMENTS, TASK = 64 << 20, 8 << 20, 1 << 15, 1 << 18, 1 << 18
+#: What is taken off ids, so that those below 2^16 go into two signed bytes.
+BASE = 1 << 15
 #: Tasks that share a block.
 SPAN = 4
 #: Pairs of linked ids (16 bytes each, and an index) that may go to all executors.
@@ -106,6 +108,8 @@ class Tokenizers:
         every = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(every)]
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int32) for v in (self.bytes_a, self.bytes_b))
+        if max(n, len(every)) > 2 * BASE:
+            raise ValueError(f"vocabularies of more than {2 * BASE} entries")
         self.lone = self.b.piece_to_id(SPACE)
         kind = json.loads(byte_level)
         plain = kind.get("normalizer") is None and (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
@@ -208,7 +212,8 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     asked = written(texts.where("text <> ''").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
     found = _relation(_encoded(asked, tools))
     settle(spark)  # what the shuffles so far have left on disk is of no more use
-    told = _by_key(asked, "block").select("k1", "k2", "segment", "block").distinct().join(found, ["k1", "k2"]).drop("k1", "k2")
+    keyed = asked.select(*_key(F.col("segment")), "segment", "block").repartition(_tasks(asked), "k1", "k2").distinct()
+    told = keyed.join(found, ["k1", "k2"]).drop("k1", "k2")
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -260,21 +265,20 @@ def _key(segment) -> list:
 
 
 def _encoded(asked: DataFrame, tools) -> DataFrame:
-    """(k1, k2, times, tokens) of distinct segments, by key in tasks of bounded size; tokens: n_a, and the ids and lengths
-    of first the n_a tokens of A, then those of B."""
+    """(k1, k2, times, n_a, ids, lengths) of distinct segments, by key: first the n_a tokens of A, then those of B. Ids
+    stand there less BASE, in two bytes."""
 
-    @F.arrow_udf("n_a int, ids array<int>, lengths array<int>")
+    @F.arrow_udf("n_a int, ids array<smallint>, lengths array<smallint>")
     def encoded(words: pa.Array) -> pa.Array:
         return pa.concat_arrays([_tokens(words.slice(lo, 4096), tools()) for lo in range(0, max(len(words), 1), 4096)])
 
-    distinct = _by_key(asked, "n").groupBy("k1", "k2", "segment").agg(F.sum("n").alias("times"))
-    return distinct.select("k1", "k2", "times", encoded("segment").alias("tokens"))
+    distinct = asked.groupBy("segment").agg(F.sum("n").alias("times")).select(*_key(F.col("segment")), "times", encoded("segment").alias("tokens"))
+    return distinct.select("k1", "k2", "times", "tokens.*").repartition(_tasks(asked), "k1", "k2")
 
 
-def _by_key(asked: DataFrame, column: str) -> DataFrame:
-    """What blocks ask for, by segment, in tasks of bounded size."""
-    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // TASK))
-    return asked.select("segment", *_key(F.col("segment")), column).repartition(tasks, "k1", "k2")
+def _tasks(asked: DataFrame) -> int:
+    """So many tasks that each gets TASK of what blocks ask for at most, on average."""
+    return max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // TASK))
 
 
 def _tokens(words: pa.Array, tool: Tokenizers) -> pa.Array:
@@ -288,7 +292,7 @@ def _tokens(words: pa.Array, tool: Tokenizers) -> pa.Array:
         raise ValueError("a segment doesn't come back from its tokens")
     order = np.argsort(np.concatenate((np.repeat(row, n_a), np.repeat(row, n_b))), kind="stable")
     offsets = pa.array(np.concatenate(([0], np.cumsum(n_a + n_b))).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)[order])) for x in (ids, sizes)]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array((np.concatenate(x)[order] - less).astype(np.int16))) for x, less in ((ids, BASE), (sizes, 0))]
     return pa.StructArray.from_arrays([pa.array(n_a.astype(np.int32)), *lists], ["n_a", "ids", "lengths"])
 
 
@@ -296,8 +300,8 @@ def _relation(encoded: DataFrame) -> DataFrame:
     """(k1, k2, groups, n_a, n_best, count_sum) of each segment. All steps up to the groups go by segment, so there is no
     shuffle after that of encoded; rows are sorted by segment before they are exploded, so what comes out is in order."""
     key = ["k1", "k2"]
-    tokens = encoded.sortWithinPartitions(*key).select(*key, "times", F.col("tokens.n_a").alias("n_a"), F.posexplode(F.arrays_zip("tokens.ids", "tokens.lengths")).alias("place", "token"))
-    tokens = tokens.select(*key, "times", "place", (F.col("place") < F.col("n_a")).alias("of_a"), F.col("token.ids").alias("id"), F.col("token.lengths").alias("length"))
+    tokens = encoded.sortWithinPartitions(*key).select(*key, "times", "n_a", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "token"))
+    tokens = tokens.select(*key, "times", "place", (F.col("place") < F.col("n_a")).alias("of_a"), (F.col("token.ids").cast("int") + BASE).alias("id"), F.col("token.lengths").alias("length"))
     along = Window.partitionBy(*key, "of_a").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     ends = tokens.select(*key, "times", "of_a", "id", F.sum("length").over(along).alias("end"))
     # Both sides meet on segment and end: side by side in one order, so that the full equi-join is a look at the next
