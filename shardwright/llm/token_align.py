@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm.kernel import lean, runs, utf8
-from shardwright.llm.shared import settle, written
+from shardwright.llm.shared import forget, settle, written
 
 #: Where the tokenizers' files lie by default.
 TOKENIZERS = "/opt/tokenizers"
@@ -211,9 +211,11 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
 
     asked = written(texts.where("text <> ''").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
     found = _relation(_encoded(asked, tools))
-    settle(spark)  # what the shuffles so far have left on disk is of no more use
     keyed = asked.select(*_key(F.col("segment")), "segment", "block").repartition(_tasks(asked), "k1", "k2").distinct()
-    told = keyed.join(found, ["k1", "k2"]).drop("k1", "k2")
+    told = written(keyed.join(found, ["k1", "k2"]).drop("k1", "k2"), "told")
+    forget(asked)
+    forget(found)
+    settle(spark)
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -332,7 +334,10 @@ def _relation(encoded: DataFrame) -> DataFrame:
     # rows of a segment stay together where the counts go to them; beyond the bound they meet by shuffle
     near = F.broadcast(counts) if counts.count() <= BROADCAST else counts
     sums = each.select(*key, F.inline("links")).join(near, pair).groupBy(*key).agg(F.sum("best").cast("int").alias("n_best"), F.sum("linked").alias("count_sum"))
-    return each.select(*key, "groups", "n_a").join(sums, key)
+    found = written(each.select(*key, "groups", "n_a").join(sums, key), "found")
+    forget(each)
+    settle(encoded.sparkSession)  # what the shuffles so far have left on disk is of no more use
+    return found
 
 
 @contextlib.contextmanager
