@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -57,9 +58,11 @@ def forget(df: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished queries now: it looks for them when the driver's JVM
-    collects garbage, which may be hours away."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collects garbage, which may be hours away. What the first round sets free is found by the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -215,6 +215,7 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     told = written(keyed.join(found, ["k1", "k2"]).drop("k1", "k2"), "told")
     forget(asked)
     forget(found)
+    del asked, found, keyed
     settle(spark)
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
