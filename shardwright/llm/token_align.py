@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.kernel import lean, runs, utf8
+from shardwright.llm.kernel import lean, release, runs, utf8
 from shardwright.llm.shared import forget, settle, written
 
 #: Where the tokenizers' files lie by default.
@@ -43,7 +43,7 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block and of those that are split at a time, rows of a result batch, segments whose results are
 #: put together at a time, segments that blocks ask for in a task of the relation.
-BLOCK, CHUNK, ROWS, SEGMENTS, TASK = 64 << 20, 8 << 20, 1 << 15, 1 << 18, 1 << 18
+BLOCK, CHUNK, ROWS, SEGMENTS, TASK = 32 << 20, 4 << 20, 1 << 15, 1 << 18, 1 << 18
 #: What is taken off ids, so that those below 2^16 go into two signed bytes.
 BASE = 1 << 15
 #: Tasks that share a block.
@@ -230,7 +230,8 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
             each = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum], 1).astype(np.int64)
             texts = mine.column("text").combine_chunks()
             full = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
-            for part, lists in split(texts.take(pa.array(full)), cuts):
+            texts = texts if len(full) == len(texts) else texts.take(pa.array(full))
+            for part, lists in split(texts, cuts):
                 rows, ends = full[part], lists.offsets.to_numpy()
                 at = pc.index_in(lists.flatten(), value_set=words)
                 ends = (ends - ends[0]).astype(np.int64)
@@ -244,6 +245,7 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
                     data, at_bytes = utf8(joined)
                     spans = zip(lost.tolist(), at_bytes[:-1].tolist(), at_bytes[1:].tolist(), strict=True)
                     digests[rows[lo:hi]] = ["" if gone else hashlib.sha256(data[i:j]).hexdigest() for gone, i, j in spans]
+        release()
         columns = {n: pa.array(sums[:, i]) for i, n in enumerate(names)}
         return pa.table({"id": mine.column("id"), **columns, "groups_sha256": pa.array(digests.tolist(), pa.string())})
 
