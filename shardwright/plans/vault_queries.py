@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from shardwright import render
 from shardwright.config import CorpusConfig, DigestConfig, LintConfig, StaleConfig
 from shardwright.functions import frontmatter, text
-from shardwright.operators import commits, digest, evalstats, gate, history, kit, leaks, links, lint, nav, search, staleness, views
+from shardwright.operators import commits, digest, evalstats, gate, history, kit, leaks, links, lint, nav, rules, search, sketches, staleness, views
 from shardwright.plans.catalogue import _CLEAN, _LINES, _MASKED, _q, query, t
 from shardwright.scratch import shared_dir
 from shardwright.sources import vault
 from shardwright.sources.page_writer import write_pages
+from shardwright.streaming import vault_state
 
 _DAY = "2024-02-01"
 _CLOCK = StaleConfig(days=14, today=_DAY)
@@ -702,3 +703,74 @@ def q101_anchor_order(spark, sf_dir):
 def q102_bucket_order(spark, sf_dir):
     docs = t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("bucket"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "doc_id")
     return _placed(digest.bucket_stats(docs, order="doc_id")).select("bucket", "sessions", "bytes", "place")
+
+
+# ---- sketches, users' rules, streaming state
+_WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
+
+
+def _days(spark, sf_dir) -> DataFrame:
+    return sketches.daily(t(spark, sf_dir, "events"), F.to_date("ts"), F.col("user_id"), F.col("user_id"), by=("event_type",))
+
+
+@query("""WITH c AS (SELECT event_type, user_id::VARCHAR AS item, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC) AS place FROM c)
+SELECT event_type, item, n FROM r WHERE n > coalesce((SELECT n FROM r AS s WHERE s.event_type IS NOT DISTINCT FROM r.event_type AND s.place = 11), 0)""")
+def q103_frequent_from_days(spark, sf_dir):
+    """The ten most frequent of each type by merged days; those that tie with the eleventh aren't told."""
+    top = sketches.most_frequent(sketches.spans(_days(spark, sf_dir), "event_type"), 11)
+    last = top.groupBy(F.col("event_type").alias("of")).agg(F.min("n").alias("least"), F.count("*").alias("found"))
+    both = top.join(last, F.col("event_type").eqNullSafe(F.col("of")))
+    return both.where("found < 11 or n > least").select("event_type", "item", "n")
+
+
+@query(f"SELECT {_WEEK} AS week, count(*) AS n_rows, count(DISTINCT user_id) AS n_exact, true AS within FROM events GROUP BY 1")
+def q104_people_from_days(spark, sf_dir):
+    """People of each week by merged days, held against the exact number."""
+    week = lambda c: F.date_format(F.trunc(c, "week"), "yyyy-MM-dd").alias("week")
+    merged = sketches.people(sketches.spans(_days(spark, sf_dir), week(F.col("day"))))
+    exact = t(spark, sf_dir, "events").groupBy(week(F.to_date("ts"))).agg(F.count_distinct("user_id").alias("n_exact"))
+    within = F.abs(F.col("n_people") - F.col("n_exact")) <= F.col("n_exact") * sketches.error() + 1
+    return merged.join(exact, "week").select("week", "n_rows", "n_exact", within.alias("within"))
+
+
+_FIRST = "regexp_extract(text, '^[A-Za-z]+')"
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT DISTINCT {_FIRST} AS word FROM benchmark WHERE {_FIRST} <> ''),
+f AS (SELECT word AS label, doc_id FROM lines JOIN w ON contains(line, word) AND list_contains(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+'), lower(word)) UNION ALL SELECT 'year', doc_id FROM lines WHERE regexp_matches(line, '(19|20)[0-9][0-9]'))
+SELECT label, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY label""")
+def q105_rules_of_a_table(spark, sf_dir):
+    """Rules made of a table: the word that each benchmark item starts with, and one without a word."""
+    word = F.regexp_extract("text", "^[A-Za-z]+", 0)
+    table = t(spark, sf_dir, "benchmark").select(word.alias("label"), word.alias("pattern"), word.alias("word")).where("label <> ''")
+    table = table.unionByName(spark.createDataFrame([("year", "(?:19|20)[0-9][0-9]", None)], "label string, pattern string, word string"))
+    found = rules.scan(t(spark, sf_dir, "documents").select("doc_id", "text"), table)
+    return found.groupBy("label").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, count(*) AS n_lines, max(line_no)::BIGINT AS last_line, sum(len(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')))::BIGINT AS n_words,
+count(*) FILTER (WHERE regexp_matches(line, '^[a-z0-9]+(-[a-z0-9]+)*$')) AS n_slugs FROM lines GROUP BY doc_id""")
+def q106_functions_in_sql(spark, sf_dir):
+    """The functions by name: the lines of each text by the table function, words and slugs by the others."""
+    rules.register(spark)
+    return spark.sql(
+        "SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line, sum(size(sw_words(line))) AS n_words, count_if(sw_slug_ok(line)) AS n_slugs FROM {docs}, LATERAL sw_lines(text) GROUP BY doc_id",
+        docs=t(spark, sf_dir, "documents"))
+
+
+_TWIN = "CASE WHEN doc_id % 7 = 0 THEN concat('twin-', (doc_id - doc_id % 35) {div} 35) ELSE stem END"
+
+
+@query(f"""WITH {_PG}, p AS (SELECT doc_id, bare, {_TWIN.format(div='//')} AS s, concat(collection, '/', {_TWIN.format(div='//')}, '.md') AS rel FROM pg),
+l AS (SELECT DISTINCT rel, unnest([concat('p-', doc_id + 1), concat('p-', doc_id + 2)]) AS target FROM p WHERE NOT bare)
+SELECT 'broken' AS issue, target, rel FROM l WHERE target NOT IN (SELECT s FROM p) UNION ALL SELECT 'duplicate', s, rel FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)""")
+def q107_vault_as_it_grows(spark, sf_dir):
+    """Broken links and duplicate names after the pages came in several batches, by streaming state."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    df = pages(spark, sf_dir).withColumn("stem", F.expr(_TWIN.format(div="div")))
+    df = df.select(F.concat("collection", F.lit("/"), "stem", F.lit(".md")).alias("rel"), "text", "ord")
+    df.repartition(2, "rel").write.parquet(f"{root}/pages")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/pages")
+    vault_state.follow(stream, f"{root}/log", f"{root}/state", shards=2).awaitTermination()
+    atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    return vault_state.standing(spark.read.schema(vault_state.CHANGE).parquet(f"{root}/log"))
