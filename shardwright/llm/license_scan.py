@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier.
 
-A paragraph is a line with the lines that it wraps into: a line of WRAPPED characters or more that doesn't end a sentence
-goes on in the next one. Its features are its distinct words and word pairs; a multinomial logistic regression over the
+A paragraph is a line with the lines that it wraps into, at any width: a line that doesn't end a sentence goes on in the
+next one. Lines without an ASCII letter or digit end a paragraph. Its features are its distinct words and word pairs; a multinomial logistic regression over the
 families, `unknown` (other licences) and `none`, fitted here on the notices below, their variants and plain paragraphs,
 has weights for the features that occur in notices. A part of the variants is kept from fitting: they give the
 temperature, the least likeness that a family's paragraph needs, such that MISSED of them fall below it, and the least
@@ -11,7 +11,8 @@ family's by the classifier but falls short is `unknown`.
 
 Paragraphs that the model can only call `none`, whatever else they hold, are told by their words (anchors(), derived from
 the weights) and go no further. The lines of a wrapped paragraph are classified too: where one of them holds a notice
-of another family than the whole, the lines count, else the whole does, once, at its first line.
+of another family than the whole, the lines count, else the whole does, once, at the first line that holds a whole notice
+of it by itself, or else at its first line.
 
 Fitting takes place on the driver over the fixed notices (some thousand variants), no corpus rows. The scan is SQL
 expressions: equal paragraphs are classified once, their features join the model's rows.
@@ -35,7 +36,6 @@ from shardwright.llm.shared import written
 
 MISSED = 0.02
 WRONG = 0.01
-WRAPPED = 40
 NONE, UNKNOWN = "none", "unknown"
 #: Usual words of notices; the scan doesn't go by them.
 CUE = r"(?i)licen[cs]|copyright|copyleft|\bgpl|\bspdx|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|all rights reserved|creative commons|\bcc[ -]by|\bcc0|unlicense|as is"
@@ -49,6 +49,7 @@ NOTICES: dict[str, list[str]] = {
         "Code: MIT license.",
         "Code: MIT",
         "License: MIT",
+        "Lizenziert unter der MIT-Lizenz.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -58,6 +59,8 @@ NOTICES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
         "License: Apache 2.0",
+        "Released under Apache 2.0.",
+        "Distributed under the Apache 2.0 license.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
@@ -111,6 +114,16 @@ NOTICES: dict[str, list[str]] = {
         "Licensed under CC BY-NC 4.0.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
+    "CC-BY-NC-SA": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ],
+    "CC-BY-ND": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ],
     "CC0": [
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
         "This work is dedicated to the public domain under CC0.",
@@ -142,6 +155,8 @@ NOTICES: dict[str, list[str]] = {
 }
 # Fixed texts: notices of licences that are no family here.
 OTHER = [
+    "Licensed under the Apache License, Version 1.1.", "License: Apache 1.0", "SPDX-License-Identifier: Apache-1.1", "Licensed under the Apache License 1.0.", "License: CeCILL-C", "Governed by the CeCILL licence under French law.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0.",
     "Licensed under the Artistic License 2.0.", "This module is free software under the terms of the Artistic License.", "SPDX-License-Identifier: Artistic-2.0",
     "This software is provided 'as-is', without any express or implied warranty, under the zlib license.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib",
     "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (CDDL).",
@@ -165,6 +180,10 @@ PLAIN = [
     "She asked for permission to use the source of the river in the documentary film.",
     "Our licensed electricians can be reached at any time of the day.",
     "The conditions of the road are met with concern by the residents.",
+    "All rights to the song were reserved to the heirs of the singer.",
+    "Tables are reserved for guests, and all rights of way are to be kept free.",
+    "The prize and all the rights reserved to the first of the race went to her.",
+    "Sie beantragte eine Lizenz und kam mit der Lizenz nach Hause.",
 ]
 # Fixed texts: ordinary prose, whose small words notices have too (German `mit` above all).
 PROSE = [
@@ -364,9 +383,9 @@ def paragraphs(text: Column) -> Column:
     """The paragraphs of a text that hold an anchor, as (no, text, lines): the number of the first line, the lines as one,
     and those lines (no, line) that hold an anchor."""
     held = anchors()
-    clean = F.translate(text, "\x01\x02", "  ")
-    marked = F.array_join(F.transform(F.split(clean, "\n"), lambda x, i: F.concat(i + 1, F.lit("\x02"), x)), "\n")
-    wrapped = F.regexp_replace(marked, f"\n(?<=[^\n\x02]{{{WRAPPED - 1}}}[^\n\x02.!?:;]\n)(?=[0-9]+\x02[^\n]*[A-Za-z0-9])", "\x01")
+    clean = F.split(F.translate(text, "\x01\x02\t\r", "    "), "\n")
+    marked = F.array_join(F.transform(clean, lambda x, i: F.concat(i + 1, F.lit("\x02"), F.when(x.rlike("[A-Za-z0-9]"), F.rtrim(x)).otherwise(""))), "\n")
+    wrapped = F.regexp_replace(marked, "\n(?<=[^\n\x02.!?:;]\n)(?=[0-9]+\x02[^\n])", "\x01")
     found = F.filter(F.split(wrapped, "\n"), lambda p: F.exists(_words(F.regexp_replace(p, "\x01?[0-9]+\x02", " ")), lambda w: w.isin(held)))
     number, after = lambda x: F.split_part(x, F.lit("\x02"), F.lit(1)).cast("int"), lambda x: F.trim(F.split_part(x, F.lit("\x02"), F.lit(2)))
     lines = lambda p: F.filter(F.transform(F.split(p, "\x01"), lambda x: F.struct(number(x).alias("no"), after(x).alias("line"))), lambda x: F.exists(_words(x["line"]), lambda w: w.isin(held)))
@@ -385,7 +404,8 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.max(F.when(F.col("no") == 0, F.col("family"))).alias("whole"), F.array_sort(F.collect_list(F.when(F.col("no") > 0, F.struct("no", "family", "complete")))).alias("own"))  # the lines of one paragraph
     other = F.exists("own", lambda x: x["complete"] & (x["family"] != UNKNOWN) & ~x["family"].eqNullSafe(F.col("whole")))
     lines = F.transform("own", lambda x: F.struct(x["no"].alias("no"), x["family"].alias("family")))
-    kept = F.when(F.col("whole").isNull() | other, lines).otherwise(F.array(F.struct(F.col("par").alias("no"), F.col("whole").alias("family"))))
+    at = F.array_min(F.transform(F.filter("own", lambda x: x["complete"] & (x["family"] == F.col("whole"))), lambda x: x["no"]))
+    kept = F.when(F.col("whole").isNull() | other, lines).otherwise(F.array(F.struct(F.coalesce(at, "par").alias("no"), F.col("whole").alias("family"))))
     per_row = judged.select("row", F.explode(kept).alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("v"))  # of one text
     df = found.select("doc_id", "row").join(per_row, "row", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<no: int, family: string>>")))
     names = F.transform("v", lambda x: x["family"])

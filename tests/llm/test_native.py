@@ -325,16 +325,16 @@ def _plain_complete(line, family):
 
 def _plain_scan(text):
     """[(number, family)] of a text, paragraph by paragraph."""
-    out, lines = [], text.split("\n")
+    out, lines = [], [x.rstrip(" \t\r") if re.search("[A-Za-z0-9]", x) else "" for x in text.split("\n")]
     i = 0
     while i < len(lines):
         j = i
-        while j + 1 < len(lines) and len(lines[j]) >= 40 and lines[j][-1] not in ".!?:;" and re.search("[A-Za-z0-9]", lines[j + 1]):
+        while j + 1 < len(lines) and lines[j] and lines[j][-1] not in ".!?:;" and lines[j + 1]:
             j += 1
         whole = _plain_family(" ".join(x for x in lines[i : j + 1]))
         own = [(n + 1, f) for n in range(i, j + 1) if (f := _plain_family(lines[n])) != "none"] if j > i else []
         if whole != "none" and not any(f not in ("unknown", whole) and _plain_complete(lines[n - 1], f) for n, f in own):
-            out.append((i + 1, whole))
+            out.append((min([n for n, f in own if f == whole != "unknown" and _plain_complete(lines[n - 1], f)], default=i + 1), whole))
         else:
             out += own
         i = j + 1
@@ -344,7 +344,7 @@ def _plain_scan(text):
 def test_license_scan_matches_plain_scorer(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
     notices = [x for lines in license_scan.NOTICES.values() for x in lines] + license_scan.OTHER
-    wrapped = ["\n".join(textwrap.wrap("# start. " + x, w)) for x in notices for w in (45, 60, 79)]
+    wrapped = ["\n".join(textwrap.wrap("# start. " + x, w)) for x in notices for w in (24, 45, 60, 79)]
     docs += [(100_000 + i, f"{x}\n\n{y}\n{x}") for i, (x, y) in enumerate(zip(wrapped, wrapped[7:] + wrapped[:7]))]
     got = {r.doc_id: r.lines for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i, t in docs:
@@ -366,6 +366,25 @@ def test_license_paragraphs(spark):
     assert [(strange[r.doc_id], r.families) for r in got if r.families] == [] and sum(r.n_unknown for r in got) >= 5
 
 
+def test_license_paragraphs_at_any_width(spark):
+    notices = [(f, license_scan.NOTICES[f][i]) for f, i in (("MIT", -2), ("GPL", 1), ("BSD", 0), ("ISC", 0), ("LGPL", 0))]
+    odd = [("  // ", 30), ("", 15), ("\t* ", 25), ("# ", 38), ("", 200)]
+    docs = [(100 * i + k, "An end.\n" + "\n".join(lead + y + " \r" for y in textwrap.wrap(x, w))) for i, (_, x) in enumerate(notices) for k, (lead, w) in enumerate(odd)]
+    got = {r.doc_id: r.families for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {100 * i + k: f for i, (f, _) in enumerate(notices) for k in range(len(odd))}
+
+
+def test_license_versions_and_qualifiers(spark):
+    texts = {
+        "Licensed under the Apache License 1.1": "", "This file is under the Apache License, Version 1.1.": "", "License: Apache 2.0": "Apache-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA", "CC BY-NC-SA 4.0": "CC-BY-NC-SA", "CC BY-NC 4.0": "CC-BY-NC",
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND", "Released under Apache 2.0": "Apache-2.0", "All rights reserved.": "Proprietary", "Lizenziert unter der MIT-Lizenz.": "MIT", "Er kam mit der Lizenz.": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.license_scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+
+
 def test_license_line_of_most_rows(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 1000, F.lit("\nReleased under the MIT License.")).alias("text"))
     assert [(r.lines, r["count"]) for r in license_scan.license_scan(docs).groupBy("lines").count().collect()] == [("2:MIT", 20_000)]
