@@ -358,7 +358,7 @@ def classified(lines: DataFrame) -> DataFrame:
     model = spark.createDataFrame(rows, "feature string, w array<double>, worth double, notices array<int>")
     small = F.array(*map(F.lit, sorted(SMALL)))
     df = lines.withColumn("f", _features(F.col("line"))).withColumn("n_telling", F.size(F.array_except("f", small)))
-    hits = df.select("line", "n_telling", F.explode("f").alias("feature")).join(model, "feature")
+    hits = df.select("line", "n_telling", F.explode("f").alias("feature")).join(F.broadcast(model), "feature")  # of fixed notices: some thousand rows
     # weights count alike for known features, as the training rows were normed
     known = F.sum(F.when(F.exists("w", lambda x: x != 0), 1).otherwise(0))
     sums = hits.groupBy("line", "n_telling").agg(
