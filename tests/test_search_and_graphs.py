@@ -42,6 +42,25 @@ def test_search_odd_pages(spark, tmp_path):
     assert search.search(df.limit(0), spark.createDataFrame(queries, "query_id int, query string")).count() == 0
 
 
+def test_search_adds_up_where_pages_are(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST", 20, raising=False)
+    monkeypatch.setattr(search, "ADDED", 500, raising=False)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    pages = [(i, " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(80)]
+    pages += [(100 + i, t) for i, t in pages]
+    queries = [(i, " ".join(rng.choices([*words, "none"], k=rng.randrange(9)))) for i in range(25)]
+    df, asked = spark.createDataFrame(pages, "rel int, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    found = search.search(df, asked, 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["page"], r["score"]))
+    assert got == {i: best for i, q in queries if (best := plain_bm25(pages, q, 4))}
+    # what queries and pages have in common is never shuffled, only rows of the index are, and the best of each task
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", found._jdf.queryExecution().executedPlan().toString())
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"term", "page", "query_id"}
+
+
 def plain_rank(nodes, edges, rounds, d=0.85):
     nodes = sorted({x for x in nodes if x is not None})
     edges = {(a, b) for a, b in edges if a in nodes and b in nodes}
