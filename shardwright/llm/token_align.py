@@ -10,7 +10,7 @@ tokens, whatever the length of a group. How often a pair of ids is linked is cou
 often a segment occurs.
 
 Documents get their segments' results back by block: a block is some BLOCK bytes of neighbouring documents, it asks for
-its distinct segments only.
+its distinct segments only. Both go to their block packed, as compressed Arrow streams of neighbouring rows.
 
 Defined cases: a text that is null or empty, or that a tokenizer doesn't give back byte for byte (U+2581 stands for a
 space there, so texts that hold it), has no tokens: zeros and an empty digest, and it adds nothing to counts. Documents
@@ -41,9 +41,9 @@ from shardwright.llm.shared import forget, settle, written
 #: Where the tokenizers' files lie by default.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block and of those that are split at a time, rows of a result batch, segments whose results are
-#: put together at a time, segments that blocks ask for in a task of the relation.
-BLOCK, CHUNK, ROWS, SEGMENTS, TASK = 32 << 20, 4 << 20, 1 << 15, 1 << 18, 1 << 18
+#: Bytes of text in a block and of those that are split at a time, bytes of rows that are packed at a time, rows of a
+#: result batch, segments whose results are put together at a time, segments that blocks ask for in a task of the relation.
+BLOCK, CHUNK, PACK, ROWS, SEGMENTS, TASK = 32 << 20, 4 << 20, 16 << 20, 1 << 15, 1 << 18, 1 << 18
 #: What is taken off ids, so that those below 2^16 go into two signed bytes.
 BASE = 1 << 15
 #: Tasks that share a block.
@@ -211,7 +211,9 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
 
     asked = written(texts.where("text <> ''").select("block", "text").mapInArrow(lean(counted), "block long, segment string, n long"), "asked")
     found = _relation(_encoded(asked, tools))
-    keyed = asked.select(*_key(F.col("segment")), "segment", "block").repartition(_tasks(asked), "k1", "k2").distinct()
+    # dealt out by key, which is worked out again where the rows arrive: of all that is sent it would be the larger part
+    keyed = asked.select("segment", "block").repartition(_tasks(asked), *_key(F.col("segment")))
+    keyed = keyed.select(*_key(F.col("segment")), "segment", "block").distinct()
     told = written(keyed.join(found, ["k1", "k2"]).drop("k1", "k2"), "told")
     forget(asked)
     forget(found)
@@ -219,6 +221,7 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
     settle(spark)
 
     def assembled(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine, theirs = _unpacked(mine), _unpacked(theirs)
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
         sums, digests = np.zeros((mine.num_rows, len(names)), np.int64), np.full(mine.num_rows, "", object)
         if theirs.num_rows:
@@ -250,7 +253,8 @@ def aligned(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/{BYTE_LEVEL}", pie
         return pa.table({"id": mine.column("id"), **columns, "groups_sha256": pa.array(digests.tolist(), pa.string())})
 
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(assembled, shape).withColumnRenamed("id", id_col)
+    mine, theirs = (x.mapInArrow(lean(_packed), "block long, rows binary").groupBy("block") for x in (texts, told))
+    return mine.cogroup(theirs).applyInArrow(assembled, shape).withColumnRenamed("id", id_col)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +268,39 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array(first + before // (BLOCK // SPAN))], names=["id", "text", "block"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, rows): of some PACK bytes at a time, each block's rows as one compressed stream."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = pa.Table.from_batches(held).combine_chunks()
+        order = np.argsort(every.column("block").to_numpy(), kind="stable")
+        every = every.take(pa.array(order))
+        blocks = every.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for lo, hi in itertools.pairwise(cuts):
+            sink, rows = pa.BufferOutputStream(), every.slice(lo, hi - lo).drop_columns("block")
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows)
+            yield pa.record_batch({"block": pa.array([blocks[lo]], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK:
+            yield from packed(held)
+            held, size = [], 0
+    if held:
+        yield from packed(held)
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    """The rows of a block; none: packs itself, without rows."""
+    streams = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs.column("rows")]
+    return pa.concat_tables(streams) if streams else packs
+
+
 def _key(segment) -> list:
     """128 bits that stand for a segment, so that long ones don't go along with each of their tokens."""
     return [F.xxhash64(F.lit(i), segment).alias(f"k{i}") for i in (1, 2)]
@@ -330,6 +367,7 @@ def _relation(encoded: DataFrame) -> DataFrame:
     gathered = gathered.withColumn("shown", F.array_join(F.zip_with(by_group("a"), by_group("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
     with _by_sorting(encoded.sparkSession):
         each = written(gathered.select(*key, "times", "n_a", shown.alias("groups"), "links"), "segments")
+    settle(encoded.sparkSession)  # what the shuffles so far have left on disk is of no more use
     pair = ["la", "lb"]
     counts = each.select("times", F.inline("links")).groupBy(*pair).agg(F.sum("times").alias("linked"))
     best = F.max("linked").over(Window.partitionBy("lb"))
@@ -339,7 +377,7 @@ def _relation(encoded: DataFrame) -> DataFrame:
     sums = each.select(*key, F.inline("links")).join(near, pair).groupBy(*key).agg(F.sum("best").cast("int").alias("n_best"), F.sum("linked").alias("count_sum"))
     found = written(each.select(*key, "groups", "n_a").join(sums, key), "found")
     forget(each)
-    settle(encoded.sparkSession)  # what the shuffles so far have left on disk is of no more use
+    settle(encoded.sparkSession)
     return found
 
 

@@ -89,6 +89,20 @@ def test_blocks_of_a_few_bytes(spark, tool, monkeypatch):
     assert got == dict(enumerate(plain(tool, texts)))
 
 
+def test_rows_go_to_blocks_packed(spark, tool, monkeypatch):
+    rows = pa.record_batch({"id": pa.array([1, None, 3, 4] * 500), "text": pa.array(["some words", None, "", "more"] * 500), "block": pa.array([7, 8, 7, 1 << 40] * 500)})
+    packs = list(token_align._packed(iter([rows.slice(0, 0), rows.slice(0, 999), rows.slice(999)])))
+    assert [p.column("block").to_pylist() for p in packs] == [[7], [8], [1 << 40]] and sum(p.nbytes for p in packs) < rows.nbytes / 4
+    got = [tuple(r.values()) for p in packs for r in token_align._unpacked(pa.Table.from_batches([p])).to_pylist()]
+    assert got == [(1, "some words"), (3, "")] * 500 + [(None, None)] * 500 + [(4, "more")] * 500
+    assert not list(token_align._packed(iter([rows.slice(0, 0)])))
+    for name, size in (("BLOCK", 300), ("PACK", 200)):
+        monkeypatch.setattr(token_align, name, size)
+    texts = [None, "", "a▁b", *(f"text {i % 5} of some, unlikely: zyx{i}" for i in range(40))]
+    df = token_align.aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in df.collect()} == dict(enumerate(plain(tool, texts)))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from([*" \n\t ab1,.'é日▁ 　 \u0085\x1c", "the", "'s", "<s>", "ing", "😀", "​"]), max_size=14).map("".join))
 def test_segments_are_what_whole_texts_give(tool, text):
